@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
 )
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
-from ..streaming import append_results, pending_combinations
+from ..streaming import append_results, latest_results, pending_combinations
 from . import metrics
-from .linear import assembled, class_count
+from .linear import assembled
 from .reports import role_tag
 from .subsets import usable_candidates
-from .target import with_class_weight
 
 BACKEND = "spark_ml"
 WARMUP_ROWS = 2048
@@ -60,9 +60,26 @@ class Grid:
     baselines: dict[str, str] | None = None
 
 
-def _prepared(df: DataFrame, label: str, features: Sequence[str], *keep: str) -> DataFrame:
-    rows = df.select(F.col(label).cast("double").alias("label"), *keep, *[F.col(f"`{c}`") for c in features])
-    return assembled(with_class_weight(rows, "label"), features, "label", "weight", *keep)
+def _class_fold_counts(grid: Grid) -> dict[int, dict[int, int]]:
+    """{class: {fold: rows}}, classes x folds numbers."""
+    out: dict[int, dict[int, int]] = {}
+    for r in grid.train.groupBy(F.col(grid.label).cast("int").alias("y"), "fold").count().collect():
+        out.setdefault(r["y"], {})[r["fold"]] = r["count"]
+    return out
+
+
+def _balanced(counts: dict[int, dict[int, int]], without: int | None) -> tuple[Column, int]:
+    """Weight column n / (K * n_c) of the training rows (all folds but ``without``) and their number."""
+    per_class = {y: sum(n for f, n in by_fold.items() if f != without) for y, by_fold in counts.items()}
+    per_class = {y: n for y, n in per_class.items() if n}
+    total = sum(per_class.values())
+    pairs = [F.lit(v) for y, n in per_class.items() for v in (float(y), total / (len(per_class) * n))]
+    return F.element_at(F.create_map(*pairs), F.col("label")), total
+
+
+def _labelled(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
+    rows = df.select(F.col(label).cast("double").alias("label"), *[F.col(f"`{c}`") for c in features])
+    return assembled(rows, features, "label")
 
 
 def _confusion_of(model, data: DataFrame) -> list[tuple[int, int, int]]:
@@ -86,105 +103,117 @@ def time_inference(model, data: DataFrame, repeats: int, warmup: int) -> list[tu
     return out
 
 
-def evaluate_combination(grid: Grid, features: Sequence[str], classifier: str, n_classes: int, repeats: int, warmup: int) -> dict:
+def evaluate_combination(
+    grid: Grid, counts: dict[int, dict[int, int]], features: Sequence[str], classifier: str, n_classes: int, repeats: int, warmup: int
+) -> dict:
     """Fold fits, final fit, holdout confusion and timings of one subset x classifier."""
     begin = time.perf_counter()
-    folded = grid.train.select(grid.label, "fold", *[F.col(f"`{c}`") for c in features])
-    n_rows, n_features = folded.count(), len(features)
     options = (grid.options or {}).get(classifier)
 
-    def one_fold(fold: int) -> tuple[int, list, float]:
-        start = time.perf_counter()
-        fit_rows = _prepared(folded.filter(F.col("fold") != fold), grid.label, features)
-        held = _prepared(folded.filter(F.col("fold") == fold), grid.label, features)
-        model = build_classifier(classifier, n_features, n_classes, n_rows, grid.seed + fold, options).fit(fit_rows)
-        return fold, _confusion_of(model, held), time.perf_counter() - start
+    def fitted(fold: int | None):
+        rows = grid.train if fold is None else grid.train.filter(F.col("fold") != fold)
+        weight, n = _balanced(counts, fold)
+        model = build_classifier(classifier, len(features), n_classes, n, grid.seed + (fold or 0), options)
+        return model.fit(_labelled(rows, grid.label, features).withColumn("weight", weight))
 
-    folds = [one_fold(f) for f in range(1, grid.n_splits + 1)]
-    test = _prepared(grid.test, grid.label, features)
+    folds = []
+    for fold in range(1, grid.n_splits + 1):
+        start = time.perf_counter()
+        cells = _confusion_of(fitted(fold), _labelled(grid.train.filter(F.col("fold") == fold), grid.label, features))
+        folds.append((fold, cells, time.perf_counter() - start))
+    test = _labelled(grid.test, grid.label, features)
     start = time.perf_counter()
-    final = build_classifier(classifier, n_features, n_classes, n_rows, grid.seed, options).fit(_prepared(folded, grid.label, features))
+    final = fitted(None)
     holdout = _confusion_of(final, test)
     final_s = time.perf_counter() - start
     runs = time_inference(final, test, repeats, warmup)
     return {"folds": folds, "holdout": holdout, "final_s": final_s, "runs": runs, "elapsed": time.perf_counter() - begin}
 
 
-CONFUSION = "dataset string, feature_set_id string, classifier string, fold int, y_true int, y_pred int, n bigint"
-TIMES = (
-    "dataset string, feature_set_id string, classifier string, timing_run int, inference_time_total_s double, "
-    "inference_time_ms_per_sample double, cpu_memory_mb double, gpu_peak_memory_mb double"
-)
-FACTS = (
-    "dataset string, feature_set_id string, classifier string, final_training_plus_prediction_time_s double, "
-    "combo_elapsed_s double, execution_backend string"
-)
+KEYS = ("dataset", "feature_set_id", "classifier")
+_KEY = "dataset string, feature_set_id string, classifier string, "
+# fold 0 is the holdout
+SCHEMAS = {
+    "confusion": _KEY + "fold int, y_true int, y_pred int, n bigint",
+    "timings": _KEY + "method string, criterion string, timing_run int, inference_time_total_s double, "
+    "inference_time_ms_per_sample double, cpu_memory_mb double, gpu_peak_memory_mb double",
+    "fold_times": _KEY + "fold int, training_time_s double",
+    "facts": _KEY + "method string, family string, criterion string, num_features int, selected_features string, "
+    "final_training_plus_prediction_time_s double, combo_elapsed_s double, execution_backend string",
+}
 
 
 def evaluate_grid(
     grid: Grid, candidates: DataFrame, classifiers: Sequence[str], repeats: int = 3, warmup: int = 1, parallelism: int = 4,
-    log_path: str | None = None, done: DataFrame | None = None,
+    log_path: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(results, fold metrics, timing rows) of all pending combinations.
+    """(results, fold metrics, timing rows) of the candidate x classifier grid.
 
     Combinations run side by side from a small thread pool over two cached
-    tables. Only confusion counts and times come back; all metrics are then
-    computed by one job over all combinations. With ``log_path`` each finished
-    combination is appended there at once, so a later run skips it.
+    tables. Only confusion counts and times come back; the metrics of all
+    combinations are one job over them. With ``log_path`` each finished
+    combination is appended to the log at once, finished ones found there are
+    skipped, and the returned tables cover the whole log.
     """
     spark = grid.train.sparkSession
     known = spark.createDataFrame([(f,) for f in grid.features], "feature string")
-    todo = pending_combinations(usable_candidates(candidates, known), classifiers, done)
-    combos = todo.collect()  # one row per model to fit
-    n_classes = max(class_count(grid.train, grid.label), class_count(grid.test, grid.label))
+    done = _read_log(spark, log_path, "facts")
+    combos = pending_combinations(usable_candidates(candidates, known), classifiers, done).collect()  # one row per model to fit
     grid.train.persist(), grid.test.persist()
+    counts = _class_fold_counts(grid)
+    seen = grid.test.agg(F.max(F.col(grid.label).cast("int"))).head()[0]
+    n_classes = max([*counts, seen or 0]) + 1
 
-    def run(c) -> tuple[DataFrame, DataFrame, DataFrame]:
-        found = evaluate_combination(grid, c["features"], c["classifier"], n_classes, repeats, warmup)
-        tables = _tables_of(grid, c, found, n_classes)
+    def evaluate(c: Row) -> dict[str, list[tuple]]:
+        found = evaluate_combination(grid, counts, c["features"], c["classifier"], n_classes, repeats, warmup)
+        rows = _rows_of(grid.dataset, c, found)
         if log_path:
-            for name, table in zip(("folds", "timings", "results"), (tables[1], tables[2], tables[0])):
-                append_results(table, f"{log_path}/{name}")
-        return tables
+            for name in ("confusion", "timings", "fold_times", "facts"):  # facts last: they mark the combination as finished
+                append_results(spark.createDataFrame(rows[name], SCHEMAS[name]).coalesce(1), f"{log_path}/{name}")
+        return rows
 
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        parts = list(pool.map(run, combos))
+        parts = list(pool.map(evaluate, combos))
     grid.train.unpersist(), grid.test.unpersist()
-    if not parts:
-        raise ValueError("no pending combinations")
-    out = []
-    for tables in zip(*parts):
-        table = tables[0]
-        for t in tables[1:]:
-            table = table.unionByName(t)
-        out.append(table)
-    return tuple(out)
-
-
-def _tables_of(grid: Grid, c, found: dict, n_classes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    spark = grid.train.sparkSession
-    key = (grid.dataset, c["feature_set_id"], c["classifier"])
-    cells = [(*key, fold, *cell) for fold, part, _s in found["folds"] for cell in part] + [(*key, 0, *cell) for cell in found["holdout"]]
-    confusion = spark.createDataFrame(cells, CONFUSION)
-    keys = ["dataset", "feature_set_id", "classifier"]
-    by_fold = metrics.metrics_of(confusion, [*keys, "fold"], n_classes).join(
+    tables = {}
+    for name, schema in SCHEMAS.items():
+        logged = _read_log(spark, log_path, name)
+        fresh = spark.createDataFrame([r for p in parts for r in p[name]], schema)
+        keys = [*KEYS, *{"confusion": ("fold", "y_true", "y_pred"), "timings": ("timing_run",), "fold_times": ("fold",)}.get(name, ())]
+        tables[name] = fresh if logged is None else latest_results(logged, keys).drop("written_at")
+    return result_tables(tables["confusion"], tables["timings"], tables["fold_times"], tables["facts"], n_classes, grid.baselines or {})
+
+
+def _read_log(spark: SparkSession, log_path: str | None, name: str) -> DataFrame | None:
+    if log_path is None:
+        return None
+    try:
+        return spark.read.parquet(f"{log_path}/{name}")
+    except AnalysisException:  # nothing written yet
+        return None
+
+
+def _rows_of(dataset: str, c: Row, found: dict) -> dict[str, list[tuple]]:
+    key = (dataset, c["feature_set_id"], c["classifier"])
+    return {
+        "confusion": [(*key, fold, *cell) for fold, cells, _s in [*found["folds"], (0, found["holdout"], 0.0)] for cell in cells],
+        "timings": [(*key, c["method"], c["criterion"], run, s, ms, None, None) for run, s, ms in found["runs"]],
+        "fold_times": [(*key, fold, s) for fold, _cells, s in found["folds"]],
+        "facts": [(*key, c["method"], c["family"], c["criterion"], len(c["features"]), c["selected_features"], found["final_s"], found["elapsed"], BACKEND)],
+    }
+
+
+def result_tables(
+    confusion: DataFrame, timings: DataFrame, fold_times: DataFrame, facts: DataFrame, n_classes: int, baselines: dict[str, str]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, fold metrics, timings) from confusion counts and times of any number of combinations."""
+    keys = list(KEYS)
+    each = metrics.metrics_of(confusion, [*keys, "fold"], n_classes).join(
         metrics.confusion_json(confusion, [*keys, "fold"], n_classes), [*keys, "fold"])
-    meta = spark.createDataFrame(
-        [(*key, c["method"], c["family"], c["criterion"], c["num_features"], c["selected_features"])],
-        "dataset string, feature_set_id string, classifier string, method string, family string, criterion string, num_features int, selected_features string")
-    spent = spark.createDataFrame([(*key, f, s) for f, _p, s in found["folds"]], "dataset string, feature_set_id string, classifier string, fold int, training_time_s double")
-    folds = by_fold.filter("fold > 0").join(meta.drop("selected_features"), keys).join(spent, [*keys, "fold"]).withColumn("execution_backend", F.lit(BACKEND))
-    none = None
-    times = spark.createDataFrame([(*key, run, s, ms, none, none) for run, s, ms in found["runs"]], TIMES).join(meta.select(*keys, "method", "criterion"), keys)
-    facts = spark.createDataFrame([(*key, found["final_s"], found["elapsed"], BACKEND)], FACTS)
-    results = assemble_results(by_fold.filter("fold = 0").drop("fold"), folds, times, meta, grid.baselines or {}).join(facts, keys)
-    return results, folds, times
-
-
-def assemble_results(holdout: DataFrame, folds: DataFrame, timings: DataFrame, meta: DataFrame, baselines: dict[str, str]) -> DataFrame:
-    """Holdout metrics + CV summary + timing summary + candidate facts + role, one row per combination."""
-    keys = ["dataset", "feature_set_id", "classifier"]
-    joined = holdout.join(meta, keys).join(metrics.cv_summary(folds, keys), keys).join(metrics.timing_summary(timings, keys), keys)
-    return role_tag(joined, baselines)
-
-
+    about = facts.select(*keys, "method", "family", "criterion", "num_features", "execution_backend")
+    folds = each.filter("fold > 0").join(about, keys).join(fold_times, [*keys, "fold"])
+    results = (
+        each.filter("fold = 0").drop("fold").join(facts, keys)
+        .join(metrics.cv_summary(folds, keys), keys).join(metrics.timing_summary(timings, keys), keys)
+    )
+    return role_tag(results, baselines), folds, timings

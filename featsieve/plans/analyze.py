@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from ..operators import consensus, pareto, reports, scoring
@@ -16,17 +18,23 @@ def analyze(
     zones: pareto.Zones,
     metric_source: str = "cross_validation",
     reference_zone: str = "effectiveness",
+    store: Callable[[str, DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
-    """Rebuild every result table. ``timings`` may be None; the other inputs are required."""
+    """Rebuild every result table. ``timings`` may be None; the other inputs are required.
+
+    ``store(name, df)`` may write the tables that others build on and return
+    them re-read, so that they are computed once.
+    """
+    keep = store or (lambda _name, df: df)
     given = {"rankings": rankings, "candidates": candidates, "evaluations": evaluations}
     missing = [k for k, v in given.items() if v is None]
     if missing:
         raise FileNotFoundError(f"missing stored tables: {missing}")
-    scores = consensus.consensus_scores(rankings)
-    tiers = consensus.consensus_tiers(scores)
-    scored = scoring.apply_scores(evaluations, scenarios, metric_source)
-    front = pareto.pareto_front(scored)
-    champs = pareto.champions(pareto.zone_members(front, zones))
+    scores = keep("consensus", consensus.consensus_scores(rankings))
+    tiers = keep("tiers", consensus.consensus_tiers(scores))
+    scored = keep("scored", scoring.apply_scores(evaluations, scenarios, metric_source))
+    front = keep("pareto_front", pareto.pareto_front(scored))
+    champs = keep("champions", pareto.champions(pareto.zone_members(front, zones)))
     tables = {
         "consensus": scores, "tiers": tiers, "core_features": consensus.core_features(tiers), "candidates": candidates,
         "scored": scored, "pareto_front": front, "champions": champs,

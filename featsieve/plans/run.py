@@ -65,11 +65,14 @@ def run(spark: SparkSession, specs: Sequence[Mapping], plan: Mapping, root: str
         # stored tables cut the lineage before the analysis reads them several times
         for name in ("rankings", "candidates", "evaluations", "timings", "fold_metrics", "audit", "label_counts", "loader_metadata", "artifacts", "folds"):
             tables[name] = spark.read.parquet(write_table(tables[name], root, name))
+    def stored(name: str, df: DataFrame) -> DataFrame:
+        return spark.read.parquet(write_table(df, root, name))
+
     tables |= analyze(
         tables["rankings"], tables["candidates"], tables["evaluations"], tables["timings"],
-        plan["scenarios"], plan["zones"], plan.get("metric_source", "cross_validation"))
+        plan["scenarios"], plan["zones"], plan.get("metric_source", "cross_validation"), store=stored if root else None)
     if root:
-        for name in ("consensus", "tiers", "scored", "pareto_front", "champions", "champion_stability", "retention_cost", "core_coverage", "core_membership", "classifier_matrix", "timing_memory"):
+        for name in ("champion_stability", "retention_cost", "core_coverage", "core_membership", "classifier_matrix", "timing_memory"):
             write_table(tables[name], root, name)
         write_exports(tables["core_features"], root, "core_features", ["dataset"])
         write_exports(tables["champion_features"], root, "champion_features", ["dataset", "classifier", "scenario", "zone"])
