@@ -1,4 +1,4 @@
-"""Analysis from stored tables: consensus, scores, fronts, champions and all reports, as one lazy plan."""
+"""Analysis from stored tables: consensus, scores, fronts, champions and all reports, from a few stored stages."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from ..functions import cut_lineage
 from ..operators import consensus, pareto, reports, scoring
 
 
@@ -22,10 +23,10 @@ def analyze(
 ) -> dict[str, DataFrame]:
     """Rebuild every result table. ``timings`` may be None; the other inputs are required.
 
-    ``store(name, df)`` may write the tables that others build on and return
-    them re-read, so that they are computed once.
+    Tables that others build on are computed once: ``store(name, df)`` writes one
+    and returns it re-read; without it they are checkpointed.
     """
-    keep = store or (lambda _name, df: df)
+    keep = store or (lambda _name, df: cut_lineage(df))
     given = {"rankings": rankings, "candidates": candidates, "evaluations": evaluations}
     missing = [k for k, v in given.items() if v is None]
     if missing:
@@ -34,7 +35,7 @@ def analyze(
     tiers = keep("tiers", consensus.consensus_tiers(scores))
     scored = keep("scored", scoring.apply_scores(evaluations, scenarios, metric_source))
     front = keep("pareto_front", pareto.pareto_front(scored))
-    champs = keep("champions", pareto.champions(pareto.zone_members(front, zones)))
+    champs = keep("champions", pareto.champions(keep("zone_members", pareto.zone_members(front, zones))))
     tables = {
         "consensus": scores, "tiers": tiers, "core_features": consensus.core_features(tiers), "candidates": candidates,
         "scored": scored, "pareto_front": front, "champions": champs,
