@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from featsieve.functions import local_table
 from featsieve.operators import prep, split, target
 from featsieve.operators.quantiles import exact_quantiles
 
 from .base import (
-    DOCUMENTS, EVENTS, ORDERS, SEED, documents, events, folds_sql, h32, holdout_sql, lineitem, load, orders, r6, rounded, share, with_,
+    DOCUMENTS, EVENTS, ORDERS, SEED, documents, events, folds_sql, holdout_sql, lineitem, load, orders, r6, rounded, share, with_,
 )
 
 TOKENS = ["7", "70", "NA"]
@@ -45,14 +46,14 @@ def type_split(spark: SparkSession, d: str) -> DataFrame:
 
 def impute_median(spark: SparkSession, d: str) -> DataFrame:
     found = exact_quantiles(with_gaps(events(spark, d)), NUMERIC)
-    return spark.createDataFrame([(c, found[(c, 0.5)]) for c in NUMERIC], "feature string, fill double")
+    return local_table(spark, [(c, found[(c, 0.5)]) for c in NUMERIC], "feature string, fill double")
 
 
 def scale_population(spark: SparkSession, d: str) -> DataFrame:
     df = with_gaps(events(spark, d))
     found = exact_quantiles(df, NUMERIC)
     scale = prep.population_scale(df, {c: found[(c, 0.5)] for c in NUMERIC})
-    return rounded(spark.createDataFrame([(c, *scale[c]) for c in NUMERIC], "feature string, mean double, std double"), 5)
+    return rounded(local_table(spark, [(c, *scale[c]) for c in NUMERIC], "feature string, mean double, std double"), 5)
 
 
 def impute_mode(spark: SparkSession, d: str) -> DataFrame:

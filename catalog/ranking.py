@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from featsieve.operators import mrmr, mutual_info, suite
 from featsieve.operators.relief import relief_scores

@@ -8,9 +8,9 @@ are functions of the confusion counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from featsieve.functions import cut_lineage
+from featsieve.functions import cut_lineage, local_table
 from featsieve.operators import audit, consensus, evaluate, filters, metrics, pareto, prep, reports, scoring, split, subsets
 from featsieve.operators import suite
 from featsieve.operators.linear import class_count
@@ -21,7 +21,7 @@ from .base import (
     EMBEDDING_FEATURES, EMBEDDINGS, EVENT_TYPES, EVENTS, LINEITEM, LINEITEM_FEATURES, ORDERS, ORDERS_FEATURES, SEED, coded, embeddings,
     events, folds_sql, lineitem, load, orders, rounded, with_,
 )
-from .ranking import ranked_sql, score_sql, unpivot
+from .ranking import score_sql, unpivot
 
 # fixed values: the published weight scenarios and zones
 SCENARIOS = {
@@ -193,7 +193,7 @@ def cv_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def _candidates(spark: SparkSession) -> DataFrame:
     rows = [(n, _set_id(n, m, c, f), m, "filter", c, len(f), ";".join(f)) for n in RULES for m, c, f in _sets(n)]
-    return spark.createDataFrame(rows, "dataset string, feature_set_id string, method string, family string, criterion string, num_features int, selected_features string")
+    return local_table(spark, rows, "dataset string, feature_set_id string, method string, family string, criterion string, num_features int, selected_features string")
 
 
 def _timings(each: DataFrame, meta: DataFrame) -> DataFrame:
@@ -212,9 +212,9 @@ def timing_memory(spark: SparkSession, d: str) -> DataFrame:
     return rounded(reports.timing_memory(_timings(_each_fold(spark, d), _candidates(spark))))
 
 
-def _evaluations(spark: SparkSession, d: str) -> DataFrame:
+def _evaluations(spark: SparkSession, d: str, each: DataFrame | None = None) -> DataFrame:
     """The evaluation table: holdout metrics, CV summary, timing summary, candidate facts."""
-    each, meta = _each_fold(spark, d), _candidates(spark)
+    each, meta = _each_fold(spark, d) if each is None else each, _candidates(spark)
     holdout = each.filter(F.col("fold") == N_FOLDS).drop("fold")
     folds = each.filter(F.col("fold") < N_FOLDS)
     cost = F.col("num_features") * 0.5 + F.col("TP_sum") / 1000.0
@@ -257,9 +257,9 @@ def minmax_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scoring.minmax_scores(_evaluations(spark, d), "final_test").select(*KEYS, "selection_metric_source", *N_COLUMNS))
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def _scored(spark: SparkSession, d: str, each: DataFrame | None = None) -> DataFrame:
     # rounded so that both engines compare the same numbers
-    found = scoring.apply_scores(_evaluations(spark, d), SCENARIOS, "cross_validation")
+    found = scoring.apply_scores(_evaluations(spark, d, each), SCENARIOS, "cross_validation")
     return cut_lineage(found.withColumns({c: F.round(c, 9) for c in ("effectiveness_score", "efficiency_score")}))
 
 
@@ -281,8 +281,8 @@ def scenario_weight_check(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scoring.weight_check(weights))
 
 
-def _front(spark: SparkSession, d: str) -> DataFrame:
-    return cut_lineage(pareto.pareto_front(_scored(spark, d)))
+def _front(spark: SparkSession, d: str, each: DataFrame | None = None) -> DataFrame:
+    return cut_lineage(pareto.pareto_front(_scored(spark, d, each)))
 
 
 def pareto_front(spark: SparkSession, d: str) -> DataFrame:
@@ -301,8 +301,8 @@ def zone_members(spark: SparkSession, d: str) -> DataFrame:
     return pareto.zone_members(_front(spark, d), ZONES).select(*KEYS, "scenario", "zone")
 
 
-def _champions(spark: SparkSession, d: str) -> DataFrame:
-    return cut_lineage(pareto.champions(cut_lineage(pareto.zone_members(_front(spark, d), ZONES))))
+def _champions(spark: SparkSession, d: str, each: DataFrame | None = None) -> DataFrame:
+    return cut_lineage(pareto.champions(cut_lineage(pareto.zone_members(_front(spark, d, each), ZONES))))
 
 
 def champions(spark: SparkSession, d: str) -> DataFrame:
@@ -322,27 +322,27 @@ def retention_cost(spark: SparkSession, d: str) -> DataFrame:
     return rounded(reports.retention_cost(_champions(spark, d)))
 
 
-def _rule_tiers(spark: SparkSession, d: str) -> DataFrame:
-    """Tiers of the rule features: each fold's total hits per feature order act as rankings."""
-    return cut_lineage(consensus.consensus_tiers(consensus.consensus_scores(_rule_rankings(spark, d))))
+def _rule_tiers(spark: SparkSession, each: DataFrame) -> DataFrame:
+    return cut_lineage(consensus.consensus_tiers(consensus.consensus_scores(_rule_rankings(spark, each))))
 
 
-def _rule_rankings(spark: SparkSession, d: str) -> DataFrame:
+def _rule_rankings(spark: SparkSession, each: DataFrame) -> DataFrame:
     """Per rule classifier: features ranked by the true positives of the candidate sets that hold them."""
-    hits = _each_fold(spark, d).join(subsets.with_features(_candidates(spark)).select(*KEYS[:2], "features"), KEYS[:2])
+    hits = each.join(subsets.with_features(_candidates(spark)).select(*KEYS[:2], "features"), KEYS[:2])
     per = hits.withColumn("feature", F.explode("features")).groupBy("dataset", F.col("classifier").alias("method"), "feature").agg(F.sum("TP_sum").alias("score"))
-    from pyspark.sql import Window
     order = Window.partitionBy("dataset", "method").orderBy(F.desc("score"), "feature")  # features of one ranking
     return per.select("dataset", "method", F.lit("filter").alias("family"), F.row_number().over(order).alias("rank"), "feature",
                       F.col("score").cast("double").alias("score"), F.lit("ok").alias("status"))
 
 
 def core_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(reports.core_coverage(_champions(spark, d), _rule_tiers(spark, d)))
+    each = _each_fold(spark, d)
+    return rounded(reports.core_coverage(_champions(spark, d, each), _rule_tiers(spark, each)))
 
 
 def core_membership(spark: SparkSession, d: str) -> DataFrame:
-    return reports.core_membership(_champions(spark, d), _rule_tiers(spark, d))
+    each = _each_fold(spark, d)
+    return reports.core_membership(_champions(spark, d, each), _rule_tiers(spark, each))
 
 
 def classifier_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -352,7 +352,7 @@ def classifier_matrix(spark: SparkSession, d: str) -> DataFrame:
 def analysis_only(spark: SparkSession, d: str) -> DataFrame:
     """All analysis tables from the stored-table form of the inputs; their sizes per table and dataset."""
     each, meta = _each_fold(spark, d), _candidates(spark)
-    tables = analyze(_rule_rankings(spark, d), meta, _evaluations(spark, d), _timings(each, meta), SCENARIOS, ZONES, "final_test")
+    tables = analyze(_rule_rankings(spark, each), meta, _evaluations(spark, d, each), _timings(each, meta), SCENARIOS, ZONES, "final_test")
     names = ("consensus", "tiers", "scored", "timing_memory")
     return audit.combine([tables[n].groupBy("dataset").agg(F.count("*").alias("rows")).select(F.lit(n).alias("table_name"), "dataset", "rows") for n in names])
 
@@ -364,7 +364,7 @@ def _model_grid(classifier: str, **options: object):
         model = prep.fit(rows.filter("split = 'train'").drop("split"), "y", ["row_key"])
         train, test = (model.transform(rows.filter(f"split = '{s}'"), ["row_key"]) for s in ("train", "test"))
         folded = split.stratified_folds(train, "label", "row_key", 2, SEED)
-        sets = spark.createDataFrame([("orders", "orders__given__all", "given", "filter", "all", ";".join(ORDERS_FEATURES))],
+        sets = local_table(spark, [("orders", "orders__given__all", "given", "filter", "all", ";".join(ORDERS_FEATURES))],
                                      "dataset string, feature_set_id string, method string, family string, criterion string, selected_features string")
         grid = evaluate.Grid("orders", folded, test, "label", ORDERS_FEATURES, 2, SEED, {classifier: dict(options)}, BASELINES)
         results, _folds, _times = evaluate.evaluate_grid(grid, sets, [classifier], repeats=1, warmup=0)
@@ -379,7 +379,7 @@ def inference_timing(spark: SparkSession, d: str) -> DataFrame:
     data = evaluate._labelled(df, "y", ORDERS_FEATURES).withColumn("weight", F.lit(1.0))
     model = evaluate.build_classifier("dt_cpu", len(ORDERS_FEATURES), class_count(df, "y"), 1, SEED, {"max_depth": 4}).fit(data)
     rows = evaluate.time_inference(model, data, 2, 1)
-    return spark.createDataFrame(rows, "timing_run int, inference_time_total_s double, inference_time_ms_per_sample double")
+    return local_table(spark, rows, "timing_run int, inference_time_total_s double, inference_time_ms_per_sample double")
 
 
 QUERIES = {f.__name__.rstrip("_"): f for f in (

@@ -1,8 +1,8 @@
 from .hashing import hash32, portable_key, with_row_key
 from .numeric import digamma_int, finite, safe_div
-from .state import bounded_rows, cut_lineage, session_of, spread_broadcast
+from .state import bounded_rows, cut_lineage, local_table, session_of, spread_broadcast
 
 __all__ = [
-    "bounded_rows", "cut_lineage", "digamma_int", "finite", "hash32", "portable_key",
+    "bounded_rows", "cut_lineage", "digamma_int", "finite", "hash32", "local_table", "portable_key",
     "safe_div", "session_of", "spread_broadcast", "with_row_key",
 ]

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 BROADCAST_ROWS = 200_000
 
@@ -13,6 +16,14 @@ def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """A table of a few rows the planner holds itself: no Python job, and its size is known."""
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*rows)) if rows else [()] * len(kind.fields)
+    arrow = to_arrow_schema(kind)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), kind)
+
+
 def bounded_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Fetch a table that is expected to be small and prove it.
 
@@ -23,7 +34,7 @@ def bounded_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFra
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         return df, False
-    return df.sparkSession.createDataFrame(rows, df.schema), True
+    return local_table(df.sparkSession, rows, df.schema), True
 
 
 def spread_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.ml.classification import (
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
+from ..functions import local_table
 from ..streaming import append_results, latest_results, pending_combinations
 from . import metrics
 from .linear import assembled
@@ -156,7 +157,7 @@ def evaluate_grid(
     skipped, and the returned tables cover the whole log.
     """
     spark = grid.train.sparkSession
-    known = spark.createDataFrame([(f,) for f in grid.features], "feature string")
+    known = local_table(spark, [(f,) for f in grid.features], "feature string")
     done = _read_log(spark, log_path, "facts")
     combos = pending_combinations(usable_candidates(candidates, known), classifiers, done).collect()  # one row per model to fit
     grid.train.persist(), grid.test.persist()
@@ -169,7 +170,7 @@ def evaluate_grid(
         rows = _rows_of(grid.dataset, c, found)
         if log_path:
             for name in ("confusion", "timings", "fold_times", "facts"):  # facts last: they mark the combination as finished
-                append_results(spark.createDataFrame(rows[name], SCHEMAS[name]).coalesce(1), f"{log_path}/{name}")
+                append_results(local_table(spark, rows[name], SCHEMAS[name]).coalesce(1), f"{log_path}/{name}")
         return rows
 
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
@@ -178,7 +179,7 @@ def evaluate_grid(
     tables = {}
     for name, schema in SCHEMAS.items():
         logged = _read_log(spark, log_path, name)
-        fresh = spark.createDataFrame([r for p in parts for r in p[name]], schema)
+        fresh = local_table(spark, [r for p in parts for r in p[name]], schema)
         keys = [*KEYS, *{"confusion": ("fold", "y_true", "y_pred"), "timings": ("timing_run",), "fold_times": ("fold",)}.get(name, ())]
         tables[name] = fresh if logged is None else latest_results(logged, keys).drop("written_at")
     return result_tables(tables["confusion"], tables["timings"], tables["fold_times"], tables["facts"], n_classes, grid.baselines or {})

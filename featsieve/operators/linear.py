@@ -10,13 +10,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from .batch_logistic import BatchLogistic, Problem, weighted_f1
+from ..functions import local_table
 from .split import stratified_folds
 from .target import with_class_weight
 
 
 def scores_frame(df: DataFrame, scores: Sequence[float]) -> DataFrame:
     """(pos, score) from one number per feature."""
-    return df.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(scores)], "pos int, score double")
+    return local_table(df.sparkSession, [(i, float(s)) for i, s in enumerate(scores)], "pos int, score double")
 
 
 def assembled(df: DataFrame, features: Sequence[str], *keep: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import local_table
+
 
 def abs_correlation(df: DataFrame, features: Sequence[str]) -> np.ndarray:
     """|corr| between features (p x p, one pass over the data); 0 where a side is constant."""
@@ -34,4 +36,4 @@ def mrmr_scores(df: DataFrame, features: Sequence[str], relevance: DataFrame) ->
     known = {r["pos"]: r["score"] for r in relevance.collect()}
     order = greedy_order([known.get(i, 0.0) for i in range(len(features))], abs_correlation(df, features))
     rows = [(pos, float(gain), step) for step, (pos, gain) in enumerate(order, start=1)]
-    return df.sparkSession.createDataFrame(rows, "pos int, score double, step int")
+    return local_table(df.sparkSession, rows, "pos int, score double, step int")

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions import bounded_rows, cut_lineage, finite
+from ..functions import bounded_rows, cut_lineage, finite, local_table
 from .quantiles import exact_quantiles
 from .target import null_tokens
 
@@ -195,7 +195,7 @@ class PrepModel:
         spark = self.labels.sparkSession
         rows = [(i, c, "numeric", str(f), m, s) for i, (c, (f, m, s)) in enumerate(self.numeric.items())]
         rows += [(len(rows) + i, c, "categorical", f, None, None) for i, (c, f) in enumerate(self.categorical.items())]
-        return spark.createDataFrame(rows, "pos int, feature string, kind string, fill string, mean double, std double")
+        return local_table(spark, rows, "pos int, feature string, kind string, fill string, mean double, std double")
 
 
 def encode_labels(df: DataFrame, target: str) -> DataFrame:

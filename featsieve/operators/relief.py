@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import local_table
 from .split import stratified_sample
 
 MAX_SAMPLE_CELLS = 50_000_000
@@ -33,7 +34,7 @@ def relief_scores(
     base = sample.toPandas().sort_values("key", kind="stable").reset_index(drop=True)  # <= max_rows rows by construction
     n = len(base)
     if n < 3:
-        return spark.createDataFrame([(i, 0.0) for i in range(len(features))], "pos int, score double")
+        return local_table(spark, [(i, 0.0) for i in range(len(features))], "pos int, score double")
     shipped = spark.sparkContext.broadcast((np.stack(base["x"].to_numpy()), base["y"].to_numpy()))
     take = min(neighbors, n - 1)
 

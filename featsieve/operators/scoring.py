@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import finite
+from ..functions import finite, local_table
 
 GROUP = ("dataset", "classifier")
 # score input -> (holdout column, cross-validation column, higher is better)
@@ -30,7 +30,7 @@ Scenarios = Mapping[str, Mapping[str, Mapping[str, float]]]
 def scenario_table(spark: SparkSession, scenarios: Scenarios) -> DataFrame:
     """(scenario, side, metric, weight) rows of a nested weight mapping."""
     rows = [(s, side, m, float(w)) for s, sides in scenarios.items() for side, ws in sides.items() for m, w in ws.items()]
-    return spark.createDataFrame(rows, "scenario string, side string, metric string, weight double")
+    return local_table(spark, rows, "scenario string, side string, metric string, weight double")
 
 
 def weight_check(weights: DataFrame) -> DataFrame:

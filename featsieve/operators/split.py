@@ -8,120 +8,102 @@ again with the cut points (a few per class) at hand.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import bounded_rows, hash32
+from ..functions import hash32, local_table
 
 BUCKET_BITS = 16
+MAX_CLASSES = 100_000
+
+Sizes = dict[object, list[int]]  # class -> rows in part 1, 2, ...
 
 
 def _bucket(h: Column) -> Column:
     return F.shiftright(h, 32 - BUCKET_BITS)
 
 
-def _bucket_counts(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    return df.groupBy(F.col(label).alias("_class"), _bucket(hash32(F.col(key), seed)).alias("_b")).agg(F.count("*").alias("_n"))
+def holdout_sizes(counts: dict[object, int], test_rows: int) -> Sizes:
+    """[test, train] rows per class. The train side gets its proportional shares by largest remainder, ties to the smaller label."""
+    total = sum(counts.values())
+    kept = max(0, total - test_rows)
+    whole = {c: n * kept // total for c, n in counts.items()}
+    left = kept - sum(whole.values())
+    for c in sorted(counts, key=lambda c: (-(counts[c] * kept % total), c))[:left]:
+        whole[c] += 1
+    return {c: [n - whole[c], whole[c]] for c, n in counts.items()}
+
 
+def fold_sizes(counts: dict[object, int], k: int) -> Sizes:
+    """Rows per class in folds 1..k: the label-sorted table is dealt round-robin."""
+    out, start = {}, 0
+    for c in sorted(counts):
+        end = start + counts[c]
+        # positions p < x with p mod k = f
+        upto = [[(x - f + k - 1) // k for x in (start, end)] for f in range(k)]
+        out[c] = [hi - lo for lo, hi in upto]
+        start = end
+    return out
 
-def holdout_quota(counts: DataFrame, test_rows: Column) -> DataFrame:
-    """Rows to take from each class (``_class``, ``n``), the rest of the classes' proportional shares.
 
-    The kept side gets its shares by largest remainder, ties to the smaller label.
+def _with_parts(df: DataFrame, label: str, key: str, seed: int, sizes_of: Callable[[dict[object, int]], Sizes], out: str) -> DataFrame:
+    """Number the rows of each class 1, 2, ... by hash order, with part sizes computed from the class counts.
+
+    What reaches the driver: one count per class and one cut point per class and part.
     """
-    every = Window.partitionBy()  # one row per class
-    total = F.sum("n").over(every)
-    parts = counts.withColumn("_total", total).withColumn("_kept", F.greatest(total - test_rows, F.lit(0)))
-    # shares n * kept / total as whole part and exact remainder; decimals, as the product outgrows BIGINT
-    product = "cast(n as decimal(18,0)) * cast(_kept as decimal(18,0))"
-    parts = parts.withColumn("_rest", F.expr(f"mod({product}, cast(_total as decimal(18,0)))"))
-    parts = parts.withColumn("_whole", F.expr(f"({product} - _rest) div cast(_total as decimal(18,0))"))
-    order = Window.orderBy(F.desc("_rest"), F.asc("_class"))
-    extra = (F.row_number().over(order) <= F.col("_kept") - F.sum("_whole").over(every)).cast("bigint")
-    return parts.select("_class", "n", (F.col("n") - F.col("_whole") - extra).alias("take"))
-
-
-def fold_quota(counts: DataFrame, k: int) -> DataFrame:
-    """Rows of each class in folds 1..k: positions of the class in the label-sorted table dealt round-robin."""
-    running = F.sum("n").over(Window.orderBy("_class").rowsBetween(Window.unboundedPreceding, 0))  # one row per class
-    dealt = counts.withColumn("_to", running).withColumn("_from", F.col("_to") - F.col("n"))
-
-    def upto(end: Column, f: Column) -> Column:
-        # positions p < end with p mod k = f
-        return F.floor((end - f + (k - 1)) / k)
-
-    f = F.col("fold") - 1
-    return (
-        dealt.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
-        .select("_class", "n", "fold", (upto(F.col("_to"), f) - upto(F.col("_from"), f)).alias("take"))
-    )
-
-
-def _cut_points(df: DataFrame, label: str, key: str, seed: int, counts: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(class, cut, hash, key) of the rows at the given 1-based ranks within their class."""
-    by_bucket = Window.partitionBy("_class").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    spans = counts.withColumn("_upto", F.sum("_n").over(by_bucket)).withColumn("_before", F.col("_upto") - F.col("_n"))
-    at = (
-        spans.join(ranks, "_class")
-        .filter((F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_upto")))
-        .select("_class", "_b", "cut", (F.col("rank") - F.col("_before")).alias("_pos"))
-    )
-    at, proven = bounded_rows(at)
+    spark = df.sparkSession
     rows = df.select(F.col(label).alias("_class"), F.col(key).alias("_key"), hash32(F.col(key), seed).alias("_h"))
-    rows = rows.withColumn("_b", _bucket(F.col("_h")))
-    buckets = at.select("_class", "_b").distinct()
-    near = rows.join(F.broadcast(buckets) if proven else buckets, ["_class", "_b"], "left_semi")
-    order = Window.partitionBy("_class", "_b").orderBy("_h", "_key")
-    return (
-        near.withColumn("_pos", F.row_number().over(order))
-        .join(at, ["_class", "_b", "_pos"])
-        .select("_class", "cut", "_h", "_key")
-    )
-
-
-def _with_part(
-    df: DataFrame, label: str, key: str, seed: int, counts: DataFrame, sizes: DataFrame, n_parts: int, out: str
-) -> DataFrame:
-    """Number the rows of each class 1..n_parts by hash order with the given part sizes (_class, part, take)."""
-    running = Window.partitionBy("_class").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-    ends = sizes.select("_class", "part", F.sum("take").over(running).alias("rank")).filter(F.col("part") < n_parts)
-    cuts = _cut_points(df, label, key, seed, counts, ends.select("_class", F.col("part").alias("cut"), "rank"))
-    per_class = (
-        cuts.groupBy("_class").agg(F.map_from_entries(F.collect_list(F.struct("cut", F.struct("_h", "_key")))).alias("_cuts"))
-    )
-    per_class, proven = bounded_rows(per_class)
-    h = hash32(F.col(key), seed)
-    here = df.withColumn("_here", F.struct(h.alias("_h"), F.col(key).alias("_key")))
-    joined = here.join(F.broadcast(per_class) if proven else per_class, here[label] == per_class["_class"], "left")
+    rows = rows.filter(F.col("_class").isNotNull()).withColumn("_b", _bucket(F.col("_h")))
+    counts = rows.groupBy("_class", "_b").agg(F.count("*").alias("_n")).persist()  # classes x buckets rows
+    found = counts.groupBy("_class").agg(F.sum("_n")).limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{label!r} has more than {MAX_CLASSES} classes")
+    sizes = sizes_of({r[0]: r[1] for r in found})
+    parts = max((len(v) for v in sizes.values()), default=1)
+    kind = df.schema[label].dataType.simpleString()
+    ranks = [(c, i + 1, sum(v[: i + 1])) for c, v in sizes.items() for i in range(len(v) - 1) if sum(v[: i + 1])]
+    wanted = local_table(spark, ranks, f"_class {kind}, cut int, rank bigint")
+    running = Window.partitionBy("_class").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    spans = counts.withColumn("_upto", F.sum("_n").over(running)).withColumn("_before", F.col("_upto") - F.col("_n"))
+    at = spans.join(F.broadcast(wanted), "_class").filter("rank > _before AND rank <= _upto")
+    places = at.select("_class", "_b", "cut", (F.col("rank") - F.col("_before")).cast("int").alias("_pos")).collect()
+    counts.unpersist()
+    where = local_table(spark, places, at.select("_class", "_b", "cut", F.lit(1).alias("_pos")).schema)
+    # only the buckets that hold a cut are ranked: about rows / 2^16 each
+    near = rows.join(F.broadcast(where.select("_class", "_b").distinct()), ["_class", "_b"], "left_semi")
+    ranked = near.withColumn("_pos", F.row_number().over(Window.partitionBy("_class", "_b").orderBy("_h", "_key")))
+    cuts: dict[object, list] = {c: [None] * (parts - 1) for c in sizes}
+    for r in ranked.join(F.broadcast(where), ["_class", "_b", "_pos"]).select("_class", "cut", "_h", "_key").collect():
+        cuts[r["_class"]][r["cut"] - 1] = (r["_h"], r["_key"])
+    key_kind = df.schema[key].dataType.simpleString()
+    table = local_table(spark, list(cuts.items()), f"_class {kind}, _cuts array<struct<_h: bigint, _key: {key_kind}>>")
+    here = df.withColumn("_here", F.struct(hash32(F.col(key), seed).alias("_h"), F.col(key).alias("_key")))
+    joined = here.join(F.broadcast(table), here[label] == table["_class"], "left")
     part = F.lit(1)
-    for i in range(1, n_parts):
+    for i in range(parts - 1):
         # no cut point means rank 0: every row lies behind it
-        cut = F.try_element_at("_cuts", F.lit(i))
-        part = part + F.coalesce((F.col("_here") > cut), F.lit(True)).cast("int")
+        part = part + F.coalesce(F.col("_here") > F.col("_cuts")[i], F.lit(True)).cast("int")
     return joined.withColumn(out, part).select(*df.columns, out)
 
 
-def _class_counts(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("_class").agg(F.sum("_n").alias("n"))
-
-
 def stratified_holdout(
     df: DataFrame, label: str, key: str, seed: int = 42, test_size: float | int = 0.2, out: str = "split"
 ) -> DataFrame:
     """Add 'train'/'test' with class-proportional test rows: ceil(test_size * n) of them, or that many when an int."""
-    counts = _bucket_counts(df, label, key, seed)
-    total = F.sum("n").over(Window.partitionBy())
-    rows = F.least(total, F.lit(test_size)) if isinstance(test_size, int) else F.ceil(F.round(total * F.lit(test_size), 9))
-    quota = holdout_quota(_class_counts(counts), rows)
-    sizes = quota.select("_class", F.lit(1).alias("part"), "take")
-    parts = _with_part(df, label, key, seed, counts, sizes, 2, "_part")
+
+    def sizes(counts: dict[object, int]) -> Sizes:
+        n = sum(counts.values())
+        return holdout_sizes(counts, min(n, test_size) if isinstance(test_size, int) else math.ceil(round(n * test_size, 9)))
+
+    parts = _with_parts(df, label, key, seed, sizes, "_part")
     return parts.withColumn(out, F.when(F.col("_part") == 1, "test").otherwise("train")).drop("_part")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 42, out: str = "fold") -> DataFrame:
     """Add fold 1..k; fold sizes differ by at most one row within a class."""
-    counts = _bucket_counts(df, label, key, seed)
-    sizes = fold_quota(_class_counts(counts), k).withColumnRenamed("fold", "part")
-    return _with_part(df, label, key, seed, counts, sizes, k, out)
+    return _with_parts(df, label, key, seed, lambda counts: fold_sizes(counts, k), out)
 
 
 def fold_membership(folded: DataFrame, key: str, k: int, fold: str = "fold") -> DataFrame:

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import local_table
 from . import filters, linear, mrmr, mutual_info, relief, search, trees
 from .split import stratified_sample
 
@@ -40,7 +41,7 @@ class FitContext:
         if self._mi is None:
             scores = mutual_info.knn_scores(self.df, self.label, self.key, self.features, seed=self.seed)
             # one number per feature
-            self._mi = self.df.sparkSession.createDataFrame(scores.collect(), scores.schema)
+            self._mi = local_table(self.df.sparkSession, scores.collect(), scores.schema)
         return self._mi
 
     def only(self, features: Sequence[str]) -> FitContext:
@@ -120,7 +121,7 @@ def _hybrid_scores(x: FitContext, first: str, second: str, options: dict) -> Dat
     found = {r["pos"]: r["score"] for r in _clean(RANKERS[second].score(inner)).collect()}
     ranked = sorted(((found.get(i, 0.0), i) for i in range(len(pool))), reverse=True)
     rows = [(pool[i], float(s)) for s, i in ranked] + [(p, 0.0) for p in range(len(x.features)) if p not in pool]
-    return x.df.sparkSession.createDataFrame([(p, s, step) for step, (p, s) in enumerate(rows, 1)], "pos int, score double, step int")
+    return local_table(x.df.sparkSession, [(p, s, step) for step, (p, s) in enumerate(rows, 1)], "pos int, score double, step int")
 
 
 def _clean(scores: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def _clean(scores: DataFrame) -> DataFrame:
 def ranked(scores: DataFrame, features: Sequence[str], digits: int | None = None) -> DataFrame:
     """(rank, feature, score): best score first, ties to the later column; a given ``step`` order is kept."""
     spark = scores.sparkSession
-    names = spark.createDataFrame(list(enumerate(features)), "pos int, feature string")  # one row per column
+    names = local_table(spark, list(enumerate(features)), "pos int, feature string")  # one row per column
     scores = _clean(scores)
     by: list[Column] = [F.asc("step")] if "step" in scores.columns else [
         F.desc(F.round("score", digits) if digits is not None else F.col("score")), F.desc("pos")]
@@ -166,4 +167,4 @@ def run_suite(
     sample.unpersist()
     if x._stats is not None:
         x._stats.unpersist()
-    return df.sparkSession.createDataFrame(rows, RANKING_SCHEMA)
+    return local_table(df.sparkSession, rows, RANKING_SCHEMA)

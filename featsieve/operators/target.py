@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
-from ..functions import spread_broadcast
+from ..functions import local_table, spread_broadcast
 
 TASKS = ("binary", "multiclass")
 
@@ -23,7 +23,7 @@ def with_mapped_label(
     if not mapping:
         raise ValueError("the label mapping must not be empty")
     pairs = [(str(k).strip().lower() if case_insensitive else str(k).strip(), str(v)) for k, v in mapping.items()]
-    table = df.sparkSession.createDataFrame(list(dict(pairs).items()), f"_source string, {out} string")
+    table = local_table(df.sparkSession, list(dict(pairs).items()), f"_source string, {out} string")
     return (
         df.withColumn("_source", _label_text(F.col(target), case_insensitive))
         .join(F.broadcast(table), "_source", "left").drop("_source")
