@@ -6,6 +6,7 @@ import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from threading import Lock
 
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
@@ -165,10 +166,14 @@ def evaluate_grid(
     seen = grid.test.agg(F.max(F.col(grid.label).cast("int"))).head()[0]
     n_classes = max([*counts, seen or 0]) + 1
 
+    writing = Lock()
+
     def evaluate(c: Row) -> dict[str, list[tuple]]:
         found = evaluate_combination(grid, counts, c["features"], c["classifier"], n_classes, repeats, warmup)
         rows = _rows_of(grid.dataset, c, found)
-        if log_path:
+        if not log_path:
+            return rows
+        with writing:  # one append at a time: commits to a folder share its staging area
             for name in ("confusion", "timings", "fold_times", "facts"):  # facts last: they mark the combination as finished
                 append_results(local_table(spark, rows[name], SCHEMAS[name]).coalesce(1), f"{log_path}/{name}")
         return rows
