@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import digamma_int, hash32
+from ..functions import digamma_int, hash32, spread_broadcast
 from .filters import long_form
 
 NEIGHBORS = 3
@@ -59,26 +59,34 @@ def _range_of(bounds: dict[int, np.ndarray]):
     return find
 
 
-def _nearest(w, k: int) -> tuple[Column, Column, Column]:
-    """Radius to the k-th same-label neighbour and the open interval it spans around z."""
+def _interval(k: int) -> tuple[Column, Column, Column]:
+    """Radius to the k'-th same-label neighbour and, where a row marks it, the left or right end of the interval.
+
+    Works on the columns l1..lk and r1..rk, the values of the neighbours on both sides.
+    """
     z = F.col("z")
-    spans = []
-    for i in range(k + 1):
-        # i neighbours on the left, k - i on the right; only complete windows count
-        left, right = F.lag("z", i).over(w) if i else z, F.lead("z", k - i).over(w) if k - i else z
-        spans.append(F.when(left.isNotNull() & right.isNotNull(), F.struct(
-            F.greatest(z - left, right - z).alias("d"),
-            F.when(z - left >= right - z, left).alias("lo"), F.when(right - z >= z - left, right).alias("hi"),
-        )))
-    return F.array_min(F.filter(F.array(*spans), lambda s: s.isNotNull()))
+    left, right = [z, *[F.col(f"l{i}") for i in range(1, k + 1)]], [z, *[F.col(f"r{i}") for i in range(1, k + 1)]]
+    # i neighbours on the left, k - i on the right; a window that leaves the class is null
+    spans = [(left[i], right[k - i]) for i in range(k + 1)]
+    widths = [F.when(a.isNotNull() & b.isNotNull(), F.greatest(z - a, b - z)) for a, b in spans]
+    d = F.least(*widths)
+    lo = F.coalesce(*[F.when((w == d) & (z - a >= b - z), a) for (a, b), w in zip(spans, widths)])
+    hi = F.coalesce(*[F.when((w == d) & (b - z >= z - a), b) for (a, b), w in zip(spans, widths)])
+    # a class of at most k rows: its farthest row
+    a, b = F.coalesce(*left[:0:-1], z), F.coalesce(*right[:0:-1], z)
+    few = F.col("n_c") <= k
+    return (
+        F.when(few, F.greatest(z - a, b - z)).otherwise(d),
+        F.when(few, F.when(z - a >= b - z, a)).otherwise(lo), F.when(few, F.when(b - z >= z - a, b)).otherwise(hi),
+    )
 
 
 def _with_radius(points: DataFrame, k: int, block_rows: int | None) -> DataFrame:
     """Add n_c, k' = min(k, n_c - 1) and the neighbour interval; labels with a single row are dropped."""
-    sizes = points.groupBy("pos", "y").agg(F.count("*").alias("n_c"))
+    sizes = spread_broadcast(points.groupBy("pos", "y").agg(F.count("*").alias("n_c")))
     if block_rows is None:
         w = Window.partitionBy("pos", "y").orderBy("z", "key")
-        placed = points.withColumn("n_c", F.count("*").over(Window.partitionBy("pos", "y"))).withColumn("own", F.lit(True))
+        placed = points.join(sizes, ["pos", "y"]).withColumn("own", F.lit(True))
     else:
         # exact rank in (feature, label): rank in the value range plus the sizes of the earlier ranges
         per_range = points.groupBy("pos", "y", "b").agg(F.count("*").alias("c"))
@@ -94,20 +102,19 @@ def _with_radius(points: DataFrame, k: int, block_rows: int | None) -> DataFrame
         seen = F.array_distinct(F.array(F.floor((F.col("r") - k) / block_rows), home, F.floor((F.col("r") + k) / block_rows)))
         placed = ranked.withColumn("home", home).withColumn("block", F.explode(seen)).withColumn("own", F.col("block") == F.col("home"))
         w = Window.partitionBy("pos", "y", "block").orderBy("r")
-    near = F.lit(None)
-    for size in range(1, k + 1):
-        near = F.when(F.least(F.col("n_c") - 1, F.lit(k)) == size, _nearest(w, size)).otherwise(near)
+    sides = {f"l{i}": F.lag("z", i).over(w) for i in range(1, k + 1)} | {f"r{i}": F.lead("z", i).over(w) for i in range(1, k + 1)}
+    d, lo, hi = _interval(k)
     return (
-        placed.withColumn("near", near).filter(F.col("own") & (F.col("n_c") > 1))
-        .select("pos", "key", "n_c", F.least(F.col("n_c") - 1, F.lit(k)).alias("k_c"), "z", "b", "near")
+        placed.withColumns(sides).filter(F.col("own") & (F.col("n_c") > 1))
+        .select("pos", "key", "n_c", F.least(F.col("n_c") - 1, F.lit(k)).alias("k_c"), "z", "b", d.alias("d"), lo.alias("lo"), hi.alias("hi"))
     )
 
 
 def _with_inner_count(points: DataFrame, bounds: dict[int, np.ndarray] | None) -> DataFrame:
     """Add m: rows of the feature, any label, strictly closer than the radius (the row itself included)."""
-    tie = F.col("near.d") == 0
-    lo = F.coalesce(F.col("near.lo"), F.col("z") - F.col("near.d"))
-    hi = F.coalesce(F.col("near.hi"), F.col("z") + F.col("near.d"))
+    tie = F.col("d") == 0
+    lo = F.coalesce(F.col("lo"), F.col("z") - F.col("d"))
+    hi = F.coalesce(F.col("hi"), F.col("z") + F.col("d"))
     # order at equal value: 0 = probe before the data, 1 = data, 2 = probe after the data
     marks = F.array(
         F.struct(F.col("z").alias("v"), F.lit(1).alias("kind"), F.lit(0).alias("sign")),

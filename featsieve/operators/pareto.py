@@ -33,7 +33,8 @@ def pareto_front(
     points = alive.groupBy(*keys, "_cell", F.col(eff).alias("_eff")).agg(F.max(efs).alias("_efs"))
     better = Window.partitionBy(*keys, "_cell").orderBy(F.desc("_eff")).rowsBetween(Window.unboundedPreceding, -1)
     front = points.withColumn("_best", F.max("_efs").over(better)).filter("_best IS NULL OR _efs > _best")
-    match = [alive[k] == front[k] for k in keys] + [alive[eff] == front["_eff"], alive[efs] == front["_efs"]]
+    front = front.select(*[F.col(k).alias(f"_{k}") for k in keys], "_eff", "_efs")
+    match = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(eff) == F.col("_eff"), F.col(efs) == F.col("_efs")]
     return alive.join(front, match, "left_semi").drop("_cell", "_bar")
 
 
