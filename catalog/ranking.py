@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from featsieve.operators import mrmr, mutual_info, suite
+from featsieve.operators import mrmr, mutual_info, prep, suite
 from featsieve.operators.relief import relief_scores
 
 from .base import (
@@ -61,8 +61,10 @@ def rank_suite(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _context(spark: SparkSession, d: str, **options: dict) -> suite.FitContext:
-    """Embedding features; fewer rounds and trees than the defaults, for run time."""
-    return suite.FitContext(embeddings(spark, d).persist(), "y", "row_key", EMBEDDING_FEATURES[:12], SEED, options)
+    """All orders, scaled; ``options`` hold fewer rounds and trees than the defaults, for run time."""
+    rows = orders(spark, d).drop("o_orderstatus")
+    scaled = prep.fit(rows, "y", ["row_key"]).transform(rows, ["row_key"])
+    return suite.FitContext(scaled.persist(), "label", "row_key", ORDERS_FEATURES, SEED, options)
 
 
 def _model_ranker(method: str, **options: dict):
