@@ -1,9 +1,13 @@
 """Operators of a training-data pipeline over documents and embeddings."""
 
-from . import addressable_codes, credential_links, multiset_hash, packing, poisson_mix
+from . import addressable_codes, cotrain_quality, credential_links, crf_language, dart_minhash, multiset_hash, packing, paragraph_banding, poisson_mix
 
 QUERIES = {
+    "op1_dart_minhash": dart_minhash.op1_dart_minhash,
     "op3_cost_balanced_packing": packing.op3_cost_balanced_packing,
+    "op4_crf_language": crf_language.op4_crf_language,
+    "op5_cotrain_quality": cotrain_quality.op5_cotrain_quality,
+    "op6_paragraph_banding": paragraph_banding.op6_paragraph_banding,
     "op7_poisson_mix": poisson_mix.op7_poisson_mix,
     "op8_credential_links": credential_links.op8_credential_links,
     "op9_multiset_hash": multiset_hash.op9_multiset_hash,
