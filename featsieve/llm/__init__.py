@@ -1,9 +1,10 @@
 """Operators of a training-data pipeline over documents and embeddings."""
 
-from . import addressable_codes, cotrain_quality, credential_links, crf_language, dart_minhash, multiset_hash, packing, paragraph_banding, poisson_mix
+from . import addressable_codes, cotrain_quality, credential_links, crf_language, dart_minhash, inverted_multi_index, multiset_hash, packing, paragraph_banding, poisson_mix
 
 QUERIES = {
     "op1_dart_minhash": dart_minhash.op1_dart_minhash,
+    "op2_inverted_multi_index": inverted_multi_index.op2_inverted_multi_index,
     "op3_cost_balanced_packing": packing.op3_cost_balanced_packing,
     "op4_crf_language": crf_language.op4_crf_language,
     "op5_cotrain_quality": cotrain_quality.op5_cotrain_quality,
