@@ -8,7 +8,6 @@ one text in the order of their starts, so it needs no shuffle and its work grows
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -89,42 +88,40 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]
     return "".join([*out, text[at:]])
 
 
-def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """All columns of ``docs`` and n_assign, n_access, n_hex, base, spans, safe_text (added names replace the input's own).
+def scan_secrets(docs: DataFrame, reach: int = REACH, carried: list[str] | None = None, safe: bool = True) -> DataFrame:
+    """Columns ``carried`` of ``docs`` (all by default) and n_assign, n_access, n_hex, base, spans and, if ``safe``, safe_text.
 
     ``base`` and ``spans`` are kind:start:end in code points, joined by commas in the order of start, then kind; safe_text is the
-    text without what ``spans`` covers, null for a null text. A null or empty text has no spans; texts are read whole; repeated
-    rows give repeated results; an empty table gives no rows.
+    text without what ``spans`` covers, null for a null text. Added columns replace the input's of the same names. A null or
+    empty text has no spans; texts are read whole; repeated rows give repeated results; an empty table gives no rows.
     """
-    added = ["n_assign", "n_access", "n_hex", "base", "spans", "safe_text"]
-    rest = [c for c in docs.columns if c not in added and c != "_scanned"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias("_scanned"))
+    added = ["n_assign", "n_access", "n_hex", "base", "spans", *(["safe_text"] if safe else [])]
+    kept = [c for c in (docs.columns if carried is None else carried) if c not in added]
+    read = kept if "text" in kept else [*kept, "text"]
+    rows = docs.select(*[F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in read])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_scanned"):
+        for batch in sliced(batches, "text"):
             out: dict[str, list] = {c: [] for c in added}
-            place = batch.schema.get_field_index("_scanned")
-            for text in batch.column(place).to_pylist():
+            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
                 strong = base_spans(text or "")
                 spans = strong + linked(strong, weak_spans(text or "", strong), reach)
                 for i, c in enumerate(added[:3]):
                     out[c].append(sum(k == i for _, k, _ in strong))
                 out["base"].append(joined(strong))
                 out["spans"].append(joined(spans))
-                out["safe_text"].append(redacted(text, spans) if text is not None and spans else text)
+                if safe:
+                    out["safe_text"].append(redacted(text, spans) if text is not None and spans else text)
             new = [pa.array(out[c], pa.int64() if c.startswith("n_") else pa.string()) for c in added]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns) if i != place] + new, names=[*rest, *added])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + new, names=[*kept, *added])
 
-    schema = rows.drop("_scanned").schema
+    schema = rows.select(*[f"`{c}`" for c in kept]).schema
     for c in added:
         schema = schema.add(c, "long" if c.startswith("n_") else "string")
     return rows.mapInArrow(scan, schema)
 
 
 def op8_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return scan_secrets(docs, carried=["doc_id"], safe=False).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
-
-def sha256_of(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()

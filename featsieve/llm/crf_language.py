@@ -231,27 +231,27 @@ def word_languages(model: Model, text: str) -> list[tuple[str, str]]:
     return [(w, model.langs[int(i)]) for w, i in zip(words, p.argmax(axis=1))]
 
 
-def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score (replacing columns of these names).
+def predict_languages(docs: DataFrame, model: Model, carried: list[str] | None = None) -> DataFrame:
+    """Columns ``carried`` of ``docs`` (all by default) with lang_pred and score, which replace columns of these names.
 
     Null texts and texts without letters are ``und`` with score 0, as is every text when nothing could be learned (no
     labelled rows); with one learned language all other texts get it with score 1. Equal scores go to the first language in
     sorted order. Repeated rows are labelled alike; an empty table gives no rows.
     """
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score", "_text")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias("_text"))
+    kept = [c for c in (docs.columns if carried is None else carried) if c not in ("lang_pred", "score")]
+    read = kept if "text" in kept else [*kept, "text"]
+    rows = docs.select(*[F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in read])
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     slice_bytes = max(50_000, 12_000_000 // max(4, len(model.langs)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
-        for batch in sliced(batches, "_text", slice_bytes):
-            place = batch.schema.get_field_index("_text")
-            labels = label_texts(own, batch.column(place).to_pylist())
+        for batch in sliced(batches, "text", slice_bytes):
+            labels = label_texts(own, batch.column(batch.schema.get_field_index("text")).to_pylist())
             new = [pa.array([x for x, _ in labels], pa.string()), pa.array([s for _, s in labels], pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns) if i != place] + new, names=[*rest, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + new, names=[*kept, "lang_pred", "score"])
 
-    return rows.mapInArrow(predict, rows.drop("_text").schema.add("lang_pred", "string").add("score", "double"))
+    return rows.mapInArrow(predict, rows.select(*[f"`{c}`" for c in kept]).schema.add("lang_pred", "string").add("score", "double"))
 
 
 def learn(docs: DataFrame) -> Model:
@@ -261,4 +261,4 @@ def learn(docs: DataFrame) -> Model:
 def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(docs)
-    return predict_languages(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict_languages(docs, model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
