@@ -13,11 +13,23 @@ from featsieve.llm import credential_links, crf_language, dart_minhash, packing,
 from featsieve.llm.common import stored
 
 
+CORE = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _own_names(docs: DataFrame) -> tuple[DataFrame, list]:
+    """``docs`` with columns beside the core ones under neutral names, and what selects the original columns back."""
+    names = {c: c if c in CORE else f"_extra{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents without a determined language, or with a weak one, go."""
-    labelled = crf_language.predict_languages(docs, crf_language.learn(docs))
-    kept = (F.col("lang_pred") != crf_language.UNDETERMINED) & (F.col("score") >= crf_language.MIN_SCORE)
-    return labelled.filter(kept).select(*docs.columns)
+    """Operator 4: documents without a determined language, or with a weak one, go; without any labelled row nothing is judged."""
+    model = crf_language.learn(docs)
+    if not model.langs:
+        return docs
+    plain, back = _own_names(docs)
+    labelled = crf_language.predict_languages(plain, model)
+    return labelled.filter((F.col("lang_pred") != crf_language.UNDETERMINED) & (F.col("score") >= crf_language.MIN_SCORE)).select(*back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +50,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: what the spans cover is replaced in the text; n_chars follows. All documents stay."""
-    found = credential_links.scan_secrets(docs)
-    changed = {"text": F.col("safe_text"), "n_chars": F.when(F.col("spans") != "", F.length("safe_text").cast("long")).otherwise(F.col("n_chars"))}
-    return found.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    plain, back = _own_names(docs)
+    found = credential_links.scan_secrets(plain)
+    n_chars = F.when(F.col("spans") != "", F.length("safe_text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", n_chars).withColumn("text", F.col("safe_text")).select(*back)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents are repeated to their sources' target weights and shuffled."""
-    return poisson_mix.mix_sources(docs).select(*docs.columns)
+    plain, back = _own_names(docs)
+    return poisson_mix.mix_sources(plain).select(*back)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

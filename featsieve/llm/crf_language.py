@@ -30,7 +30,7 @@ RUN_WORDS, CHAIN_WORDS = 15, 90  # training: words of a run, words of a chain
 SCORED_CHAIN = 128  # prediction: words of a chain; a longer text is several chains
 ROUNDS, RATE, DECAY = 5, 0.25, 1e-5
 LEXICON_COUNT, LEXICON_SHARE = 3, 0.9
-MIN_SCORE = 0.5  # pipeline: documents below are rejected
+MIN_SCORE = 0.4  # pipeline: documents below are rejected
 UNDETERMINED = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+")

@@ -1,7 +1,7 @@
 """Operator 6: repeated passages by paragraph MinHash banding.
 
-A text is cut into paragraphs: at line ends, and inside long lines at sentence ends (or words) chosen by their own
-content, so a passage is cut alike wherever it stands. Equal paragraphs are one from the start. The others are banded by
+A text is cut into paragraphs: at line ends, and inside long lines after sentences of some length (or after words chosen
+by their content), so a passage is cut alike wherever it stands. Equal paragraphs are one from the start. The others are banded by
 MinHash; the number of bands is the least that finds a pair at the threshold with the wanted probability.
 Colliding paragraphs are verified by exact Jaccard similarity, components are the classes, and neighbouring repeated
 paragraphs join to passages. Of a class the first occurrence stays, all others are to be removed.
@@ -27,7 +27,7 @@ MIN_WORDS = 5  # shorter paragraphs are never matched
 MIN_BANDED = 12  # paragraphs below hold too few shingles for a near match; they are matched as they are
 MIN_PASSAGE = 25  # words of neighbouring repeated paragraphs that make a passage
 GAP = 60  # characters between paragraphs that still are neighbours
-LONG_LINE, LONG_SENTENCE = 200, 600
+LEAST_SENTENCE, LONG_LINE, LONG_SENTENCE = 60, 200, 600  # characters
 ROWS = 2
 
 _SENTENCE_END = re.compile(r"[.!?]+\s+")
@@ -56,7 +56,7 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
         for m in _SENTENCE_END.finditer(text, first, last):
             if m.end() - sentence > LONG_SENTENCE:
                 begin = _cut_words(text, begin, sentence, m.end(), out)
-            if _chosen(text, sentence, m.start(), 3):
+            if m.end() - sentence >= LEAST_SENTENCE:
                 out.append((begin, m.end()))
                 begin = m.end()
             sentence = m.end()
