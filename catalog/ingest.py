@@ -26,7 +26,7 @@ def normalized_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_mapping(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    rows = load(spark, d, "customer").select("c_custkey", F.concat(F.lit("\t"), "c_mktsegment", F.lit(" \n")).alias("c_mktsegment"))
     return target.map_labels(rows, "c_mktsegment", SEGMENTS, case_insensitive=True, default="other")[0]
 
 

@@ -42,7 +42,7 @@ def with_row_key(
     if unique is not None:
         return df.withColumn(name, F.col(unique).cast("string"))
     if key is None:
-        key = F.md5(portable_key(*[_text_of(f) for f in df.schema.fields]))
+        key = F.md5(F.concat(*[_text_of(f) for f in df.schema.fields]))
     cols = df.columns
     counted = df.groupBy(*cols).agg(F.count("*").alias("_copies"))
 
@@ -61,5 +61,13 @@ def with_row_key(
 
 
 def _text_of(field: T.StructField) -> Column:
-    # null and the empty string must give different keys
-    return F.coalesce(F.concat(F.lit("="), F.col(f"`{field.name}`").cast("string")), F.lit("~"))
+    # the length in front keeps field ends apart, whatever the text holds; null and the empty string differ
+    text = F.col(f"`{field.name}`").cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit("="), text), F.lit("~"))
+
+
+def require_unique(df: DataFrame, column: str) -> None:
+    """Raise when a key column holds nulls or a value twice; equal values combine before the shuffle."""
+    groups = df.groupBy(F.col(column).cast("string").alias("v")).count()
+    if groups.filter("v is null or count > 1").limit(1).count():
+        raise ValueError(f"column {column!r} cannot be a row key: its values are not unique or some are null")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -44,7 +43,7 @@ def spread_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; own one only in local mode."""
+    """Use the folder named by spark.checkpoint.dir, or one in the warehouse, which executors share as well."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
@@ -53,9 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     if sc.getCheckpointDir() is not None:
         return
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="featsieve-checkpoint-"))
+    sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions import folded, folded_text, stripped
 from .target import target_facts
 
 
@@ -20,7 +21,7 @@ def label_counts(df: DataFrame, target: str, dataset: str) -> DataFrame:
 
 
 def benign_counts(df: DataFrame, target: str, benign: Sequence[str]) -> DataFrame:
-    """Rows whose trimmed lower-case label is in ``benign`` and the rest; nulls when the set is empty."""
+    """Rows whose stripped, case-folded label is in ``benign`` and the rest; nulls when the set is empty."""
     return df.agg(*_benign_aggs(target, benign))
 
 
@@ -30,7 +31,7 @@ def _benign_aggs(target: str, benign: Sequence[str]) -> list[Column]:
             F.lit(None).cast("bigint").alias("benign_or_normal_count"),
             F.lit(None).cast("bigint").alias("malicious_or_attack_count"),
         ]
-    hit = F.coalesce(F.lower(F.trim(F.col(target).cast("string"))).isin(*[b.lower() for b in benign]), F.lit(False))
+    hit = F.coalesce(folded(stripped(F.col(target))).isin(*[folded_text(b) for b in benign]), F.lit(False))
     return [
         F.count_if(hit).alias("benign_or_normal_count"),
         F.count_if(~hit).alias("malicious_or_attack_count"),

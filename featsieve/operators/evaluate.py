@@ -30,13 +30,13 @@ ALIASES = {
 
 
 def build_classifier(name: str, n_features: int, n_classes: int, n_rows: int, seed: int, options: dict | None = None):
-    """An unfitted class-balanced Spark ML classifier."""
+    """An unfitted Spark ML classifier, class-balanced where it takes weights (the perceptron does not)."""
     o = dict(options or {})
     name = ALIASES.get(name, name)
     if name == "dt_cpu":
         return DecisionTreeClassifier(impurity=o.get("criterion", "gini"), maxDepth=o.get("max_depth", 30), weightCol="weight", seed=seed, maxMemoryInMB=1024)
     if name == "rf_cpu":
-        return RandomForestClassifier(numTrees=o.get("trees", 300), maxDepth=o.get("max_depth", 16), weightCol="weight", seed=seed, maxMemoryInMB=1024)
+        return RandomForestClassifier(numTrees=o.get("trees", 300), maxDepth=o.get("max_depth", 30), weightCol="weight", seed=seed, maxMemoryInMB=1024)
     if name == "linear_svm":
         # regParam = 1 / (C * sum of weights); balanced weights sum to the row count
         svm = LinearSVC(regParam=1.0 / (o.get("C", 1.0) * n_rows), maxIter=o.get("max_iter", 100), weightCol="weight", standardization=False)
@@ -195,8 +195,10 @@ def _read_log(spark: SparkSession, log_path: str | None, name: str) -> DataFrame
         return None
     try:
         return spark.read.parquet(f"{log_path}/{name}")
-    except AnalysisException:  # nothing written yet
-        return None
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":  # nothing written yet
+            return None
+        raise
 
 
 def _rows_of(dataset: str, c: Row, found: dict) -> dict[str, list[tuple]]:

@@ -22,12 +22,14 @@ def abs_correlation(df: DataFrame, features: Sequence[str]) -> np.ndarray:
 
 def greedy_order(relevance: Sequence[float], corr: np.ndarray) -> list[tuple[int, float]]:
     """[(pos, gain)] in the order chosen: relevance minus mean |corr| with those chosen; the first best wins."""
-    left, chosen, out = list(range(len(relevance))), [], []
-    while left:
-        gains = [relevance[i] - (float(np.mean(corr[i, chosen])) if chosen else 0.0) for i in left]
-        best = int(np.argmax(np.round(gains, 12)))
-        out.append((left[best], gains[best]))
-        chosen.append(left.pop(best))
+    gains_of = np.asarray(relevance, float)
+    redundancy, open_, out = np.zeros(len(gains_of)), np.ones(len(gains_of), bool), []
+    for n_chosen in range(len(gains_of)):
+        gain = np.where(open_, gains_of - redundancy / max(1, n_chosen), -np.inf)
+        best = int(np.argmax(np.round(gain, 12)))
+        out.append((best, float(gain[best])))
+        open_[best] = False
+        redundancy += corr[:, best]
     return out
 
 

@@ -11,13 +11,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions import bounded_rows, cut_lineage, finite, local_table
+from ..functions import bounded_rows, cut_lineage, finite, local_table, stripped
 from .quantiles import exact_quantiles
 from .target import null_tokens
 
 MAX_PLAIN_DICTIONARY = 200_000
 HEAD_VALUES = 10_000
-SALTS = 1024
 
 
 def drop_roles(df: DataFrame, target: str, *roles: Sequence[str]) -> DataFrame:
@@ -65,7 +64,7 @@ def apply_recipe(df: DataFrame, target: str, recipe: Recipe) -> DataFrame:
         if name in df.columns:
             df = df.replace({old: new}, subset=[name])
     if recipe.label_null is not None:
-        text = F.lower(F.trim(F.coalesce(F.col(target).cast("string"), F.lit(recipe.label_null))))
+        text = F.lower(stripped(F.coalesce(F.col(target).cast("string"), F.lit(recipe.label_null))))
         for old, new in recipe.label_replace:
             text = F.replace(text, F.lit(old), F.lit(new))
         df = df.withColumn(target, text)
@@ -135,8 +134,9 @@ def encode_column(df: DataFrame, name: str, dictionary: DataFrame, out: str, uns
     """Replace the text of ``name`` by its code from (value, n, code), ``unseen`` when absent.
 
     A small dictionary is broadcast. Of a larger one the most frequent values
-    are broadcast, and only rows they do not cover are joined by shuffle; rows
-    already coded are spread by a salt, so no hot value meets one task.
+    are broadcast, together with the values, known or not, that are most frequent
+    in ``df`` itself. Only rows of other values are joined by shuffle, and each of
+    those values is rare, so no hot value meets one task.
     """
     table = dictionary.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
     small, proven = bounded_rows(table, head_values)
@@ -145,15 +145,14 @@ def encode_column(df: DataFrame, name: str, dictionary: DataFrame, out: str, uns
         joined = df.withColumn("_value", text).join(F.broadcast(small), "_value", "left").drop("_value")
         return joined.withColumn(out, F.coalesce("_code", F.lit(unseen))).drop("_code")
     head = dictionary.orderBy(F.desc("n"), "value").limit(head_values).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-    tail = table.select(F.col("_value").alias("_rare"), F.lit(0).alias("_salt"), F.col("_code").alias("_rare_code"))
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS)).cast("int")
-    coded = (
-        df.withColumn("_value", text).join(F.broadcast(head), "_value", "left")
-        .withColumn("_salt", F.when(F.col("_code").isNull() & F.col("_value").isNotNull(), F.lit(0)).otherwise(spread))
-        .withColumn("_rare", F.when(F.col("_code").isNull(), F.col("_value")))
-    )
-    joined = coded.join(tail, ["_rare", "_salt"], "left")
-    return joined.withColumn(out, F.coalesce("_code", "_rare_code", F.lit(unseen))).drop("_value", "_code", "_rare", "_salt", "_rare_code")
+    # what is frequent in the table at hand need not be frequent, or known, in the dictionary
+    rest = df.select(text.alias("_value")).filter("_value is not null").join(F.broadcast(head), "_value", "left_anti").groupBy("_value").agg(F.count("*").alias("_n"))
+    heavy = rest.orderBy(F.desc("_n"), "_value").limit(head_values).join(table, "_value", "left").select("_value", F.coalesce("_code", F.lit(unseen)).alias("_code"))
+    coded = df.withColumn("_value", text).join(F.broadcast(head.union(heavy)), "_value", "left")  # at most twice head_values rows
+    open_ = F.col("_code").isNull() & F.col("_value").isNotNull()
+    rare = coded.filter(open_).drop("_code").join(table, "_value", "left")
+    known = coded.filter(~open_).unionByName(rare)
+    return known.withColumn(out, F.coalesce("_code", F.lit(unseen))).drop("_value", "_code")
 
 
 @dataclass
@@ -199,8 +198,8 @@ class PrepModel:
 
 
 def encode_labels(df: DataFrame, target: str) -> DataFrame:
-    """(value, code) of the label texts in sorted order."""
-    values = df.select(F.lit(target).alias("feature"), F.col(f"`{target}`").cast("string").alias("value")).distinct()
+    """(value, code) of the label texts in sorted order; a missing label is no class."""
+    values = df.select(F.lit(target).alias("feature"), F.col(f"`{target}`").cast("string").alias("value")).filter("value is not null").distinct()
     return category_codes(values).select("value", "code")
 
 

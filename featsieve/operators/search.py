@@ -1,12 +1,14 @@
 """Population search over feature masks: genetic and particle-swarm rankers.
 
-The driver holds masks only. A whole generation is fitted and scored together
-by BatchLogistic, so the number of passes does not grow with the population.
+The driver holds masks only; a search is a state that proposes masks for a round and takes their fitness back. All masks
+of a round are fitted and scored together by BatchLogistic, so the number of passes does not grow with the population.
+Random draws are functions of (seed, round, individual): no draw depends on how many were made before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -15,15 +17,22 @@ from .batch_logistic import BatchLogistic, Problem, weighted_f1
 from .linear import class_count, logistic_input, scores_frame
 from .split import stratified_folds
 
+# fixed values: sizes of the search, and the constants of both methods
 POOL, POPULATION, ROUNDS = 30, 20, 10
+MUTATION = 0.05
+INERTIA, PULL = 0.7, 1.4
+SIZE_PENALTY, WINNER_BONUS, POOL_TRACE = 0.01, 100.0, 0.001
+
 PARTS = 40  # stratified parts a round's validation quarter is drawn from
-SIZE_PENALTY = 0.01
+MAX_ROUNDS = 63  # a row's rounds are bits of a signed 64-bit number
 
 
 class SubsetFitness:
     """Weighted F1 on a stratified quarter of the rows, minus a small charge for the share of features used."""
 
     def __init__(self, df: DataFrame, label: str, key: str, features: Sequence[str], rounds: int, seed: int):
+        if rounds > MAX_ROUNDS:
+            raise ValueError(f"at most {MAX_ROUNDS} rounds can be searched, not {rounds}")
         parted = stratified_folds(df.select(key, label, *features), label, key, PARTS, seed, "_part")
         bits = np.zeros(PARTS, dtype=np.int64)
         for r in range(rounds):
@@ -49,21 +58,87 @@ class SubsetFitness:
         self.data.unpersist()
 
 
-def _relevance(relevance: DataFrame, p: int) -> np.ndarray:
-    out = np.zeros(p)
-    for r in relevance.collect():
-        out[r["pos"]] = r["score"]
-    return out
+@dataclass
+class Breeding:
+    """Genetic search: binary tournaments pick parents, uniform crossover mixes them, bits flip rarely, the best one lives on."""
+
+    n_bits: int
+    size: int
+    seed: int
+    masks: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.masks = np.stack([self._draw(0, i).random(self.n_bits) < 0.5 for i in range(self.size)])
+
+    def _draw(self, round_: int, individual: int) -> np.random.Generator:
+        return np.random.default_rng([self.seed, 1, round_, individual])
+
+    def move(self, fitness: np.ndarray, round_: int) -> None:
+        next_ = [self.masks[int(fitness.argmax())]]
+        for child in range(1, self.size):
+            draw = self._draw(round_ + 1, child)
+            rivals = draw.integers(self.size, size=(2, 2))
+            mother, father = (self.masks[pair[int(fitness[pair].argmax())]] for pair in rivals)
+            mixed = np.where(draw.random(self.n_bits) < 0.5, mother, father)
+            next_.append(mixed ^ (draw.random(self.n_bits) < MUTATION))
+        self.masks = np.stack(next_)
+
+
+@dataclass
+class Swarm:
+    """Binary particle swarm (Kennedy and Eberhart, 1997): a particle's speed is the log-odds of each bit."""
 
+    n_bits: int
+    size: int
+    seed: int
+    masks: np.ndarray = field(init=False)
 
-def _pool_of(relevance: np.ndarray, size: int) -> np.ndarray:
-    return np.argsort(np.round(relevance, 12), kind="stable")[::-1][: min(size, len(relevance))]
+    def __post_init__(self) -> None:
+        self.speed = np.stack([self._draw(0, i).normal(0.0, 1.0, self.n_bits) for i in range(self.size)])
+        self.masks = self._sample(0)
+        self.own, self.own_fitness = self.masks.copy(), np.full(self.size, -np.inf)
 
+    def _draw(self, round_: int, particle: int) -> np.random.Generator:
+        return np.random.default_rng([self.seed, 2, round_, particle])
 
-def _final(df: DataFrame, relevance: np.ndarray, pool: np.ndarray, counts: np.ndarray, best: np.ndarray) -> DataFrame:
-    """Selection counts, plus 100 for members of the best mask, plus relevance; others keep a trace of relevance."""
-    scores = 0.001 * relevance
-    scores[pool] += counts + 100.0 * best + relevance[pool]
+    def _sample(self, round_: int) -> np.ndarray:
+        chance = 1.0 / (1.0 + np.exp(-self.speed))
+        return np.stack([np.random.default_rng([self.seed, 3, round_, i]).random(self.n_bits) < chance[i] for i in range(self.size)])
+
+    def move(self, fitness: np.ndarray, round_: int) -> None:
+        improved = fitness > self.own_fitness
+        self.own = np.where(improved[:, None], self.masks, self.own)
+        self.own_fitness = np.maximum(fitness, self.own_fitness)
+        leader = self.own[int(self.own_fitness.argmax())].astype(float)
+        for i in range(self.size):
+            toward_own, toward_leader = self._draw(round_ + 1, i).random((2, self.n_bits))
+            here = self.masks[i].astype(float)
+            self.speed[i] = INERTIA * self.speed[i] + PULL * (toward_own * (self.own[i] - here) + toward_leader * (leader - here))
+        self.masks = self._sample(round_ + 1)
+
+
+def _search(
+    kind: type, df: DataFrame, label: str, key: str, features: Sequence[str], relevance: DataFrame, seed: int, pool_size: int, size: int, rounds: int
+) -> DataFrame:
+    """Scores: how often a pool member was in a proposed mask, a bonus for the best mask's members, and its relevance.
+
+    Features outside the pool, the most relevant ones, keep a trace of their relevance.
+    """
+    known = np.zeros(len(features))
+    for r in relevance.collect():  # one number per feature
+        known[r["pos"]] = r["score"]
+    pool = np.lexsort((-np.arange(len(known)), -np.round(known, 12)))[:pool_size]
+    fitness = SubsetFitness(df, label, key, [features[i] for i in pool], rounds, seed)
+    state, chosen, top, winner = kind(len(pool), size, seed), np.zeros(len(pool)), -np.inf, np.zeros(len(pool), bool)
+    for round_ in range(rounds):
+        found = fitness.score(state.masks, round_)
+        chosen += state.masks.sum(axis=0)
+        if found.max() > top:
+            top, winner = found.max(), state.masks[int(found.argmax())].copy()
+        state.move(found, round_)
+    fitness.close()
+    scores = POOL_TRACE * known
+    scores[pool] += chosen + WINNER_BONUS * winner + known[pool]
     return scores_frame(df, scores)
 
 
@@ -71,48 +146,11 @@ def genetic_scores(
     df: DataFrame, label: str, key: str, features: Sequence[str], relevance: DataFrame, seed: int = 42,
     pool_size: int = POOL, population: int = POPULATION, generations: int = ROUNDS,
 ) -> DataFrame:
-    rel = _relevance(relevance, len(features))
-    pool = _pool_of(rel, pool_size)
-    rng = np.random.default_rng(seed)
-    fitness = SubsetFitness(df, label, key, [features[i] for i in pool], generations, seed)
-    masks = rng.random((population, len(pool))) < 0.5
-    counts, best, best_score = np.zeros(len(pool)), masks[0].copy(), -np.inf
-    n_elite, n_counted = max(2, population // 4), max(2, population // 2)
-    for g in range(generations):
-        scores = fitness.score(masks, g)
-        masks = masks[np.argsort(-scores, kind="stable")]
-        if scores.max() > best_score:
-            best_score, best = scores.max(), masks[0].copy()
-        counts += masks[:n_counted].sum(axis=0)
-        elite = masks[:n_elite]
-        mothers, fathers = rng.integers(n_elite, size=(2, population - n_elite))
-        cuts = rng.integers(1, max(2, len(pool)), size=population - n_elite)
-        children = np.where(np.arange(len(pool)) < cuts[:, None], elite[mothers], elite[fathers])
-        masks = np.vstack([elite, children ^ (rng.random(children.shape) < 0.05)])
-    fitness.close()
-    return _final(df, rel, pool, counts, best)
+    return _search(Breeding, df, label, key, features, relevance, seed, pool_size, population, generations)
 
 
 def swarm_scores(
     df: DataFrame, label: str, key: str, features: Sequence[str], relevance: DataFrame, seed: int = 42,
     pool_size: int = POOL, particles: int = POPULATION, iterations: int = ROUNDS,
 ) -> DataFrame:
-    rel = _relevance(relevance, len(features))
-    pool = _pool_of(rel, pool_size)
-    rng = np.random.default_rng(seed)
-    fitness = SubsetFitness(df, label, key, [features[i] for i in pool], iterations, seed)
-    shape = (particles, len(pool))
-    at, speed = rng.random(shape), rng.normal(0, 0.1, shape)
-    own, own_score = at.copy(), fitness.score(at > 0.5, 0)
-    lead, counts = own[own_score.argmax()].copy(), np.zeros(len(pool))
-    for i in range(iterations):
-        pull_own, pull_lead = rng.random((2, *shape))
-        speed = 0.7 * speed + 1.4 * pull_own * (own - at) + 1.4 * pull_lead * (lead - at)
-        at = 1.0 / (1.0 + np.exp(-(at + speed)))
-        scores = fitness.score(at > 0.5, i)
-        better = scores > own_score
-        own[better], own_score[better] = at[better], scores[better]
-        lead = own[own_score.argmax()].copy()
-        counts += (at > 0.5).sum(axis=0)
-    fitness.close()
-    return _final(df, rel, pool, counts, lead > 0.5)
+    return _search(Swarm, df, label, key, features, relevance, seed, pool_size, particles, iterations)

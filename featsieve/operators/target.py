@@ -6,23 +6,23 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
-from ..functions import local_table, spread_broadcast
+from ..functions import folded, folded_text, local_table, spread_broadcast, stripped
 
 TASKS = ("binary", "multiclass")
+MAX_UNMAPPED = 100_000  # the list is metadata and held by the driver
 
 
 def _label_text(c: Column, case_insensitive: bool) -> Column:
-    text = F.trim(c.cast("string"))
-    return F.lower(text) if case_insensitive else text
+    return folded(stripped(c)) if case_insensitive else stripped(c)
 
 
 def with_mapped_label(
     df: DataFrame, target: str, mapping: Mapping[str, str], case_insensitive: bool = False, out: str = "mapped"
 ) -> DataFrame:
-    """Left lookup of the trimmed label text in ``mapping``; null when not covered."""
+    """Left lookup of the stripped label text in ``mapping``; null when not covered."""
     if not mapping:
         raise ValueError("the label mapping must not be empty")
-    pairs = [(str(k).strip().lower() if case_insensitive else str(k).strip(), str(v)) for k, v in mapping.items()]
+    pairs = [(folded_text(str(k)) if case_insensitive else str(k).strip(), str(v)) for k, v in mapping.items()]
     table = local_table(df.sparkSession, list(dict(pairs).items()), f"_source string, {out} string")
     return (
         df.withColumn("_source", _label_text(F.col(target), case_insensitive))
@@ -43,13 +43,16 @@ def map_labels(
     df: DataFrame, target: str, mapping: Mapping[str, str], case_insensitive: bool = False, default: str | None = None
 ) -> tuple[DataFrame, dict]:
     """Replace the target by its mapped value; unknown and null labels go to ``default`` when one is given."""
-    preview = [r["label"] for r in unmapped_labels(df, target, mapping, case_insensitive).orderBy("label").limit(10).collect()]
-    if preview and default is None:
-        raise ValueError(f"the target mapping does not cover labels {preview}; add them or set a default")
+    rows = unmapped_labels(df, target, mapping, case_insensitive).select("label").orderBy("label").limit(MAX_UNMAPPED + 1).collect()
+    if len(rows) > MAX_UNMAPPED:
+        raise ValueError(f"column {target!r} holds over {MAX_UNMAPPED} labels outside the mapping; it is no class label")
+    others = [r["label"] for r in rows]
+    if others and default is None:
+        raise ValueError(f"no mapping for {len(others)} labels, such as {others[:10]}, and no default to send them to")
     mapped = with_mapped_label(df, target, mapping, case_insensitive, "_mapped")
     value = F.col("_mapped") if default is None else F.coalesce("_mapped", F.lit(str(default)))
     out = mapped.withColumn(target, value).select(*df.columns)
-    return out, {"target_mapping_default": default, "unmapped_labels": preview}
+    return out, {"target_mapping_default": default, "unmapped_labels": others}
 
 
 def target_facts(df: DataFrame, target: str) -> DataFrame:
@@ -69,16 +72,16 @@ def target_facts(df: DataFrame, target: str) -> DataFrame:
 def resolve_task(name: str, target: str, facts: Row, task: str = "auto") -> str:
     """Apply the target guards to the facts and settle the task."""
     if facts["null_targets"]:
-        raise ValueError(f"target column {target!r} contains missing values after target mapping")
+        raise ValueError(f"column {target!r} has rows without a label once the mapping is applied")
     if facts["n_classes"] < 2:
-        raise ValueError(f"dataset {name!r} must contain at least two target classes")
+        raise ValueError(f"a single class is left in {name!r}; two or more are needed")
     task = task.lower()
     if task == "auto":
         return facts["task"]
     if task not in TASKS:
-        raise ValueError(f"dataset {name!r} has unsupported task {task!r}")
+        raise ValueError(f"task {task!r} of {name!r} is none of {TASKS}")
     if task == "binary" and facts["n_classes"] != 2:
-        raise ValueError(f"dataset {name!r} is configured as binary but has {facts['n_classes']} target classes")
+        raise ValueError(f"{name!r} holds {facts['n_classes']} classes, which a binary task does not allow")
     return task
 
 

@@ -30,8 +30,8 @@ def _forest_importance(data: DataFrame, trees: int, max_depth: int, seed: int) -
     return model.featureImportances.toArray()
 
 
-def forest_scores(df: DataFrame, label: str, features: Sequence[str], trees: int = 300, max_depth: int = 12, seed: int = 42) -> DataFrame:
-    """Impurity importance of a class-balanced random forest (tree depth is bounded, at most 30)."""
+def forest_scores(df: DataFrame, label: str, features: Sequence[str], trees: int = 300, max_depth: int = 30, seed: int = 42) -> DataFrame:
+    """Impurity importance of a class-balanced random forest (30 levels at most, the limit of the implementation)."""
     return scores_frame(df, _forest_importance(_training(df, label, features), trees, max_depth, seed))
 
 
@@ -87,7 +87,7 @@ def with_shadows(df: DataFrame, label: str, key: str, features: Sequence[str], r
 
 
 def shadow_scores(
-    df: DataFrame, label: str, key: str, features: Sequence[str], rounds: int = 20, trees: int = 150, max_depth: int = 12, seed: int = 42
+    df: DataFrame, label: str, key: str, features: Sequence[str], rounds: int = 20, trees: int = 150, max_depth: int = 30, seed: int = 42
 ) -> DataFrame:
     """Rounds in which a feature beats the best shuffled feature, plus its mean importance."""
     p = len(features)

@@ -4,26 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions import with_row_key
+from ..functions import local_table, require_unique, with_row_key
 from ..operators import audit, prep, split, subsets, suite, target
+from ..operators.consensus import require_rankings
 from ..operators.evaluate import Grid, evaluate_grid
-from ..sources import Dataset, evidence_catalog, load_dataset, loader_metadata, write_exports, write_table
+from ..sources import Dataset, changed_since, evidence_catalog, load_dataset, loader_metadata, write_exports, write_table
 from .analyze import analyze
 
 EVIDENCE = ("audit", "classifier_matrix", "core_coverage", "retention_cost", "timing_memory", "champion_stability", "champions")
 
 
+def read_stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored table, or None where nothing was written yet; any other read error is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def suite_columns() -> list[str]:
+    return T.StructType.fromDDL(suite.RANKING_SCHEMA).names
+
+
+def require_unchanged(current: DataFrame, stored: DataFrame | None) -> None:
+    """Stored results may only be continued on the data they were made from."""
+    if stored is None:
+        return
+    other = changed_since(stored, current).limit(1).collect()
+    if other:
+        raise ValueError(f"the files of {other[0]['dataset']!r} changed since the stored run; use another folder or remove the old results")
+
+
 def study_dataset(spark: SparkSession, ds: Dataset, spec: Mapping, plan: Mapping, root: str | None = None) -> dict[str, DataFrame]:
     """Audit, split, fit, rank, cut and evaluate one dataset.
 
     ``plan`` keys: methods, classifiers, and optionally criteria, min_features,
-    max_rows, max_rows_for_ranking, n_splits, test_size, seed, repeats, warmup,
+    max_rows, max_fit_rows (model-based rankers only), n_splits, test_size, seed, repeats, warmup,
     ranker_options, classifier_options, baselines.
     """
     seed, k = int(plan.get("seed", 42)), int(plan.get("n_splits", 10))
     key = "row_key"
+    metadata = loader_metadata(ds)
+    if root:
+        require_unchanged(metadata, read_stored(spark, f"{root}/loader_metadata"))
+    if spec.get("row_key_column"):
+        require_unique(ds.df, spec["row_key_column"])
     df = with_row_key(ds.df, spec.get("row_key_column"))
     if plan.get("max_rows"):
         df = split.stratified_sample(df, ds.target, key, int(plan["max_rows"]), seed)
@@ -32,7 +62,7 @@ def study_dataset(spark: SparkSession, ds: Dataset, spec: Mapping, plan: Mapping
     found = {
         "audit": audit.audit_summary(raw, ds.target, ds.display_name, ds.benign_labels, ds.task, ds.metadata.get("dataset_fingerprint", "")),
         "label_counts": audit.label_counts(raw, ds.target, ds.display_name),
-        "loader_metadata": loader_metadata(ds),
+        "loader_metadata": metadata,
     }
     roles = [list(spec.get(r, ())) for r in ("drop_columns", "identifier_columns", "leakage_columns")]
     rows = prep.drop_roles(df, ds.target, *roles)
@@ -47,8 +77,19 @@ def study_dataset(spark: SparkSession, ds: Dataset, spec: Mapping, plan: Mapping
     found["artifacts"] = model.artifacts().select(F.lit(ds.name).alias("dataset"), "*")
     folded = split.stratified_folds(x_train, "label", key, k, seed)
     found["folds"] = folded.select(F.lit(ds.name).alias("dataset"), key, "fold")
-    found["rankings"] = suite.run_suite(
-        ds.name, x_train, "label", key, model.features, plan["methods"], int(plan.get("max_rows_for_ranking", 100_000)), seed, plan.get("ranker_options"))
+    # rankings of an earlier run on the same data are taken as they are; only methods it lacks are computed
+    earlier = read_stored(spark, f"{root}/rankings") if root else None
+    reused = None
+    if earlier is not None:
+        done = earlier.filter((F.col("dataset") == ds.name) & (F.col("status") == "ok") & F.col("method").isin(*plan["methods"]))
+        reused = local_table(spark, [tuple(r) for r in done.select(*suite_columns()).collect()], suite.RANKING_SCHEMA)  # features x methods rows
+    have = {r["method"] for r in reused.select("method").distinct().collect()} if reused is not None else set()
+    todo = [m for m in plan["methods"] if m not in have]
+    parts_ranked = [reused] if have else []
+    if todo:
+        parts_ranked.append(suite.run_suite(ds.name, x_train, "label", key, model.features, todo, int(plan.get("max_fit_rows", suite.MAX_FIT_ROWS)), seed, plan.get("ranker_options")))
+    found["rankings"] = audit.combine(parts_ranked)
+    require_rankings(found["rankings"])
     found["candidates"] = subsets.candidate_sets(found["rankings"], plan.get("criteria", ("q25", "q50")), int(plan.get("min_features", 3)))
     grid = Grid(ds.name, folded, x_test, "label", model.features, k, seed, plan.get("classifier_options"), plan.get("baselines"))
     log = f"{root}/log/{ds.name}" if root else None
@@ -88,12 +129,7 @@ def validate_only(spark: SparkSession, specs: Sequence[Mapping], n_splits: int =
 
 def analysis_only(spark: SparkSession, root: str, plan: Mapping) -> dict[str, DataFrame]:
     """Rebuild all analysis tables from the stored ones below ``root``."""
-    from pyspark.errors import AnalysisException
-
     def stored(name: str) -> DataFrame | None:
-        try:
-            return spark.read.parquet(f"{root}/{name}")
-        except AnalysisException:
-            return None
+        return read_stored(spark, f"{root}/{name}")
 
     return analyze(stored("rankings"), stored("candidates"), stored("evaluations"), stored("timings"), plan["scenarios"], plan["zones"], plan.get("metric_source", "cross_validation"))

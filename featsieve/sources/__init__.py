@@ -3,10 +3,9 @@ from .tables import (
     loader_metadata, read_headerless, read_table, read_tables, normalize_columns, normalized_names, Dataset,
 )
 from .sinks import evidence_catalog, write_exports, write_table
-from .demo import demo_table
 
 __all__ = [
-    "Dataset", "changed_since", "check_columns", "content_fingerprint", "demo_table", "discover_files",
+    "Dataset", "changed_since", "check_columns", "content_fingerprint", "discover_files",
     "evidence_catalog", "file_fingerprint", "load_dataset", "loader_metadata", "normalize_columns",
     "normalized_names", "read_headerless", "read_table", "read_tables", "write_exports", "write_table",
 ]

@@ -29,7 +29,9 @@ def evidence_catalog(spark: SparkSession, root: str, names: Sequence[str]) -> Da
         try:
             table = spark.read.parquet(f"{root.rstrip('/')}/{name}")
             part = table.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows", F.lit(True).alias("present"))
-        except AnalysisException:
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
             part = spark.range(1).select(F.lit(name).alias("name"), F.lit(None).cast("bigint").alias("rows"), F.lit(False).alias("present"))
         parts.append(part)
     out = parts[0]

@@ -12,27 +12,39 @@ def write(folder, name, text):
     (folder / name).write_text(text)
 
 
-def test_two_files_are_stacked_and_labels_mapped(spark, tmp_path):
-    write(tmp_path / "raw", "a.csv", "x,label\n1,Benign\n2,Bot\n")
-    write(tmp_path / "raw", "b.csv", "x,label\n3,0\n4,Flood\n")
+def test_files_are_stacked_and_labels_mapped(spark, tmp_path):
+    """Labels differ in case and in the white space around them; two of them are in no mapping."""
+    write(tmp_path / "in", "north.csv", "speed,weather,class\n3.5,dry, Calm\n4.25,wet,calm\t\n0.5,dry,STRASSE\n")
+    write(tmp_path / "in", "south.csv", "speed,weather,class\n9.0,wet,gale\n7.5,,Stra\u00dfe\n1.0,dry,Breeze\n8.0,dry,gust\n")
     spec = {
-        "name": "sample", "path": str(tmp_path / "raw"), "target_col": "label", "task": "binary", "benign_labels": ["normal"],
-        "target_mapping": {"case_insensitive": True, "mapping": {"benign": "normal", "0": "normal"}, "default": "attack"}}
+        "name": "wind", "path": str(tmp_path / "in"), "target_col": "class", "benign_labels": [" QUIET "],
+        "read_options": {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False},
+        "target_mapping": {"case_insensitive": True, "mapping": {"CALM ": "quiet", "breeze": "quiet", "stra\u00dfe": "road"}, "default": "storm"}}
     ds = sources.load_dataset(spark, spec)
-    assert {r["label"]: r["count"] for r in ds.df.groupBy("label").count().collect()} == {"normal": 2, "attack": 2}
-    assert len(ds.metadata["dataset_fingerprint"]) == 64
-    row = audit.audit_summary(ds.df, "label", "sample", ds.benign_labels).head()
-    assert (row["benign_or_normal_count"], row["malicious_or_attack_count"]) == (2, 2)
-    assert sources.loader_metadata(ds).head()["loaded_rows"] == 4
-
-
-def test_headerless_files_take_names_from_a_list(spark, tmp_path):
-    for i in range(1, 5):
-        write(tmp_path, f"part_{i}.csv", f"{i},{i % 2}\n")
-    write(tmp_path, "names.csv", "Name\nfeature one\nlabel\n")
-    spec = {"name": "h", "path": str(tmp_path), "loader": "headerless", "files": [f"part_{i}.csv" for i in range(1, 5)], "names_file": "names.csv", "target_col": "label"}
+    assert {r["class"]: r["count"] for r in ds.df.groupBy("class").count().collect()} == {"quiet": 3, "road": 2, "storm": 2}
+    assert ds.task == "multiclass" and ds.metadata["unmapped_labels"] == ["gale", "gust"]
+    row = audit.audit_summary(ds.df, "class", "wind", ds.benign_labels).head()
+    assert (row["benign_or_normal_count"], row["malicious_or_attack_count"], row["missing_values_total"]) == (3, 4, 1)
+    facts = sources.loader_metadata(ds).head()
+    assert (facts["loaded_rows"], facts["loaded_columns"], facts["task"]) == (7, 3, "multiclass")
+
+
+def test_all_unmapped_labels_are_reported(spark):
+    df = spark.createDataFrame([(f"kind{i:02d}",) for i in range(26)], "y string")
+    _, facts = target.map_labels(df, "y", {"kind00": "a"}, default="b")
+    assert facts["unmapped_labels"] == [f"kind{i:02d}" for i in range(1, 26)]
+    with pytest.raises(ValueError, match="25 labels"):
+        target.map_labels(df, "y", {"kind00": "a"})
+
+
+def test_names_of_headerless_files_come_from_a_list(spark, tmp_path):
+    write(tmp_path, "day_a.csv", "0.5,tcp,0\n0.75,udp,1\n")
+    write(tmp_path, "day_b.csv", "1.5,udp,0\n")
+    write(tmp_path, "fields.csv", "No,Title\n1,Mean Rate\n2, Protocol \n3,LABEL\n")
+    spec = {"name": "h", "path": str(tmp_path), "loader": "headerless", "files": ["day_a.csv", "day_b.csv"], "names_file": "fields.csv", "names_field": "Title", "target_col": "label"}
     ds = sources.load_dataset(spark, spec)
-    assert ds.df.columns == ["featureone", "label"] and ds.task == "binary" and ds.df.count() == 4
+    assert ds.df.columns == ["meanrate", "protocol", "label"] and ds.task == "binary"
+    assert sorted(tuple(r) for r in ds.df.collect()) == [(0.5, "tcp", 0), (0.75, "udp", 1), (1.5, "udp", 0)]
 
 
 def test_bad_integer_labels_become_zero_or_fail(spark, tmp_path):
@@ -47,10 +59,10 @@ def test_bad_integer_labels_become_zero_or_fail(spark, tmp_path):
 def test_swapped_columns_and_widths_are_rejected(spark, tmp_path):
     write(tmp_path, "a.csv", "x,label\n1,a\n")
     write(tmp_path, "b.csv", "label,x\na,1\n")
-    with pytest.raises(ValueError, match="identical"):
+    with pytest.raises(ValueError, match="another order"):
         sources.read_tables(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"])
     write(tmp_path, "c.csv", "x,label,z\n1,a,2\n")
-    with pytest.raises(ValueError, match="consistent number"):
+    with pytest.raises(ValueError, match="differ in width"):
         sources.read_tables(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/c.csv"])
 
 
@@ -72,7 +84,7 @@ def test_column_guards():
 
 def test_unknown_label_without_default_raises(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "label string")
-    with pytest.raises(ValueError, match="does not cover"):
+    with pytest.raises(ValueError, match="no mapping for"):
         target.map_labels(df, "label", {"a": "1"})
     out, facts = target.map_labels(df, "label", {"a": "1"}, default="0")
     assert sorted(r[0] for r in out.collect()) == ["0", "0", "1"] and facts["unmapped_labels"] == ["b"]
@@ -112,9 +124,28 @@ def test_change_guard_and_fingerprint(spark, tmp_path):
     assert sources.file_fingerprint(spark, str(tmp_path), "*.csv").head()["dataset_fingerprint"] != first
 
 
-def test_demo_table(spark):
-    df = sources.demo_table(spark, 300)
-    assert df.count() == 300 and df.filter("protocol IS NULL").count() == 7
-    counts = {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
-    assert counts == {"attack": 150, "normal": 150}
-    assert set(r[0] for r in df.select(F.col("protocol")).dropna().distinct().collect()) == {"tcp", "udp", "icmp"}
+def test_moved_folder_is_the_same_data(spark, tmp_path):
+    import os
+
+    prints = []
+    for folder in ("one", "two"):
+        for name, text in (("a.csv", "x\n1\n"), ("deep/b.csv", "x\n2\n")):
+            path = tmp_path / folder / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(text)
+            os.utime(path, (1_700_000_000, 1_700_000_000))
+        prints.append(tuple(sources.file_fingerprint(spark, str(tmp_path / folder), "*.csv", True).head()))
+    assert prints[0] == prints[1] and prints[0][1] == 2
+
+
+def test_row_keys_do_not_collide(spark):
+    from featsieve.functions import require_unique, with_row_key
+
+    rows = [("x|=y", "z"), ("x", "y|=z"), ("x", None), ("x", ""), (None, "x"), ("x=", "1"), ("x=1", ""), ("x", "~"), ("a", "b"), ("a", "b"), ("a", "b")]
+    df = spark.createDataFrame(rows, "p string, q string")
+    keyed = with_row_key(df, copies_per_task=2)
+    assert keyed.count() == keyed.select("row_key").distinct().count() == len(rows)
+    require_unique(keyed, "row_key")
+    for column in ("p", "q"):
+        with pytest.raises(ValueError, match="row key"):
+            require_unique(df, column)

@@ -8,29 +8,53 @@ from featsieve.functions import with_row_key
 from featsieve.operators import prep, split, target
 from featsieve.operators.quantiles import exact_quantiles
 
-ROWS = [(1.0, "x", 10.0, 100, "normal"), (2.0, "y", 11.0, 101, "attack"), (3.0, None, None, 102, "normal"), (4.0, "x", 13.0, 103, "attack")]
-SCHEMA = "numeric_a double, category string, numeric_b double, record_id int, label string"
+ROWS = [("red", 4.0, 7, 0.5, "no"), ("blue", None, 8, 0.25, "yes"), (None, 6.0, 9, 0.125, "yes"), ("red", 9.0, 10, None, "no"), ("green", 1.0, 11, 0.75, "yes")]
+SCHEMA = "colour string, width double, tag int, share double, kept string"
 
 
-def test_interleaved_types_keep_names_and_values_together(spark):
+def test_features_are_numbers_first_and_keep_their_values(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
-    model = prep.fit(prep.drop_roles(df, "label", ["record_id"]), "label")
-    assert model.features == ["numeric_a", "numeric_b", "category"]
-    out = model.transform(df, ["record_id"]).orderBy("record_id").collect()
-    assert [r["label"] for r in out] == [1, 0, 1, 0] and [r["category"] for r in out] == [0.0, 1.0, 0.0, 0.0]
-    b = np.array([10, 11, 11, 13.0])
-    assert np.allclose([r["numeric_b"] for r in out], (b - b.mean()) / b.std(), atol=1e-6)
-    assert model.artifacts().count() == 3
+    model = prep.fit(prep.drop_roles(df, "kept", ["tag"]), "kept")
+    assert model.features == ["width", "share", "colour"]
+    out = model.transform(df, ["tag"]).orderBy("tag").collect()
+    assert [r["label"] for r in out] == [0, 1, 1, 0, 1]
+    assert [r["colour"] for r in out] == [2.0, 0.0, 2.0, 2.0, 1.0]  # blue, green, red; the gap takes the most frequent
+    for name, values in (("width", [4.0, 5.0, 6.0, 9.0, 1.0]), ("share", [0.5, 0.25, 0.125, 0.375, 0.75])):
+        x = np.asarray(values)
+        assert np.allclose([r[name] for r in out], (x - x.mean()) / x.std(), atol=1e-6)
+    assert [(r["feature"], r["fill"]) for r in model.artifacts().orderBy("pos").collect()] == [("width", "5.0"), ("share", "0.375"), ("colour", "red")]
+
+
+def test_a_missing_label_is_no_class(spark):
+    df = spark.createDataFrame([("b",), (None,), ("a",)], "y string")
+    assert [tuple(r) for r in prep.encode_labels(df, "y").orderBy("code").collect()] == [("a", 0), ("b", 1)]
+
+
+def test_a_frequent_unseen_value_is_spread(spark):
+    """90 % of the rows hold one value the dictionary lacks: no task gets much more than its share."""
+    known = spark.range(500).selectExpr("concat('v', id) as value", "1 as n", "cast(id as int) as code")
+    df = spark.range(40_000).selectExpr("id", "case when id % 10 > 0 then 'new' else concat('v', id % 600) end as c")
+    out = prep.encode_column(df, "c", known, "code", head_values=50)
+    want = {f"v{i}": i for i in range(500)}
+    got = out.groupBy("c", "code").count().collect()
+    assert sum(r["count"] for r in got) == 40_000 and all(r["code"] == want.get(r["c"], -1) for r in got)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = prep.encode_column(df, "c", known, "code", head_values=50).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(r["count"] for r in sizes) < 2 * 40_000 / 4
 
 
 def test_unseen_category_and_label(spark):
-    df = spark.createDataFrame(ROWS, SCHEMA).drop("record_id")
-    model = prep.fit(df, "label")
-    new = spark.createDataFrame([(1.0, "new", math.inf, "normal")], df.schema)
-    row = model.transform(new).head()
-    assert row["category"] == -1.0 and math.isfinite(row["numeric_b"])
+    df = spark.createDataFrame(ROWS, SCHEMA).drop("tag")
+    model = prep.fit(df, "kept")
+    row = model.transform(spark.createDataFrame([("mauve", math.inf, 0.5, "yes")], df.schema)).head()
+    assert row["colour"] == -1.0 and math.isfinite(row["width"])
     with pytest.raises(Exception, match="label not seen"):
-        model.transform(spark.createDataFrame([(1.0, "x", 1.0, "other")], df.schema)).collect()
+        model.transform(spark.createDataFrame([("red", 1.0, 0.5, "maybe")], df.schema)).collect()
 
 
 def test_constant_and_empty_columns(spark):

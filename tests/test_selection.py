@@ -71,13 +71,20 @@ def test_metrics_with_absent_classes(spark):
         assert json.loads(r["confusion_matrix_json"]) == want[r["model"]][1].astype(int).tolist() and r["encoded_labels_json"] == "[0,1,2,3]"
 
 
-def test_cv_metrics_drive_the_score(spark):
-    names = ["dataset", "classifier", "feature_set_id", *metrics.CV_METRICS[:4], "macro_FAR", "cv_accuracy_mean", "cv_precision_mean", "cv_recall_mean", "cv_f1_mean", "cv_macro_FAR_mean",
-             "final_training_plus_prediction_time_s", "final_inference_time_ms_per_sample_mean", "num_features"]
-    rows = [("d", "dt", "a", *[.99] * 4, .01, *[.70] * 4, .30, 1.0, 1.0, 5), ("d", "dt", "b", *[.80] * 4, .20, *[.90] * 4, .10, 1.0, 1.0, 5)]
-    df = spark.createDataFrame(rows, names)
-    best = {s: {r["feature_set_id"]: r["effectiveness_score"] for r in scoring.apply_scores(df, {"equal": EQUAL}, s).collect()} for s in scoring.SOURCES}
-    assert best["cross_validation"]["b"] > best["cross_validation"]["a"] and best["final_test"]["a"] > best["final_test"]["b"]
+def test_the_chosen_metric_source_decides(spark):
+    """Three models whose order in validation is the reverse of that on the holdout."""
+    holdout = {"slim": 0.61, "plain": 0.74, "wide": 0.88}
+    rows = []
+    for i, (name, value) in enumerate(holdout.items()):
+        validation = 0.95 - value / 2
+        row = {"dataset": "wind", "classifier": "tree", "feature_set_id": name, "macro_FAR": 1 - value, "cv_macro_FAR_mean": 1 - validation,
+               "final_training_plus_prediction_time_s": 2.5, "final_inference_time_ms_per_sample_mean": 0.2, "num_features": 3 + i}
+        for metric in metrics.CV_METRICS[:4]:
+            row |= {metric: value, f"cv_{metric}_mean": validation}
+        rows.append(row)
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], list(rows[0]))
+    order = {s: [r["feature_set_id"] for r in scoring.apply_scores(df, {"equal": EQUAL}, s).orderBy("effectiveness_score").collect()] for s in scoring.SOURCES}
+    assert order == {"cross_validation": ["wide", "plain", "slim"], "final_test": ["slim", "plain", "wide"]}
     with pytest.raises(ValueError, match="missing columns"):
         scoring.minmax_scores(df.drop("cv_f1_mean"), "cross_validation")
     with pytest.raises(ValueError, match="sum to 1.0"):
@@ -202,14 +209,20 @@ def test_combine_fills_missing_columns(spark):
 
 
 def test_whole_study(spark, tmp_path):
-    sources.demo_table(spark, 300).coalesce(1).write.option("header", True).csv(str(tmp_path / "demo"))
-    spec = {"name": "demo", "display_name": "Demo", "path": str(tmp_path / "demo"), "target_col": "label", "task": "binary", "identifier_columns": ["record_id"],
-            "missing_value_tokens": ["?", "NA"], "benign_labels": ["normal"], "row_key_column": "record_id"}
+    rng = np.random.default_rng(11)
+    x, noise = rng.normal(size=240), rng.normal(size=240)
+    kind = rng.choice(["oak", "elm", "ash"], 240)
+    y = np.where(x + 0.8 * (kind == "ash") + 0.5 * rng.normal(size=240) > 0.2, "tall", "low")
+    (tmp_path / "trees").mkdir()
+    lines = [f"{i},{a},{'' if i % 40 == 3 else k},{b},{c}" for i, (a, k, b, c) in enumerate(zip(x, kind, noise, y))]
+    (tmp_path / "trees" / "t.csv").write_text("\n".join(["no,girth,kind,hum,size", *lines]) + "\n")
+    spec = {"name": "trees", "display_name": "Trees", "path": str(tmp_path / "trees"), "target_col": "size", "task": "binary", "identifier_columns": ["no"],
+            "missing_value_tokens": ["?", "NA"], "benign_labels": ["low"], "row_key_column": "no"}
     plan = {"methods": ["pearson", "fisher", "nope"], "criteria": ["q50"], "min_features": 2, "n_splits": 2, "classifiers": ["dt_cpu"], "repeats": 1,
             "classifier_options": {"dt_cpu": {"max_depth": 3}}, "scenarios": {"equal": EQUAL}, "zones": ZONES}
     root = str(tmp_path / "out")
     out = plans.run(spark, [spec], plan, root)
-    assert out["audit"].head()["missing_values_total"] == 7
+    assert out["audit"].head()["missing_values_total"] == 6
     assert {r["zone"] for r in out["champions"].collect()} == set(ZONES)
     assert [r["method"] for r in out["rankings"].filter("status = 'failed'").collect()] == ["nope"]
     assert all(r["present"] for r in out["evidence"].collect())
@@ -220,3 +233,10 @@ def test_whole_study(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         plans.analysis_only(spark, str(tmp_path / "empty"), plan)
     assert plans.validate_only(spark, [spec], 2).head()["splittable"]
+    # a second run takes the stored rankings; one on changed files is refused
+    before = {(r["method"], r["feature"]): r["runtime_seconds"] for r in out["rankings"].filter("status = 'ok'").collect()}
+    later = plans.run(spark, [spec], plan, root)
+    assert {(r["method"], r["feature"]): r["runtime_seconds"] for r in later["rankings"].filter("status = 'ok'").collect()} == before
+    (tmp_path / "trees" / "t.csv").write_text("\n".join(["no,girth,kind,hum,size", *lines[:200]]) + "\n")
+    with pytest.raises(ValueError, match="changed since"):
+        plans.run(spark, [spec], plan, root)
