@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featsieve.functions import local_table
+from featsieve.functions import cut_lineage, local_table
 from featsieve.operators import prep, split, target
 from featsieve.operators.quantiles import exact_quantiles
 
@@ -81,7 +81,7 @@ def label_encode(spark: SparkSession, d: str) -> DataFrame:
 def apply_fitted(spark: SparkSession, d: str) -> DataFrame:
     """Fit on the train rows, transform the test rows."""
     rows = with_gaps(events(spark, d)).withColumn("dow", F.col("dow").cast("string")).select("row_key", "event_id", "event_type", *NUMERIC, "dow")
-    parts = split.stratified_holdout(rows, "event_type", "row_key", SEED, 0.2)
+    parts = cut_lineage(split.stratified_holdout(rows, "event_type", "row_key", SEED, 0.2))  # read by every fitting pass
     model = prep.fit(parts.filter("split = 'train'").drop("split"), "event_type", ["row_key", "event_id"])
     out = model.transform(parts.filter("split = 'test'"), ["event_id"])
     return out.select("event_id", *[r6(F.col(c).cast("double"), 4).alias(c) for c in model.features], "label")
