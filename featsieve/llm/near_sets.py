@@ -3,8 +3,9 @@
 1. A bucket is all ids with one band hash. Its centre is the member whose buckets are largest in sum (the least edited
    copy of a group); every member is verified against the centre, so a group of n copies costs n checks, not n * n.
 2. Buckets that still hold several components are searched whole, in square blocks of bounded size: short signatures
-   rule out pairs far below the threshold, the others are verified exactly. No link between two members of a bucket
-   is lost but by the chance that the signature estimate is four standard deviations low.
+   rule out pairs far below the threshold, the others are compared exactly inside the task, and only links that join two
+   components leave it. No link between two members of a bucket is lost but by the chance that the signature estimate
+   is four standard deviations low.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stored
 
-BLOCK = 1024
+BLOCK = 512
 COORDINATES = 128
 SLACK = 4 * (0.8 * 0.2 / COORDINATES) ** 0.5
-SHARD_ROWS = 16_384
+SHARD_ITEMS = 2_000_000  # set members a task takes at once, 8 bytes each
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -110,7 +111,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _signatures(sets: DataFrame) -> DataFrame:
-    """(id, sig): 128 MinHash coordinates of the items, 16 bits each."""
+    """(id, items, sig): 128 MinHash coordinates of the items, 16 bits each."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64))
@@ -122,38 +123,49 @@ def _signatures(sets: DataFrame) -> DataFrame:
                 for i in range(0, len(own), 4096):
                     least = np.minimum(least, mixed(own[i : i + 4096, None] ^ seeds[None, :]).min(axis=0))
                 out.append((least & np.uint64(0xFFFF)).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "items", "sig"])
 
-    return sets.select("id", "items").mapInArrow(sign, f"id {sets.schema['id'].dataType.simpleString()}, sig binary")
+    return sets.select("id", "items").mapInArrow(sign, "id long, items array<long>, sig binary")
 
 
-def _cross_pairs(near: float):
-    """Pairs of different labels in each block whose signatures agree in a share of ``near`` at least.
+def _jaccard(items: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Similarity of one sorted set to each of the others."""
+    sizes = np.asarray([len(o) for o in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(items, flat), len(items) - 1)
+    common = np.add.reduceat((items[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+    return common / (len(items) + sizes - common)
 
-    A pair is given only by the first band both share, so it comes once whatever the number of shared buckets.
+
+def _joining_links(threshold: float):
+    """Links between members of different labels in each block, as many as it takes to join them.
+
+    Signatures rule out pairs far below the threshold, the others are compared exactly, in the task. A pair is looked at in
+    the first band both share, so it is compared once whatever the number of shared buckets.
     """
 
     def search(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for _, cell in rows.groupby(["bucket", "low", "high"], sort=False):
-            ids, labels, chunk = cell["id"].to_numpy(), cell["label"].to_numpy(), cell["chunk"].to_numpy()
+        found: list[tuple[int, int]] = []
+        for _, cell in rows.groupby(["band", "bucket", "low", "high"], sort=False):
+            ids, labels, chunk = cell["id"].to_numpy(), cell["label"].to_numpy().copy(), cell["chunk"].to_numpy()
             sig = np.stack([np.frombuffer(s, "<u2") for s in cell["sig"]])
             bands = np.stack(cell["bands"].to_numpy())
-            band = int(cell["band"].iloc[0])
-            low, high = int(cell["low"].iloc[0]), int(cell["high"].iloc[0])
+            items = [np.sort(x) for x in cell["items"]]
+            band, low, high = (int(cell[c].iloc[0]) for c in ("band", "low", "high"))
             left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
             for i in left:
                 others = right[(labels[right] != labels[i]) & ((ids[right] > ids[i]) if low == high else (ids[right] != ids[i]))]
-                if not len(others):
-                    continue
-                others = others[(sig[others] == sig[i]).mean(axis=1) >= near]
+                if len(others):
+                    others = others[(sig[others] == sig[i]).mean(axis=1) >= threshold - SLACK]
                 if band and len(others):
                     others = others[~(bands[others, :band] == bands[i, :band]).any(axis=1)]
-                if len(others):
-                    mine = np.full(len(others), ids[i], dtype=ids.dtype)
-                    found.append((np.minimum(mine, ids[others]), np.maximum(mine, ids[others])))
-        empty = np.zeros(0, rows["id"].to_numpy().dtype)
-        return pd.DataFrame({"a": np.concatenate([x for x, _ in found] or [empty]), "b": np.concatenate([x for _, x in found] or [empty])})
+                if not len(others):
+                    continue
+                near = others[np.round(_jaccard(items[i], [items[j] for j in others]), 10) >= threshold]
+                for label in np.unique(labels[near]):
+                    found.append((int(ids[i]), int(ids[near[labels[near] == label][0]])))
+                    labels[labels == label] = labels[i]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return search
 
@@ -181,19 +193,15 @@ def similar_classes(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     labelled = shared.filter("n > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     open_ = labelled.groupBy("band", "bucket").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).filter("_l <> _m").select("band", "bucket")
     rest = stored(labelled.join(open_, ["band", "bucket"], "left_semi"), "open")
-    n_rest = rest.count()
-    if not n_rest:
+    if not rest.limit(1).count():
         return labels
-    signed = _signatures(sets.join(rest.select("id").distinct(), "id", "left_semi"))
+    signed = _signatures(sets.join(rest.select("id").distinct(), "id", "left_semi")).join(banded.select("id", "bands"), "id")
     chunks = F.ceil(F.col("n") / block).cast("int")
-    cells = rest.join(signed, "id").join(banded.select("id", "bands"), "id")
-    cells = cells.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    cells = rest.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     cells = cells.withColumn("low", F.least("chunk", "_other")).withColumn("high", F.greatest("chunk", "_other"))
-    shards = max(1, -(-n_rest // SHARD_ROWS))
-    key = F.when(F.col("n") > block, F.xxhash64("band", "bucket", "low", "high")).otherwise(F.pmod(F.xxhash64("band", "bucket", "low", "high"), F.lit(shards)))
-    kind = banded.schema["id"].dataType.simpleString()
-    cells = cells.select(key.alias("shard"), "band", "bucket", "low", "high", "chunk", "id", "label", "sig", "bands")
-    pairs = cells.groupBy("shard").applyInPandas(_cross_pairs(threshold - SLACK), f"a {kind}, b {kind}").distinct()
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(verified(pairs.join(known, ["a", "b"], "left_anti"), sets, threshold), "links")
+    weight_of = rest.join(sets.select("id", F.size("items").alias("size")), "id").agg(F.sum(F.col("size") * F.ceil(F.col("n") / block))).first()[0] or 0
+    cell_key = F.xxhash64("band", "bucket", "low", "high")
+    key = F.when(F.col("n") > block, cell_key).otherwise(F.pmod(cell_key, F.lit(max(1, -(-weight_of // SHARD_ITEMS)))))
+    cells = cells.select(key.alias("shard"), "band", "bucket", "low", "high", "chunk", "id", "label").join(signed, "id")
+    more = stored(cells.groupBy("shard").applyInPandas(_joining_links(threshold), "a long, b long"), "links")
     return components(links.union(more)) if more.limit(1).count() else labels

@@ -58,7 +58,7 @@ def test_blocks_of_a_bucket_lose_no_pair(spark, corpus):
     banded = darts._sketches(docs, 5, 20, 4).select(F.col("doc_id").alias("id"), "bands")
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     sets_of = lambda ids: darts.shingle_sets(texts.join(ids, "id", "left_semi"))
-    one, many = ({r.id: r.label for r in near_sets.similar_classes(banded, sets_of, 0.8, block=b).collect()} for b in (1024, 4))
+    one, many = ({r.id: r.label for r in near_sets.similar_classes(banded, sets_of, 0.8, block=b).collect()} for b in (512, 4))
     assert one == many and len(set(one.values())) > 1
 
 
