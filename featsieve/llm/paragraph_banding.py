@@ -29,6 +29,7 @@ MIN_PASSAGE = 25  # words of neighbouring repeated paragraphs that make a passag
 GAP = 60  # characters between paragraphs that still are neighbours
 LEAST_SENTENCE, LONG_LINE, LONG_SENTENCE = 60, 200, 600  # characters
 ROWS = 2
+FILTER_BITS = 1 << 25  # 4 MB sent to each task, whatever the input
 
 _SENTENCE_END = re.compile(r"[.!?]+\s+")
 _WORD_END = re.compile(r"\S+\s+")
@@ -105,7 +106,7 @@ def _occurrences(docs: DataFrame, words: int, bands: int, rows: int) -> DataFram
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64))
-        for batch in sliced(batches, "text", 2_000_000):
+        for batch in sliced(batches, "text"):
             owner, spans, parts = _units(batch.column(1).to_pylist())
             if not parts:
                 continue
@@ -133,14 +134,33 @@ def _occurrences(docs: DataFrame, words: int, bands: int, rows: int) -> DataFram
     return docs.mapInArrow(read, "doc_id long, start int, end int, n_words int, pid long, " + ", ".join(f"{b} long" for b in names))
 
 
-def _paragraph_sets(docs: DataFrame, words: int) -> DataFrame:
+def _bit_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits, whatever the number of ids: the low bits of each id (a hash already) are set."""
+    low = F.col("id").bitwiseAND(F.lit(FILTER_BITS - 1))
+    bit = F.expr("shiftleft(1L, cast(low & 7 as int))")
+    words = ids.select(low.alias("low")).groupBy(F.shiftright("low", 3).cast("int").alias("place")).agg(F.bit_or(bit).cast("int").alias("byte")).toArrow()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out[words["place"].to_numpy()] = words["byte"].to_numpy().astype(np.uint8)
+    return out
+
+
+def _paragraph_sets(docs: DataFrame, words: int, bitmap: np.ndarray) -> DataFrame:
+    """(id, items) of the paragraphs whose key is in the bitmap."""
+    shipped = docs.sparkSession.sparkContext.broadcast(bitmap)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 2_000_000):
+        bits = shipped.value
+        for batch in sliced(batches, "text"):
             _, _, parts = _units(batch.column(1).to_pylist())
-            if parts:
-                doc, value, key, _ = _keyed(parts, words)
-                doc, value, _ = distinct_items(doc, value)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), grouped_lists(doc, value.view(np.int64), len(parts), pa.int64())], names=["id", "items"])
+            if not parts:
+                continue
+            doc, value, key, _ = _keyed(parts, words)
+            low = (key & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+            wanted = (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+            doc, value, _ = distinct_items(doc[wanted[doc]], value[wanted[doc]])
+            lists = grouped_lists(doc, value.view(np.int64), len(parts), pa.int64())
+            keep = pa.array(np.flatnonzero(wanted))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)).take(keep), lists.take(keep)], names=["id", "items"])
 
     return docs.mapInArrow(read, "id long, items array<long>")
 
@@ -159,12 +179,13 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, words: int
     distinct = occurrences.filter("b0 is not null").groupBy(F.col("pid").alias("id")).agg(*[F.min(b).alias(b) for b in names])
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted, small = bounded_rows(ids)
-        wanted = F.broadcast(wanted) if small else wanted
-        homes = occurrences.select("doc_id", F.col("pid").alias("id")).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+        homes = occurrences.select("doc_id", F.col("pid").alias("id")).join(ids, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
         chosen, few = bounded_rows(homes.select("doc_id").distinct())
-        texts = known.join(F.broadcast(chosen) if few else chosen, "doc_id", "left_semi").select("doc_id", "text")
-        return _paragraph_sets(texts, words).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("items").alias("items"))
+        texts = known.select("doc_id", "text")
+        if few:
+            texts = texts.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text")
+        # the bitmap lets few others through, and the join takes those out
+        return _paragraph_sets(texts, words, _bit_filter(ids)).join(ids, "id", "left_semi").groupBy("id").agg(F.min("items").alias("items"))
 
     labels = similar_classes(distinct.select("id", F.array(*names).alias("bands")), sets_of, threshold)
     found = occurrences.select("doc_id", "start", "end", "n_words", "pid")
