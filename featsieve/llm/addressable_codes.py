@@ -108,7 +108,7 @@ def write_codes(docs: DataFrame, path: str, tokenizer_file: str | None = None, e
             ("part", pa.int32()), ("segment", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()),
             ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), *[(k, pa.list_(pa.binary())) for k in ("chunks", "more", "ranks_512", "ranks_64")]])
         end = np.asarray([end_id], np.uint32)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", caching=True):
             ids, counts = encoder.encode(batch.column(1).to_pylist())
             at = 0
             for doc_id, count in zip(batch.column(0).to_pylist(), counts.tolist()):

@@ -44,11 +44,16 @@ def worker_cache(key: object, make: Callable[[], object]) -> object:
     return holder.__dict__[key]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the text of a slice stays near ``max_bytes``; every row is in exactly one slice."""
+def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1_000_000, caching: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that the text of a slice stays near ``max_bytes``; every row is in exactly one slice.
+
+    Unless the operator is ``caching``, what other operators left in the worker's cache is dropped first.
+    """
     import numpy as np
     import pyarrow.compute as pc
 
+    if not caching:
+        sys.modules.pop("_featsieve_worker_cache", None)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -57,3 +62,14 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4_00
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+    give_back_memory()
+
+
+def give_back_memory() -> None:
+    """Return freed memory to the system: a worker process lives on and serves other tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)

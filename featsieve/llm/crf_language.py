@@ -242,7 +242,7 @@ def predict_languages(docs: DataFrame, model: Model, carried: list[str] | None =
     read = kept if "text" in kept else [*kept, "text"]
     rows = docs.select(*[F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in read])
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    slice_bytes = max(50_000, 12_000_000 // max(4, len(model.langs)))
+    slice_bytes = max(50_000, 4_000_000 // max(4, len(model.langs)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value

@@ -69,7 +69,7 @@ def pack_documents(
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shipped.value)
         end = np.asarray([end_id], np.uint32)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", caching=True):
             ids, counts = encoder.encode(batch.column(1).to_pylist())
             out: dict[str, list] = {"doc_id": [], "start": [], "doc_tokens": [], "ids": []}
             at = 0

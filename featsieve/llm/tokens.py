@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -10,7 +11,7 @@ import numpy as np
 _UNIT = re.compile(r"\s+(?!\S)| ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[^\sA-Za-zÀ-ÖØ-öø-ſ]\S*|\s")
 # Texts with any other character go to the library whole.
 _OTHER = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ſ]")
-MEMO_UNITS = 400_000
+MEMO_UNITS = 300_000
 
 
 def default_tokenizer() -> str:
@@ -33,25 +34,40 @@ class Encoder:
     def reset(self) -> None:
         self.memo: dict[str, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.size = [], []
+        # compact: a full memo takes near 75 MB
+        self.first, self.size, self.uses = array("q"), array("i"), np.zeros(0, np.int64)
+
+    def _forget_rare(self) -> None:
+        """Keep what was used twice since the memo was last full; all goes if that is still much."""
+        old, pool, first, size, uses = self.memo, self.pool, self.first, self.size, self.uses
+        self.reset()
+        kept = [u for u, i in old.items() if uses[i] > 1]
+        if len(kept) <= MEMO_UNITS // 2:
+            for unit in kept:
+                i = old[unit]
+                self._add(unit, pool[first[i] : first[i] + size[i]])
+            self.uses = np.zeros(len(self.first), np.int64)
+
+    def _add(self, unit: str, ids: object) -> None:
+        n = len(ids)
+        while self.used + n > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + n] = ids
+        self.memo[unit] = len(self.first)
+        self.first.append(self.used)
+        self.size.append(n)
+        self.used += n
 
     def _learn(self, units: list[str]) -> None:
         for i in range(0, len(units), 4096):
             part = units[i : i + 4096]
             for unit, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = code.ids
-                while self.used + len(ids) > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.memo[unit] = len(self.first)
-                self.first.append(self.used)
-                self.size.append(len(ids))
-                self.used += len(ids)
+                self._add(unit, code.ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, ids per text)."""
         if len(self.memo) > MEMO_UNITS:
-            self.reset()
+            self._forget_rare()
         units: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
@@ -59,14 +75,17 @@ class Encoder:
             units += found
             counts[k] = len(found)
         memo = self.memo
-        new = [u for u in dict.fromkeys(units) if u not in memo]
+        new = list(set(units).difference(memo))
         if new:
             self._learn(new)
         at = np.fromiter(map(memo.__getitem__, units), np.int64, len(units))
+        seen = np.bincount(at, minlength=len(self.first))
+        seen[: len(self.uses)] += self.uses
+        self.uses = seen
         for unit in new:
             if len(unit) > 64:  # rare and large: not worth keeping
                 del memo[unit]
-        sizes, firsts = np.asarray(self.size, np.int64)[at], np.asarray(self.first, np.int64)[at]
+        sizes, firsts = np.asarray(self.size)[at].astype(np.int64), np.asarray(self.first)[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.pool[np.repeat(firsts - (ends - sizes), sizes) + np.arange(total)]
