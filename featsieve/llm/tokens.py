@@ -23,7 +23,8 @@ def default_tokenizer() -> str:
 class Encoder:
     """Encodes batches of texts; strings of special tokens in a text are ordinary text."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, memo_units: int | None = None):
+        self.memo_units = memo_units or MEMO_UNITS
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -42,7 +43,7 @@ class Encoder:
         old, pool, first, size, uses = self.memo, self.pool, self.first, self.size, self.uses
         self.reset()
         kept = [u for u, i in old.items() if uses[i] > 1]
-        if len(kept) <= MEMO_UNITS // 2:
+        if len(kept) <= self.memo_units // 2:
             for unit in kept:
                 i = old[unit]
                 self._add(unit, pool[first[i] : first[i] + size[i]])
@@ -66,7 +67,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, ids per text)."""
-        if len(self.memo) > MEMO_UNITS:
+        if len(self.memo) > self.memo_units:
             self._forget_rare()
         units: list[str] = []
         counts = np.zeros(len(texts), np.int64)
@@ -93,7 +94,7 @@ class Encoder:
         return ids, np.diff(edges)
 
 
-def worker_encoder(definition: str) -> Encoder:
+def worker_encoder(definition: str, memo_units: int | None = None) -> Encoder:
     """The worker process's encoder for a tokenizer definition (JSON text, about 1.5 MB, sent with the task)."""
     import hashlib
     import os
@@ -101,4 +102,5 @@ def worker_encoder(definition: str) -> Encoder:
     from .common import worker_cache
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return worker_cache(("encoder", hashlib.md5(definition.encode()).hexdigest()), lambda: Encoder(definition))
+    key = ("encoder", hashlib.md5(definition.encode()).hexdigest(), memo_units)
+    return worker_cache(key, lambda: Encoder(definition, memo_units))
