@@ -1,16 +1,14 @@
 """Operator 6: repeated passages by paragraph MinHash banding.
 
-A text is cut into paragraphs: at line ends, and inside long lines after sentences of some length (or after words chosen
-by their content), so a passage is cut alike wherever it stands. Equal paragraphs are one from the start. The others are banded by
-MinHash; the number of bands is the least that finds a pair at the threshold with the wanted probability.
-Colliding paragraphs are verified by exact Jaccard similarity, components are the classes, and neighbouring repeated
+A text is cut into paragraphs at line ends and sentence ends. Sentences of less than five words in a row are joined,
+and stretches of some length without an end are cut, at places chosen by the words around them, so a passage is cut alike
+wherever it stands. Equal paragraphs are one from the start. The others are banded by MinHash; the number of bands is the
+least that finds a pair at the threshold with the wanted probability. Colliding paragraphs are verified by exact Jaccard similarity, components are the classes, and neighbouring repeated
 paragraphs join to passages. Of a class the first occurrence stays, all others are to be removed.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,19 +18,23 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from featsieve.functions import bounded_rows
 
 from .common import sliced, stored, text_or_empty
-from .near_sets import distinct_items, grouped_lists, mixed, shingle_items, similar_classes
+from .near_sets import distinct_items, grouped_lists, mixed, similar_classes
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.997
 MIN_WORDS = 5  # shorter paragraphs are never matched
 MIN_BANDED = 12  # paragraphs below hold too few shingles for a near match; they are matched as they are
 MIN_PASSAGE = 25  # words of neighbouring repeated paragraphs that make a passage
-GAP = 60  # characters between paragraphs that still are neighbours
-LEAST_SENTENCE, LONG_LINE, LONG_SENTENCE = 60, 200, 600  # characters
+GAP = 60  # characters between paragraphs that still are neighbours; a single paragraph between them does not part them either
+LONG_LINE, LONG_STRETCH, LONG_WORD = 200, 32, 40  # characters, words, characters from which more cuts are made
+NEAR, WIDEST = MIN_WORDS - 1, 24  # words: a cut chosen by content is the least among so many on either side; the widest gap
 ROWS = 2
 FILTER_BITS = 1 << 25  # 4 MB sent to each task, whatever the input
 
-_SENTENCE_END = re.compile(r"[.!?]+\s+")
-_WORD_END = re.compile(r"\S+\s+")
+_NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
+_CLOSING = [ord(c) for c in "\"')]\u2019\u201d\u00bb"]
+_FULL_STOPS = [0x3002, 0xFF01, 0xFF0E, 0xFF1F, 0x0964]  # sentence ends without white space after them
+#: Thai, Lao, Myanmar, Khmer, kana, Han: each letter is a word.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
 
 def tuned_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -40,65 +42,152 @@ def tuned_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int
     return int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
 
 
-def _chosen(text: str, start: int, end: int, share: int) -> bool:
-    return zlib.crc32(text[max(start, end - 16) : end].encode("utf-8", "surrogatepass")) % share == 0
+def _least_places(priority: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Places whose priority is the least among the NEAR places on either side within their group, the left one of equals.
+
+    What is chosen depends on its surroundings alone. Gaps over WIDEST, rare but in monotonous text, get their least
+    places one after the other.
+    """
+    chosen = priority < _NEVER
+    for k in range(1, NEAR + 1):
+        same = group[k:] == group[:-k]
+        chosen[k:] &= ~(same & (priority[:-k] <= priority[k:])) | (priority[k:] == 0)
+        chosen[:-k] &= ~(same & (priority[k:] < priority[:-k]))
+    last = np.flatnonzero(np.append(group[1:] != group[:-1], True)) if len(group) else np.zeros(0, np.int64)
+    stops = np.unique(np.concatenate([np.flatnonzero(chosen), last]))
+    starts = np.concatenate([[0], stops[:-1] + 1]) if len(stops) else stops
+    for i in np.flatnonzero(stops - starts >= WIDEST).tolist():
+        at, stop = int(starts[i]), int(stops[i])
+        while stop - at >= WIDEST:
+            low, high = at + NEAR, min(at + WIDEST, stop - NEAR)
+            best = low + int(np.argmin(priority[low:high]))
+            if priority[best] == _NEVER:
+                more = np.flatnonzero(priority[high : stop - NEAR] < _NEVER)
+                if not len(more):
+                    break
+                best = high + int(more[0])
+            chosen[best] = True
+            at = best + 1
+    return chosen
+
+
+def _characters(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-case code points, word characters, those that are words alone, white space)."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    known, number = np.unique(code, return_inverse=True) if not text.isascii() else (np.arange(128), code)
+    chars = [chr(c) for c in known.tolist()]
+    lower = np.asarray([ord(c.lower()[0]) for c in chars], np.uint64)
+    word = np.asarray([c.isalnum() or c == "_" for c in chars], bool)
+    alone = np.zeros(len(chars), bool)
+    for low, high in _UNSPACED:
+        alone |= (known >= low) & (known <= high)
+    space = np.asarray([c.isspace() for c in chars], bool)
+    return lower[number], word[number], (alone & word)[number], space[number]
+
+
+def _words(code: np.ndarray, word: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the words: runs of word characters; scripts without spaces and overlong runs are cut further."""
+    before = np.concatenate([[False], word[:-1]])
+    begins = word & (~before | alone | np.concatenate([[False], alone[:-1]]))
+    start = np.flatnonzero(begins)
+    stop = np.flatnonzero(word & np.append(begins[1:] | ~word[1:], True)) + 1
+    long_ = np.flatnonzero(stop - start > 10**9)
+    if len(long_):
+        size = (stop - start)[long_]
+        group = np.repeat(long_, size)
+        place = np.repeat(start[long_] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+        gram = np.zeros(len(place), np.uint64)
+        for i in range(4):
+            gram = mixed(gram * np.uint64(0x9E3779B97F4A7C15) + code[np.maximum(place - i, start[group])])
+        gram[place == stop[group] - 1] = _NEVER
+        cut = place[_least_places(np.where(gram == 0, np.uint64(1), gram), group)] + 1
+        start, stop = np.sort(np.append(start, cut)), np.sort(np.append(stop, cut))
+    if not len(start):
+        return start, stop, np.zeros(0, np.uint64)
+    size = stop - start
+    owner = np.repeat(np.arange(len(start)), size)
+    place = np.flatnonzero(word)
+    rank = (place - start[owner]).astype(np.uint64)
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    return start, stop, mixed(np.add.reduceat(mixed(code[place] + rank * np.uint64(0xD1342543DE82EF95)), first))
+
+
+def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, (start, end) in code points, first word, words) of the paragraphs, and the hashes of all words."""
+    base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    code, word, alone, space = _characters("\n".join(texts))
+    start, stop, hashed = _words(code, word, alone)
+    n = len(start)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), hashed
+    text = np.searchsorted(base, start, "right") - 1
+    # place i lies between word i and word i + 1, in the characters low to high
+    low, high = stop, np.append(start[1:], len(code))
+    final = np.append(text[1:] != text[:-1], True)
+    ends = np.isin(code, [ord(c) for c in ".!?"]) & np.append(space[1:] | np.isin(code[1:], _CLOSING), True) | np.isin(code, _FULL_STOPS)
+
+    def within(flags: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(flags)])
+        return total[high] > total[low]
+
+    line = within(code == 10) | final
+    sentence = within(ends) | line
+    # stretches between sentence or line ends
+    last = np.flatnonzero(sentence)
+    first = np.concatenate([[0], last[:-1] + 1])
+    size = last - first + 1
+    stretch = np.repeat(np.arange(len(last)), size)
+    short = size < MIN_WORDS
+    next_short = np.append(short[1:], False) & ~final[last]
+    # runs of short stretches
+    inner = short & next_short & ~line[last]
+    run = np.cumsum(np.concatenate([[True], ~inner[:-1]])) - 1
+    run_words = np.bincount(run, weights=size)[run]
+    glued = short & ~next_short & (run_words < MIN_WORDS) & ~line[last]
+    priority = mixed(hashed * np.uint64(0x9E3779B97F4A7C15) + np.append(hashed[1:], np.uint64(0))) >> np.uint64(1) | np.uint64(1)
+    long_ = stop[last] - start[first] > 600
+    priority = np.where(sentence, priority, np.where(long_[stretch], priority | np.uint64(1 << 63), _NEVER))
+    priority[last[~inner & ~glued]] = 0
+    priority[last[glued]] = _NEVER
+    cut = _least_places(priority, text)
+    at = np.flatnonzero(cut)
+    # a piece ends at the line end, or where the white space after it ends
+    solid = np.append(np.flatnonzero(~space), len(code))
+    breaks, blanks = (np.append(np.flatnonzero(f), len(code)) for f in (code == 10, space))
+    newline, blank = (x[np.searchsorted(x, low[at])] for x in (breaks, blanks))
+    by_line = (newline < high[at]) & ~final[at]
+    onward = np.where(by_line, solid[np.searchsorted(solid, newline)], np.where(blank < high[at], solid[np.searchsorted(solid, blank)], high[at]))
+    limit = base[text[at] + 1] - 1
+    tail = solid[np.searchsorted(solid, limit) - 1] + 1
+    end = np.where(final[at], tail, np.where(by_line, newline, onward))
+    opening = solid[np.searchsorted(solid, base[text[at]])]
+    begin = np.where(np.concatenate([[True], final[at][:-1]]), opening, np.concatenate([[0], onward[:-1]]))
+    head = np.concatenate([[0], at[:-1] + 1])
+    owner = text[at]
+    return owner, np.stack([begin, end], 1) - base[owner][:, None], head, at - head + 1, hashed
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
     """(start, end) of the paragraphs in code points; only white space lies between them."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        first, last = at, at + len(line)
-        at = last + 1
-        if len(line) <= LONG_LINE:
-            out.append((first, last))
-            continue
-        sentence = begin = first
-        for m in _SENTENCE_END.finditer(text, first, last):
-            if m.end() - sentence > LONG_SENTENCE:
-                begin = _cut_words(text, begin, sentence, m.end(), out)
-            if m.end() - sentence >= LEAST_SENTENCE:
-                out.append((begin, m.end()))
-                begin = m.end()
-            sentence = m.end()
-        if last - sentence > LONG_SENTENCE:
-            begin = _cut_words(text, begin, sentence, last, out)
-        if begin < last:
-            out.append((begin, last))
-    return out
-
-
-def _cut_words(text: str, begin: int, start: int, end: int, out: list[tuple[int, int]]) -> int:
-    """Cut a sentence of unusual length after words chosen by their content."""
-    for m in _WORD_END.finditer(text, start, end):
-        if _chosen(text, m.start(), m.end(), 32):
-            out.append((begin, m.end()))
-            begin = m.end()
-    return begin
-
-
-def _units(texts: list[str]) -> tuple[np.ndarray, list[tuple[int, int]], list[str]]:
-    owner, spans, parts = [], [], []
-    for k, text in enumerate(texts):
-        for a, b in paragraphs(text):
-            if b - a >= 2 * MIN_WORDS - 1:
-                owner.append(k)
-                spans.append((a, b))
-                parts.append(text[a:b])
-    return np.asarray(owner, np.int64), spans, parts
+    return [tuple(x) for x in _units([text])[1].tolist()]
 
 
-def _keyed(parts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(part, shingle, part's 64-bit key, words per part) with shingles in text order."""
-    doc, value = shingle_items(parts, words)
-    n_shingles = np.bincount(doc, minlength=len(parts))
-    key = np.zeros(len(parts), np.uint64)
+def _keyed(texts: list[str], words: int) -> tuple[np.ndarray, ...]:
+    """(text, (start, end), words, number in the text) of the paragraphs of MIN_WORDS or more, (paragraph, shingle) in text order, 64-bit keys."""
+    owner, spans, head, n_words, hashed = _units(texts)
+    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    good = n_words >= MIN_WORDS
+    owner, spans, head, n_words, nth = owner[good], spans[good], head[good], n_words[good], nth[good]
+    n_shingles = np.maximum(n_words - words + 1, 1)
+    doc = np.repeat(np.arange(len(owner)), n_shingles)
     position = np.arange(len(doc)) - np.repeat(np.cumsum(n_shingles) - n_shingles, n_shingles)
+    value = np.zeros(len(doc), np.uint64)
+    for i in range(words):
+        own = np.where(position + i < n_words[doc], hashed[np.minimum(head[doc] + position + i, len(hashed) - 1)], np.uint64(0)) if len(doc) else value
+        value = mixed(value * np.uint64(0x9E3779B97F4A7C15) + own + np.uint64(i + 1))
+    key = np.zeros(len(owner), np.uint64)
     np.add.at(key, doc, mixed(value + position.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
-    n_words = np.where(n_shingles > 1, n_shingles + words - 1, 0)  # exact from two shingles on
-    for i in np.flatnonzero(n_shingles == 1).tolist():
-        n_words[i] = len(re.findall(r"\w+", parts[i].lower()))
-    return doc, value, mixed(key), n_words
+    return owner, spans, n_words, nth, doc, value, mixed(key)
 
 
 def _occurrences(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
@@ -107,31 +196,27 @@ def _occurrences(docs: DataFrame, words: int, bands: int, rows: int) -> DataFram
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64))
         for batch in sliced(batches, "text"):
-            owner, spans, parts = _units(batch.column(1).to_pylist())
-            if not parts:
+            owner, spans, n_words, nth, doc, value, key = _keyed(batch.column(1).to_pylist(), words)
+            if not len(owner):
                 continue
-            doc, value, key, n_words = _keyed(parts, words)
             banded = n_words >= MIN_BANDED
             use = banded[doc]
             first = np.flatnonzero(np.diff(doc[use], prepend=-1))
             own = value[use]
-            hashes = np.zeros((bands, len(parts)), np.uint64)
+            hashes = np.zeros((bands, len(owner)), np.uint64)
             rank = np.flatnonzero(banded)
             if len(own):
                 for band in range(bands):
                     for r in range(rows):
                         least = np.minimum.reduceat(mixed(own ^ seeds[band * rows + r]), first)
                         hashes[band, rank] = mixed(hashes[band, rank] * np.uint64(0x9E3779B97F4A7C15) + least)
-            good = n_words >= MIN_WORDS
-            ids = batch.column(0).take(pa.array(owner[good]))
-            at = np.asarray(spans, np.int32)[good]
-            off = ~banded[good]
+            at = spans.astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(n_words[good].astype(np.int32)), pa.array(key[good].view(np.int64)),
-                 *[pa.array(hashes[i][good].view(np.int64), mask=off) for i in range(bands)]],
-                names=["doc_id", "start", "end", "n_words", "pid", *names])
+                [batch.column(0).take(pa.array(owner)), pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(n_words.astype(np.int32)), pa.array(nth.astype(np.int32)),
+                 pa.array(key.view(np.int64)), *[pa.array(hashes[i].view(np.int64), mask=~banded) for i in range(bands)]],
+                names=["doc_id", "start", "end", "n_words", "nth", "pid", *names])
 
-    return docs.mapInArrow(read, "doc_id long, start int, end int, n_words int, pid long, " + ", ".join(f"{b} long" for b in names))
+    return docs.mapInArrow(read, "doc_id long, start int, end int, n_words int, nth int, pid long, " + ", ".join(f"{b} long" for b in names))
 
 
 def _bit_filter(ids: DataFrame) -> np.ndarray:
@@ -151,14 +236,13 @@ def _paragraph_sets(docs: DataFrame, words: int, bitmap: np.ndarray) -> DataFram
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shipped.value
         for batch in sliced(batches, "text"):
-            _, _, parts = _units(batch.column(1).to_pylist())
-            if not parts:
+            *_, doc, value, key = _keyed(batch.column(1).to_pylist(), words)
+            if not len(key):
                 continue
-            doc, value, key, _ = _keyed(parts, words)
             low = (key & np.uint64(FILTER_BITS - 1)).astype(np.int64)
             wanted = (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
             doc, value, _ = distinct_items(doc[wanted[doc]], value[wanted[doc]])
-            lists = grouped_lists(doc, value.view(np.int64), len(parts), pa.int64())
+            lists = grouped_lists(doc, value.view(np.int64), len(key), pa.int64())
             keep = pa.array(np.flatnonzero(wanted))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)).take(keep), lists.take(keep)], names=["id", "items"])
 
@@ -188,15 +272,16 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, words: int
         return _paragraph_sets(texts, words, _bit_filter(ids)).join(ids, "id", "left_semi").groupBy("id").agg(F.min("items").alias("items"))
 
     labels = similar_classes(distinct.select("id", F.array(*names).alias("bands")), sets_of, threshold)
-    found = occurrences.select("doc_id", "start", "end", "n_words", "pid")
+    found = occurrences.select("doc_id", "start", "end", "n_words", "nth", "pid")
     classes = found.groupBy("pid").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     classes = classes.join(labels, F.col("pid") == F.col("id"), "left").withColumn("class_id", F.coalesce("label", "pid"))
     wide = classes.groupBy("class_id").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc")).filter("first_doc <> last_doc")
     repeated = stored(classes.join(wide, "class_id").select("pid", "class_id", "first_doc"), "repeated")
     rows = found.join(repeated, "pid").distinct()
     order = Window.partitionBy("doc_id").orderBy("start", "end", "class_id")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_new", F.when(before.isNull() | (F.col("start") - before > GAP), F.col("start")))
+    before = F.max(F.struct("end", "nth")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    far = (F.col("start") - before["end"] > GAP) & (F.col("nth") - before["nth"] > 2)
+    rows = rows.withColumn("_new", F.when(before.isNull() | far, F.col("start")))
     rows = rows.withColumn("passage_start", F.last("_new", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     once = F.row_number().over(Window.partitionBy("doc_id", "class_id").orderBy("start", "end"))
     rows = rows.withColumn("keep", (F.col("doc_id") == F.col("first_doc")) & (once == 1))

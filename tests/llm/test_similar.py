@@ -193,3 +193,44 @@ def test_passages_of_odd_rows(odd, empty):
     got = banding.repeated_passages(odd).toPandas()
     assert set(got.doc_id) == {10, 11} and got.keep.sum() * 2 == len(got)
     assert banding.repeated_passages(empty).count() == 0
+
+
+def planted_words(spark, rng, passage, around, joint):
+    """Least number of matched words of a passage planted in two documents between other text of its kind."""
+    docs, places = [], {}
+    for i in range(0, 2 * len(passage), 2):
+        for d in (i, i + 1):
+            left, right = around(rng), around(rng)
+            docs.append((d, left + joint + passage[i // 2] + joint + right))
+            places[d] = (len(left), len(left + joint + passage[i // 2]))
+    got = banding.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).toPandas()
+    matched = dict.fromkeys(places, 0)
+    for r in got.itertuples():
+        assert places[r.doc_id][0] - 40 <= r.start and r.end <= places[r.doc_id][1] + 40
+        matched[r.doc_id] += r.n_words
+    return np.asarray(list(matched.values()))
+
+
+def made(rng, n, longest, end, vocabulary=20000):
+    """``n`` words in sentences or lines of 1 to ``longest`` words."""
+    out = []
+    while n > 0:
+        k = min(n, int(rng.integers(1, longest + 1)))
+        out.append(" ".join(f"z{rng.integers(vocabulary)}" for _ in range(k)) + end)
+        n -= k
+    return out
+
+
+def test_passages_of_short_sentences_on_one_line_are_found(spark):
+    rng = np.random.default_rng(21)
+    text = lambda n: " ".join(made(rng, n, 7, "."))
+    matched = planted_words(spark, rng, [text(n) for n in list(range(51, 81)) * 2], lambda r: text(60), " ")
+    assert (matched >= 25).all()
+
+
+def test_an_edited_sentence_does_not_part_a_passage(spark):
+    rng = np.random.default_rng(25)
+    parts = [" ".join(f"x{rng.integers(20000)}abc" for _ in range(14)) + "." for _ in range(3)]
+    docs = [(1, " ".join(parts)), (2, " ".join([parts[0], " ".join(f"q{i}abcdef" for i in range(14)) + ".", parts[2]]))]
+    got = banding.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).toPandas()
+    assert sorted(got.n_words) == [14] * 4 and set(got.passage_words) == {28}
