@@ -91,7 +91,7 @@ def _words(code: np.ndarray, word: np.ndarray, alone: np.ndarray) -> tuple[np.nd
     begins = word & (~before | alone | np.concatenate([[False], alone[:-1]]))
     start = np.flatnonzero(begins)
     stop = np.flatnonzero(word & np.append(begins[1:] | ~word[1:], True)) + 1
-    long_ = np.flatnonzero(stop - start > 10**9)
+    long_ = np.flatnonzero(stop - start > LONG_WORD)
     if len(long_):
         size = (stop - start)[long_]
         group = np.repeat(long_, size)
@@ -145,7 +145,7 @@ def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     run_words = np.bincount(run, weights=size)[run]
     glued = short & ~next_short & (run_words < MIN_WORDS) & ~line[last]
     priority = mixed(hashed * np.uint64(0x9E3779B97F4A7C15) + np.append(hashed[1:], np.uint64(0))) >> np.uint64(1) | np.uint64(1)
-    long_ = stop[last] - start[first] > 600
+    long_ = (size > LONG_STRETCH) | (stop[last] - start[first] > LONG_LINE)
     priority = np.where(sentence, priority, np.where(long_[stretch], priority | np.uint64(1 << 63), _NEVER))
     priority[last[~inner & ~glued]] = 0
     priority[last[glued]] = _NEVER

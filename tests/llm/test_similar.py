@@ -228,6 +228,17 @@ def test_passages_of_short_sentences_on_one_line_are_found(spark):
     assert (matched >= 25).all()
 
 
+def test_passages_without_sentence_ends_are_found(spark):
+    rng = np.random.default_rng(22)
+    text = lambda n, by=" ": by.join(made(rng, n, 1, ""))
+    assert (planted_words(spark, rng, [text(n) for n in list(range(51, 81)) * 2], lambda r: text(40), " ") >= 25).all()
+    assert (planted_words(spark, rng, [text(n, "|") for n in range(51, 81)], lambda r: text(90, "|"), "|") >= 25).all()
+    letters = lambda n: "".join(chr(0x4E00 + int(rng.integers(3000))) for _ in range(n))
+    assert (planted_words(spark, rng, [letters(n) for n in range(51, 81)], lambda r: letters(100), "") >= 25).all()
+    code = lambda n: "".join("0123456789abcdef"[int(rng.integers(16))] for _ in range(n))
+    assert (planted_words(spark, rng, [code(900)] * 3, lambda r: code(500), "") >= 25).all()
+
+
 def test_an_edited_sentence_does_not_part_a_passage(spark):
     rng = np.random.default_rng(25)
     parts = [" ".join(f"x{rng.integers(20000)}abc" for _ in range(14)) + "." for _ in range(3)]
