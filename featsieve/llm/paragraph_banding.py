@@ -1,6 +1,6 @@
 """Operator 6: repeated passages by paragraph MinHash banding.
 
-A text is cut into paragraphs at line ends and sentence ends. Sentences of less than five words in a row are joined,
+A text is cut into paragraphs at line ends and sentence ends. Lines or sentences of less than five words in a row are joined,
 and stretches of some length without an end are cut, at places chosen by the words around them, so a passage is cut alike
 wherever it stands. Equal paragraphs are one from the start. The others are banded by MinHash; the number of bands is the
 least that finds a pair at the threshold with the wanted probability. Colliding paragraphs are verified by exact Jaccard similarity, components are the classes, and neighbouring repeated
@@ -22,7 +22,7 @@ from .near_sets import distinct_items, grouped_lists, mixed, similar_classes
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.997
 MIN_WORDS = 5  # shorter paragraphs are never matched
-MIN_BANDED = 12  # paragraphs below hold too few shingles for a near match; they are matched as they are
+MIN_BANDED = 8  # paragraphs below hold too few shingles for a near match; they are matched as they are
 MIN_PASSAGE = 25  # words of neighbouring repeated paragraphs that make a passage
 GAP = 60  # characters between paragraphs that still are neighbours; a single paragraph between them does not part them either
 LONG_LINE, LONG_STRETCH, LONG_WORD = 200, 32, 40  # characters, words, characters from which more cuts are made
@@ -140,7 +140,7 @@ def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     short = size < MIN_WORDS
     next_short = np.append(short[1:], False) & ~final[last]
     # runs of short stretches
-    inner = short & next_short & ~line[last]
+    inner = short & next_short
     run = np.cumsum(np.concatenate([[True], ~inner[:-1]])) - 1
     run_words = np.bincount(run, weights=size)[run]
     glued = short & ~next_short & (run_words < MIN_WORDS) & ~line[last]

@@ -239,6 +239,21 @@ def test_passages_without_sentence_ends_are_found(spark):
     assert (planted_words(spark, rng, [code(900)] * 3, lambda r: code(500), "") >= 25).all()
 
 
+def test_passages_of_short_lines_are_found(spark):
+    rng = np.random.default_rng(23)
+    text = lambda n: "\n".join(made(rng, n, 4, ""))
+    assert (planted_words(spark, rng, [text(n) for n in list(range(51, 81)) * 2], lambda r: text(40), "\n") >= 25).all()
+
+
+def test_paragraphs_of_eight_words_are_matched_nearly(spark):
+    rng = np.random.default_rng(24)
+    lines = [[f"y{rng.integers(20000)}" for _ in range(n)] for n in (8, 9, 10, 11)]
+    docs = [(i, "\n".join(" ".join(x + [f"e{i}"]) for x in lines)) for i in range(3)] + [(3, "\n".join(map(" ".join, lines)))]
+    want = {n for n in (8, 9, 10, 11) if (n - 4) / (n - 3) >= 0.8}  # one word more than in document 3
+    got = banding.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), min_passage=1).toPandas()
+    assert want == {8, 9, 10, 11} and set(got[got.doc_id == 3].n_words) == want
+
+
 def test_an_edited_sentence_does_not_part_a_passage(spark):
     rng = np.random.default_rng(25)
     parts = [" ".join(f"x{rng.integers(20000)}abc" for _ in range(14)) + "." for _ in range(3)]
