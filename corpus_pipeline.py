@@ -6,11 +6,11 @@ Each stage takes the documents its predecessor kept and returns documents again
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from featsieve.functions import bounded_rows
 from featsieve.llm import credential_links, crf_language, dart_minhash, packing, poisson_mix
-from featsieve.llm.common import stored
+from featsieve.llm.common import stored, text_or_empty
 
 
 CORE = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,19 +33,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each class the document with the least doc_id stays; rows of one doc_id are one document.
+    """Operator 1: of each class the first row by doc_id stays; repeated rows of one doc_id and text are one.
 
-    Rows with a null doc_id take no part and stay.
+    Rows with a null doc_id take no part and stay; texts of one doc_id that are not alike stay too.
     """
-    classes = stored(dart_minhash.near_duplicates(docs.select("doc_id", "text")), "classes")
-    gone, few = bounded_rows(classes.filter("doc_id <> class_id").select("doc_id").distinct())
-    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    keys = ["_doc", *(f"_{t}" for t in dart_minhash.TEXT_KEY)]
+    classes = stored(dart_minhash.near_classes(docs.select("doc_id", "text")).toDF(*keys, "_class", "_least"), "classes")
+    counted = classes.groupBy("_class", *keys).count()
+    firsts = classes.groupBy("_class").agg(F.min(F.struct(*keys)).alias("_first"))
+    judged = stored(counted.join(firsts, "_class").select(*keys, "count", (F.struct(*keys) != F.col("_first")).alias("_late")), "judged")
+    named = docs.select("*", F.col("doc_id").cast("long").alias(keys[0]), *[c.alias(k) for c, k in zip(dart_minhash.text_keys(text_or_empty()), keys[1:])])
+    gone, few = bounded_rows(judged.filter("_late").select(*keys))
+    left = named.join(F.broadcast(gone) if few else gone, keys, "left_anti").select(*named.columns)
+    repeated = judged.filter("not _late and count > 1").select(*keys)
     if not repeated.limit(1).count():
-        return left
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    once = left.join(repeated, "doc_id", "left_semi").withColumn("_row", first).filter("_row = 1").select(*docs.columns)
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
+        return left.select(*docs.columns)
+    once = left.join(repeated, keys, "left_semi").select(*named.columns).dropDuplicates(keys)
+    return left.join(repeated, keys, "left_anti").select(*docs.columns).union(once.select(*docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,6 @@
 """Operator 1: near-duplicate documents by DartMinHash.
 
-A document is its set of five-word shingles, weighted by 1 + log2 of their counts. Darts fall on the plane of weight
-and time, a unit Poisson process seeded by the shingle alone, so documents that share a shingle share its darts. Each dart
+A document is its set of five-word shingles. They are weighted by 1 + log2 of their counts. Darts fall on the plane of weight and time, a unit Poisson process seeded by the shingle alone, so documents that share a shingle share its darts. Each dart
 that lands below a shingle's weight goes to one coordinate, and a coordinate keeps its earliest dart. Two documents agree
 in a coordinate with the probability of their weighted Jaccard similarity. A document looks only as far in time as it
 takes to fill its coordinates, so large documents cost a hash or two for each shingle, whatever the number of coordinates.
@@ -15,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from featsieve.functions import bounded_rows
 
@@ -109,8 +108,20 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mixed(out + np.arange(bands, dtype=np.uint64))
 
 
+def _set_keys(doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """128-bit keys of the shingle sets, (2, n)."""
+    keys = np.zeros((2, n), np.uint64)
+    for row, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+        np.add.at(keys[row], doc, mixed(value + np.uint64(salt)))
+    return keys
+
+
 def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, k1, k2, bands): a 128-bit key of the shingle set and the band hashes; no bands without words."""
+    """(doc_id, k1, k2, bands): a 128-bit key of the shingle set and the band hashes; no bands without words.
+
+    Further columns of ``docs`` after doc_id and text are longs and are passed on.
+    """
+    further = docs.columns[2:]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -120,9 +131,7 @@ def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             n = len(texts)
             doc, value, count = distinct_items(*shingle_items(texts, words))
             signature = dart_signatures(doc, value, 1.0 + np.log2(count), n, bands * rows)
-            keys = np.zeros((2, n), np.uint64)
-            for row, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
-                np.add.at(keys[row], doc, mixed(value + np.uint64(salt)))
+            keys = _set_keys(doc, value, n)
             wordless = np.setdiff1d(np.arange(n), doc)
             for i in wordless.tolist():  # compared by their text
                 keys[:, i] = np.frombuffer(hashlib.md5(texts[i].encode("utf-8", "surrogatepass")).digest(), np.uint64)
@@ -131,10 +140,11 @@ def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             worded[wordless] = False
             owner = np.repeat(np.flatnonzero(worded), bands)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), grouped_lists(owner, hashes[worded].ravel().view(np.int64), n, pa.int64())],
-                names=["doc_id", "k1", "k2", "bands"])
+                [batch.column(0), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), grouped_lists(owner, hashes[worded].ravel().view(np.int64), n, pa.int64()),
+                 *batch.columns[2:]],
+                names=["doc_id", "k1", "k2", "bands", *further])
 
-    return docs.mapInArrow(sketch, "doc_id long, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(sketch, "doc_id long, k1 long, k2 long, bands array<long>" + "".join(f", {c} long" for c in further))
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -148,31 +158,76 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(items, "id long, items array<long>")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id) of every row: the least doc_id among the documents linked to it.
+def _keyed_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(k1, k2, items): the distinct shingles of each text under the key of their set."""
 
-    Documents with one shingle set are one class from the start, whatever their number; links join different sets of a
-    similarity of ``threshold`` or more. Texts without words are alike only if equal. A null text is empty; a null doc_id
-    takes no part and has a null class; repeated rows share their class (of rows with one doc_id and several texts, links
-    are sought for one of them); an empty table gives no rows.
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            n = batch.num_rows
+            doc, value, _ = distinct_items(*shingle_items(batch.column(0).to_pylist(), words))
+            keys = _set_keys(doc, value, n).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), grouped_lists(doc, value.view(np.int64), n, pa.int64())], names=["k1", "k2", "items"])
+
+    return texts.select("text").mapInArrow(items, "k1 long, k2 long, items array<long>")
+
+
+def _distinct_sets(sketches: DataFrame) -> DataFrame:
+    """(k1, k2, first, id) of the sets: their least doc_id, and a long that no two of them share."""
+    firsts = stored(sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("first")), "firsts")
+    salt = 0
+    while True:
+        named = firsts.withColumn("id", F.xxhash64("k1", "k2", F.lit(salt)))
+        if not named.groupBy("id").count().filter("count > 1").limit(1).count():
+            return named
+        salt += 1
+
+
+TEXT_KEY = ("t1", "t2")
+
+
+def text_keys(text: Column) -> list[Column]:
+    """A 128-bit key of a text."""
+    return [F.xxhash64(text).alias(TEXT_KEY[0]), F.xxhash64(F.lit(1), text).alias(TEXT_KEY[1])]
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, t1, t2, class_key, class_id) of every row with a doc_id: the keys of its text and class, the class's least doc_id.
+
+    Sets are named by their own keys, so rows of one doc_id with several texts are as many documents; two classes can
+    have the same least doc_id, but not the same ``class_key``.
     """
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    known = whole.filter("doc_id is not null")
-    sketches = stored(_sketches(known, words, bands, rows), "darts")
-    first = sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
-    firsts = stored(first, "firsts")
-    heads = sketches.join(firsts.select("k1", "k2", F.col("first").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
-    banded = heads.filter(F.size("bands") > 0).groupBy(F.col("doc_id").alias("id")).agg(F.min("bands").alias("bands"))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter("doc_id is not null")
+    sketches = stored(_sketches(known.select("doc_id", "text", *text_keys(F.col("text"))), words, bands, rows), "darts")
+    sets = _distinct_sets(sketches)
+    banded = sketches.filter(F.size("bands") > 0).select("k1", "k2", "doc_id", "bands").join(sets.withColumnRenamed("first", "doc_id"), ["k1", "k2", "doc_id"])
+    banded = banded.groupBy("id").agg(F.min("bands").alias("bands"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted, small = bounded_rows(ids.select(F.col("id").alias("doc_id")))
-        texts = known.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
-        return shingle_sets(texts, words).groupBy("id").agg(F.min("items").alias("items"))
+        named = sets.join(ids, "id", "left_semi")
+        wanted, small = bounded_rows(named.select(F.col("first").alias("doc_id")).distinct())
+        texts = known.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
+        # other texts of the documents go by the join with the wanted sets
+        return _keyed_sets(texts, words).join(named.select("k1", "k2", "id"), ["k1", "k2"]).groupBy("id").agg(F.min("items").alias("items"))
 
     labels = similar_classes(banded, sets_of, threshold)
-    classes = firsts.join(labels, F.col("first") == F.col("id"), "left").select("k1", "k2", F.coalesce("label", "first").alias("class_id"))
-    done = sketches.join(classes, ["k1", "k2"]).select("doc_id", "class_id")
-    return done.union(whole.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
+    linked = sets.join(labels, "id").select("id", "label", "first")
+    least = linked.groupBy("label").agg(F.min("first").alias("least"))
+    joined = linked.join(least, "label").select("id", "label", "least")
+    classes = sets.join(joined, "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("class_key"), F.coalesce("least", "first").alias("class_id"))
+    return sketches.join(classes, ["k1", "k2"]).select("doc_id", *TEXT_KEY, "class_key", "class_id")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, class_id) of every row: the least doc_id among the documents linked to it.
+
+    Documents with one shingle set are one class from the start, whatever their number; links join different sets of a
+    similarity of ``threshold`` or more. Texts without words are alike only if equal. A null text is empty; a null doc_id
+    takes no part and has a null class; repeated rows share their class, rows of one doc_id with several texts each have
+    that of their text; an empty table gives no rows.
+    """
+    done = near_classes(docs, threshold, words, bands, rows).select("doc_id", "class_id")
+    nameless = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is null")
+    return done.union(nameless.select("doc_id", F.lit(None).cast("long").alias("class_id")))
 
 
 def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from featsieve.llm import dart_minhash as darts, inverted_multi_index as imi, near_sets, paragraph_banding as banding
 
 
@@ -86,6 +87,17 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert darts.near_duplicates(odd).count() == 12 and darts.near_duplicates(empty).count() == 0
 
 
+def test_texts_of_one_id_are_judged_each(spark):
+    rng = np.random.default_rng(32)
+    one, two, three = ([f"{x}{rng.integers(10**6)}" for _ in range(80)] for x in "abc")
+    docs = [(1, one), (1, two), (2, [*one, "more"]), (3, [*two, "more"]), (4, three), (5, [*two, "other"]), (5, three)]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.class_id) for r in darts.near_duplicates(docs).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (5, 4)]
+    left = corpus_pipeline.near_dedup(spark, docs, None).collect()
+    assert sorted((r.doc_id, r.text[0]) for r in left) == [(1, "a"), (1, "b"), (4, "c")]
+
+
 def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 105), (105, 101)]
     got = {r.id: r.label for r in near_sets.components(spark.createDataFrame(chain, "a long, b long")).collect()}
