@@ -1,6 +1,7 @@
 """Operator 1: near-duplicate documents by DartMinHash.
 
-A document is its set of five-word shingles. They are weighted by 1 + log2 of their counts. Darts fall on the plane of weight and time, a unit Poisson process seeded by the shingle alone, so documents that share a shingle share its darts. Each dart
+A document is its set of five-word shingles. The signatures take weights; the operator gives all shingles the weight one,
+so that the similarity that is searched is the one that decides. Darts fall on the plane of weight and time, a unit Poisson process seeded by the shingle alone, so documents that share a shingle share its darts. Each dart
 that lands below a shingle's weight goes to one coordinate, and a coordinate keeps its earliest dart. Two documents agree
 in a coordinate with the probability of their weighted Jaccard similarity. A document looks only as far in time as it
 takes to fill its coordinates, so large documents cost a hash or two for each shingle, whatever the number of coordinates.
@@ -129,8 +130,8 @@ def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
         for batch in sliced(batches, "text"):
             texts = batch.column(1).to_pylist()
             n = len(texts)
-            doc, value, count = distinct_items(*shingle_items(texts, words))
-            signature = dart_signatures(doc, value, 1.0 + np.log2(count), n, bands * rows)
+            doc, value, _ = distinct_items(*shingle_items(texts, words))
+            signature = dart_signatures(doc, value, np.ones(len(doc)), n, bands * rows)
             keys = _set_keys(doc, value, n)
             wordless = np.setdiff1d(np.arange(n), doc)
             for i in wordless.tolist():  # compared by their text

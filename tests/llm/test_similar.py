@@ -98,6 +98,15 @@ def test_texts_of_one_id_are_judged_each(spark):
     assert sorted((r.doc_id, r.text[0]) for r in left) == [(1, "a"), (1, "b"), (4, "c")]
 
 
+def test_doubled_texts_are_found(spark):
+    """Plain similarity 0.8 and more, though counts differ by a factor of eight."""
+    rng = np.random.default_rng(31)
+    texts = [" ".join(f"d{rng.integers(10**6)}" for _ in range(200)) for _ in range(12)]
+    docs = [(2 * i + j, " ".join([t] * (8 if j else 1))) for i, t in enumerate(texts) for j in (0, 1)]
+    got = darts.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.class_id for r in got.collect()} == {d: d - d % 2 for d, _ in docs}
+
+
 def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 105), (105, 101)]
     got = {r.id: r.label for r in near_sets.components(spark.createDataFrame(chain, "a long, b long")).collect()}
