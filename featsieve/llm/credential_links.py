@@ -1,9 +1,9 @@
 """Operator 8: multipart credential linking.
 
 Strong parts are found by pattern alone. Weak parts (login names, bare high-entropy strings, endpoints) are common and
-mostly harmless; one is reported only if a complementary part starts within ``reach`` code points of it: an identifier or
-an endpoint needs a secret, a bare secret needs an identifier or an endpoint. The interval join runs over the parts of
-one text in the order of their starts, so it needs no shuffle and its work grows with the parts, not with their pairs.
+mostly harmless; one is reported only if a complementary part lies at most ``reach`` code points from it, or on another line
+of its block of settings, or in its innermost braces: an identifier or an endpoint needs a secret, a bare secret needs an
+identifier or an endpoint. The interval join runs over the parts of one text in the order of their starts, so it needs no shuffle and its work grows with the parts, not with their pairs.
 """
 
 from __future__ import annotations
@@ -72,6 +72,60 @@ def linked(strong: list[tuple[int, int, int]], weak: list[tuple[int, int, int]],
     return [x for x in weak if near(others if x[1] == 4 else secrets, x[0])]
 
 
+_SETTING = re.compile(r"""[ \t]*(?:[-*][ \t]+)?(?:export[ \t]+)?["']?[A-Za-z_][\w.-]*["']?[ \t]*[:=].*|[ \t]*[\[({})\],;]+[ \t]*|[ \t]*(?:#|//|;).*|[ \t]*\[[\w.: -]+\][ \t]*""")
+
+
+def _blocks(text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each start: its line, its run of setting lines and its innermost closed braces (-1 where there is none)."""
+    first, run, at, last = [], [], 0, -1
+    for i, line in enumerate(text.split("\n")):
+        first.append(at)
+        at += len(line) + 1
+        if not _SETTING.fullmatch(line.rstrip("\r")):
+            last = -1
+        elif last < 0:
+            last = i
+        run.append(last)
+    line_of = np.searchsorted(first, starts, "right") - 1
+    closed, opened = [], []
+    for m in re.finditer("[{}]", text):
+        if m.group() == "{":
+            opened.append(m.start())
+        elif opened:
+            closed.append((opened.pop(), m.start()))
+    edges = sorted([(a, a) for a, _ in closed] + [(b, -1) for _, b in closed])
+    places, owner, inside = [e for e, _ in edges], [], []
+    for _, mark in edges:
+        inside.append(mark) if mark >= 0 else inside.pop()
+        owner.append(inside[-1] if inside else -1)
+    braces = np.asarray([-1, *owner])[np.searchsorted(places, starts, "right")]
+    return line_of, np.asarray(run)[line_of], braces
+
+
+def linked_parts(text: str, strong: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], reach: int = REACH) -> list[tuple[int, int, int]]:
+    """Weak candidates with a complementary part at most ``reach`` from end to start, or in the same block."""
+    if not weak:
+        return []
+    parts = sorted(strong + weak)
+    spans = np.asarray(parts, np.int64)
+    secret = np.isin(spans[:, 1], (0, 2, 4))
+    if secret.all() or not secret.any():
+        return []
+    line, run, braces = _blocks(text, spans[:, 0])
+    near = np.zeros(len(spans), bool)
+    for own in (secret, ~secret):
+        other = spans[~own]
+        reached = np.concatenate([[-reach - 1], np.maximum.accumulate(other[:, 2])])
+        near[own] = reached[np.searchsorted(other[:, 0], spans[own, 2] + reach, "right")] >= spans[own, 0] - reach
+        near[own] |= (braces[own] >= 0) & np.isin(braces[own], braces[~own])
+        lines: dict[int, set[int]] = {}
+        for r, at in zip(run[~own].tolist(), line[~own].tolist()):
+            lines.setdefault(r, set()).add(at)
+        near[own] |= [r >= 0 and bool(x := lines.get(r)) and (len(x) > 1 or at not in x) for r, at in zip(run[own].tolist(), line[own].tolist())]
+    chosen = {x for x, n in zip(parts, near.tolist()) if n}
+    return [x for x in weak if x in chosen]
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
@@ -105,7 +159,7 @@ def scan_secrets(docs: DataFrame, reach: int = REACH, carried: list[str] | None
             out: dict[str, list] = {c: [] for c in added}
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
                 strong = base_spans(text or "")
-                spans = strong + linked(strong, weak_spans(text or "", strong), reach)
+                spans = strong + linked_parts(text or "", strong, weak_spans(text or "", strong), reach)
                 for i, c in enumerate(added[:3]):
                     out[c].append(sum(k == i for _, k, _ in strong))
                 out["base"].append(joined(strong))
