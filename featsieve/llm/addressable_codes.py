@@ -20,7 +20,6 @@ from .common import new_path, sliced, text_or_empty
 from .tokens import default_tokenizer, worker_encoder
 
 SEGMENT_TOKENS = 65_536
-MEMO_UNITS = 800_000  # words a worker remembers, near 200 MB
 _SCHEMA = (
     "part int, segment int, part_start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, "
     "chunks array<binary>, more array<binary>, ranks_512 array<binary>, ranks_64 array<binary>"
@@ -89,7 +88,7 @@ def write_codes(docs: DataFrame, path: str, tokenizer_file: str | None = None, e
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = worker_encoder(shipped.value, MEMO_UNITS), TaskContext.get().partitionId()
+        encoder, part = worker_encoder(shipped.value), TaskContext.get().partitionId()
         state = {"segment": 0, "start": 0}
         pending: list[tuple[object, np.ndarray]] = []
         held = 0
@@ -110,7 +109,7 @@ def write_codes(docs: DataFrame, path: str, tokenizer_file: str | None = None, e
             ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), *[(k, pa.list_(pa.binary())) for k in ("chunks", "more", "ranks_512", "ranks_64")]])
         end = np.asarray([end_id], np.uint32)
         for batch in sliced(batches, "text", 4_000_000, caching=True):
-            ids, counts = encoder.encode(batch.column(1).to_pylist())
+            ids, counts = encoder.encode(batch.column(1))
             at = 0
             for doc_id, count in zip(batch.column(0).to_pylist(), counts.tolist()):
                 pending.append((doc_id, np.concatenate([ids[at : at + count], end])))

@@ -44,6 +44,12 @@ def worker_cache(key: object, make: Callable[[], object]) -> object:
     return holder.__dict__[key]
 
 
+def drop_worker_cache() -> None:
+    """Forget what the worker process keeps; the memory goes back to the system."""
+    if sys.modules.pop("_featsieve_worker_cache", None) is not None:
+        give_back_memory()
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1_000_000, caching: bool = False) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the text of a slice stays near ``max_bytes``; every row is in exactly one slice.
 
@@ -53,7 +59,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1_00
     import pyarrow.compute as pc
 
     if not caching:
-        sys.modules.pop("_featsieve_worker_cache", None)
+        drop_worker_cache()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -12,14 +12,16 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import sliced, text_or_empty
+from ..functions import bounded_rows
+from .common import drop_worker_cache, sliced, text_or_empty
 from .tokens import default_tokenizer, worker_encoder
 
 SHARD_BYTES = 8_000_000
+COPIES = 64  # equal rows that may share a shard by their hash
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -58,45 +60,74 @@ def pack_documents(
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     Every id of every whole text and its end id lies in exactly one piece. Null texts are empty and hold the end id
-    alone; a null doc_id stays null; repeated rows are packed each for itself; an empty table gives no rows.
+    alone; a null doc_id stays null; repeated rows are packed each for itself; a long text is cut into pieces of
+    ``capacity`` ids; ties in cost go by doc_id, start and ids; other columns are not read, whatever their names; an
+    empty table gives no rows. The result does not depend on the partitioning of the input.
     """
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(open(tokenizer_file or default_tokenizer(), encoding="utf-8").read())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    rows = _numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
+    total = docs.select(text_or_empty().alias("text")).agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))  # a byte-level id stands for one byte at least
+    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shipped.value)
-        end = np.asarray([end_id], np.uint32)
-        for batch in sliced(batches, "text", caching=True):
-            ids, counts = encoder.encode(batch.column(1).to_pylist())
-            out: dict[str, list] = {"doc_id": [], "start": [], "doc_tokens": [], "ids": []}
-            at = 0
-            for doc_id, count in zip(batch.column(0).to_pylist(), counts.tolist()):
-                own = np.concatenate([ids[at : at + count], end]).astype("<u4")
-                at += count
-                for first in range(0, len(own), capacity):
-                    out["doc_id"].append(doc_id)
-                    out["start"].append(first)
-                    out["doc_tokens"].append(len(own))
-                    out["ids"].append(own[first : first + capacity].tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())]))
-
-    def packed(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "start", "ids"], kind="stable", ignore_index=True)
-        lengths = part["ids"].str.len().to_numpy(np.int64) // 4
-        where = assign(lengths, capacity, linear, quadratic)
-        piece = [x[0] for x in where]
-        starts, ids = part["start"].to_numpy(), part["ids"].to_numpy()
-        return pd.DataFrame({
-            "doc_id": part["doc_id"].astype("Int64").take(piece).array, "start": [int(starts[p]) + first for p, first, *_ in where], "length": [x[2] for x in where],
-            "doc_tokens": part["doc_tokens"].to_numpy()[piece], "sequence_id": [(int(key[0]) << 32) + x[3] for x in where], "offset": [x[4] for x in where],
-            "ids": [ids[p][4 * first : 4 * (first + n)] for p, first, n, *_ in where]})
-
-    cut = rows.mapInArrow(pieces, "doc_id long, start long, doc_tokens long, ids binary")
-    shard = F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(shards))
-    return cut.withColumn("shard", shard).groupBy("shard").applyInPandas(packed, PIECES)
+        for batch in sliced(batches, "text", 4_000_000, caching=True):
+            ids, counts = encoder.encode(batch.column(1))
+            # every text's ids with the end id behind them, and the places where pieces begin
+            sizes = counts + 1
+            ends = np.cumsum(sizes)
+            stream = np.full(int(ends[-1]), end_id, "<u4")
+            inner = np.ones(len(stream), bool)
+            inner[ends - 1] = False
+            stream[inner] = ids
+            per_text = -(-sizes // capacity)
+            owner = np.repeat(np.arange(len(sizes)), per_text)
+            start = capacity * (np.arange(len(owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text))
+            bounds = np.concatenate([(ends - sizes)[owner] + start, ends[-1:]]) * 4
+            cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(owner), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(stream)]).cast(pa.binary())
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(start), pa.array(sizes[owner]), cut], schema=schema)
+
+    def packed(key: tuple, part: pa.Table) -> pa.Table:
+        drop_worker_cache()  # the stage before has filled it with words
+        part = part.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids", "ascending")])
+        lengths = pc.binary_length(part["ids"]).to_numpy().astype(np.int64) // 4
+        piece, first, length, sequence, offset = np.asarray(assign(lengths, capacity, linear, quadratic), np.int64).reshape(-1, 5).T
+        ids = part["ids"].combine_chunks()
+        out = [part["doc_id"].take(piece), pa.array(part["start"].to_numpy()[piece] + first), pa.array(length), part["doc_tokens"].take(piece), pa.array((key[0].as_py() << 32) + sequence), pa.array(offset),
+               pa.array([ids[p].as_py()[4 * a : 4 * (a + n)] for p, a, n in zip(piece.tolist(), first.tolist(), length.tolist())], pa.binary())]
+        return pa.table(out, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+
+    cut = rows.mapInArrow(pieces, "doc_id long, place long, start long, doc_tokens long, ids binary")
+    shard = F.pmod(F.xxhash64("place", "start"), F.lit(shards))
+    return cut.withColumn("shard", shard).drop("place").groupBy("shard").applyInArrow(packed, PIECES)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """doc_id, text and ``place``, a hash of both; copies of one row beyond ``COPIES`` are spread by a number.
+
+    Which copy has which number does not matter, so such a group is counted and its count expanded. The result does not
+    depend on how the input is partitioned.
+    """
+    named = rows.withColumn("_hash", F.xxhash64("doc_id", "text"))
+    groups = named.groupBy("doc_id", "_hash").count().filter(F.col("count") > COPIES)
+    hot, few = bounded_rows(groups)
+    plain = named.select("doc_id", "text", F.col("_hash").alias("place"))
+    if few and not hot.limit(1).count():
+        return plain
+    same = named["doc_id"].eqNullSafe(F.col("_id")) & (named["_hash"] == F.col("_key"))
+    keys = hot.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_key"), F.col("count").alias("_copies"))
+    keys = F.broadcast(keys) if few else keys
+    rest = named.join(keys, same, "left_anti").select("doc_id", "text", F.col("_hash").alias("place"))
+    # of a hot group one row is read for every text; the hash may stand for several texts, which are counted apart
+    counted = named.join(keys, same, "left_semi").groupBy("doc_id", "text", "_hash").count()
+    width, last = F.lit(COPIES).cast("long"), F.col("count") - 1
+    parts = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), last, width))).repartition("_hash", "_from")
+    copies = F.explode(F.sequence("_from", F.least(F.col("_from") + width - 1, last)))
+    spread = parts.withColumn("_copy", copies).select("doc_id", "text", F.xxhash64("_hash", "_copy").alias("place"))
+    return rest.union(spread)
 
 
 def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

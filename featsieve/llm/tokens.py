@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import re
-from array import array
+from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 
-# A unit ends where the byte-level pre-tokenizer always ends a piece: before white space, after a run of letters.
-_UNIT = re.compile(r"\s+(?!\S)| ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[^\sA-Za-zÀ-ÖØ-öø-ſ]\S*|\s")
-# Texts with any other character go to the library whole.
-_OTHER = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ſ]")
-MEMO_UNITS = 300_000
+MEMO_UNITS = 800_000  # words a worker remembers, near 200 MB
+LONGEST = 64  # bytes; longer units are rare and large: not worth keeping
+
+# byte classes of texts that are cut into units; ``_LETTER`` covers ASCII letters and the two bytes of U+00C0..U+00FF
+_OTHER, _SPACE, _LETTER, _DIGIT, _MARK = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[33:127] = _MARK
+_CLASS[[9, 10, 32]] = _SPACE
+_CLASS[48:58] = _DIGIT
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = _LETTER
 
 
 def default_tokenizer() -> str:
@@ -20,77 +25,142 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _flat(texts: pa.Array | Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, where each text begins and the last one ends)."""
+    column = (texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string())).cast(pa.large_string())
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _valid, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole[at[0] : at[-1]], at - at[0]
+
+
+def unit_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places where units begin; no piece of the byte-level pre-tokenizer crosses one.
+
+    A cut stands before the last character of white space in front of a word (before the run and the one character
+    otherwise left over), after a white-space character that is no blank, and where a run of letters or digits ends or
+    a run of digits begins. Texts with characters beyond ASCII and Latin letters (controls included) are one unit.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = _CLASS[data]
+    odd = kind == _OTHER
+    lead, high = data == 0xC3, (data >= 0x80) & (data < 0xC0)
+    after_lead = np.concatenate([[False], lead[:-1]])
+    odd |= (high & ~after_lead) | (after_lead & ((data == 0x97) | (data == 0xB7)))
+    filled = at[:-1] < at[1:]
+    first = at[:-1][filled]
+    whole = np.add.reduceat(odd, first) > 0 if len(first) else np.zeros(0, bool)
+
+    space = kind == _SPACE
+    before = np.concatenate([[255], kind[:-1]])
+    was_space = before == _SPACE
+    was_space[first] = False
+    next_space = np.concatenate([space[1:], [True]])
+    last = np.concatenate([first[1:], [n]]) - 1
+    ends_text = np.zeros(n, bool)
+    ends_text[last] = True
+    cut = space & ~was_space
+    cut |= space & was_space & ~next_space & ~ends_text
+    cut |= ~space & was_space & np.concatenate([[False], data[:-1] != 32])
+    cut |= ~space & ~was_space & (kind != before) & ((before == _LETTER) | (before == _DIGIT) | (kind == _DIGIT))
+    if whole.any():
+        spans = np.zeros(n + 1, np.int8)
+        spans[first[whole]] += 1
+        spans[last[whole] + 1] -= 1
+        cut &= np.cumsum(spans[:-1], dtype=np.int8) == 0
+    cut[first] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
     """Encodes batches of texts; strings of special tokens in a text are ordinary text."""
 
     def __init__(self, definition: str, memo_units: int | None = None):
-        self.memo_units = memo_units or MEMO_UNITS
         from tokenizers import Tokenizer
 
+        self.memo_units = memo_units or MEMO_UNITS
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         self.splittable = '"ByteLevel"' in definition and self.tokenizer.normalizer is None
         self.reset()
 
     def reset(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo: dict[bytes, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        # compact: a full memo takes near 75 MB
-        self.first, self.size, self.uses = array("q"), array("i"), np.zeros(0, np.int64)
+        self.first, self.size, self.uses = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64)
 
     def _forget_rare(self) -> None:
-        """Keep what was used twice since the memo was last full; all goes if that is still much."""
+        """Keep the more used half of the memo; what was seen once goes."""
         old, pool, first, size, uses = self.memo, self.pool, self.first, self.size, self.uses
+        units, rows = list(old), np.fromiter(old.values(), np.int64, len(old))
         self.reset()
-        kept = [u for u, i in old.items() if uses[i] > 1]
-        if len(kept) <= self.memo_units // 2:
-            for unit in kept:
-                i = old[unit]
-                self._add(unit, pool[first[i] : first[i] + size[i]])
-            self.uses = np.zeros(len(self.first), np.int64)
-
-    def _add(self, unit: str, ids: object) -> None:
-        n = len(ids)
+        best = np.argsort(-uses[rows], kind="stable")[: self.memo_units // 2]
+        for k in best[uses[rows[best]] > 1].tolist():
+            i = rows[k]
+            self._add(units[k], pool[first[i] : first[i] + size[i]])
+
+    def _add(self, unit: bytes, ids: object) -> int:
+        n, row = len(ids), len(self.memo)
         while self.used + n > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        if row == len(self.first):
+            self.first, self.size, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.uses))
         self.pool[self.used : self.used + n] = ids
-        self.memo[unit] = len(self.first)
-        self.first.append(self.used)
-        self.size.append(n)
+        self.memo[unit] = row
+        self.first[row], self.size[row] = self.used, n
         self.used += n
+        return row
 
-    def _learn(self, units: list[str]) -> None:
+    def _library(self, units: list[bytes]) -> list[list[int]]:
+        out = []
         for i in range(0, len(units), 4096):
-            part = units[i : i + 4096]
-            for unit, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self._add(unit, code.ids)
+            part = [u.decode() for u in units[i : i + 4096]]
+            out += [code.ids for code in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, ids per text)."""
         if len(self.memo) > self.memo_units:
             self._forget_rare()
-        units: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            found = _UNIT.findall(text) if self.splittable and not _OTHER.search(text) else [text] if text else []
-            units += found
-            counts[k] = len(found)
-        memo = self.memo
-        new = list(set(units).difference(memo))
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(memo.__getitem__, units), np.int64, len(units))
-        seen = np.bincount(at, minlength=len(self.first))
-        seen[: len(self.uses)] += self.uses
-        self.uses = seen
-        for unit in new:
-            if len(unit) > 64:  # rare and large: not worth keeping
-                del memo[unit]
-        sizes, firsts = np.asarray(self.size)[at].astype(np.int64), np.asarray(self.first)[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(firsts - (ends - sizes), sizes) + np.arange(total)]
-        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        data, at = _flat(texts)
+        starts = unit_starts(data, at) if self.splittable else np.unique(at[:-1][at[:-1] < at[1:]])
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
+        bounds = np.concatenate([starts, [len(data)]]).astype(np.int64)
+        buffers = [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
+        rows = np.fromiter(map(self.memo.get, distinct, (-1,) * len(distinct)), np.int64, len(distinct))
+        new = np.flatnonzero(rows < 0)
+        long_ids: list[list[int]] = []
+        if len(new):
+            for k, ids in zip(new.tolist(), self._library([distinct[k] for k in new.tolist()])):
+                if len(distinct[k]) <= LONGEST:
+                    rows[k] = self._add(distinct[k], ids)
+                else:
+                    rows[k] = -1 - len(long_ids)
+                    long_ids.append(ids)
+        known = rows >= 0
+        self.uses[rows[known]] += np.bincount(which, minlength=len(distinct))[known]
+        pool, first, size = self.pool[: self.used], np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        first[known], size[known] = self.first[rows[known]], self.size[rows[known]]
+        if long_ids:
+            own = np.fromiter(map(len, long_ids), np.int64, len(long_ids))
+            at_own = -1 - rows[~known]
+            first[~known], size[~known] = (len(pool) + np.cumsum(own) - own)[at_own], own[at_own]
+            pool = np.concatenate([pool, *[np.asarray(x, np.uint32) for x in long_ids]])
+
+        sizes, firsts = size[which], first[which]
+        done = np.cumsum(sizes)
+        ids = pool[np.repeat(firsts - (done - sizes), sizes) + np.arange(int(done[-1]))]
+        before = np.concatenate([[0], done])
+        # a text's ids end where the last unit that begins before its end ends
+        edges = before[np.searchsorted(starts, at)]
         return ids, np.diff(edges)
 
 

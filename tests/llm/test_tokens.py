@@ -106,6 +106,19 @@ def test_every_id_is_packed_once(odd, rows, capacity, shard_bytes):
     assert padding < capacity * len(shards)
 
 
+def test_packing_does_not_depend_on_layout(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 3)
+    texts = [(i, "word " * (i * 7 % 300)) for i in range(150)] + [(5, "the same row again")] * 20 + [(None, "nobody's row")] * 9 + [(6, None)] * 5
+    found = []
+    for parts in (1, 7):
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(parts)
+        pieces = packing.pack_documents(docs, capacity=64, shard_bytes=2_000)
+        found.append(sorted((p.doc_id is None, p.doc_id or 0, p.start, p.length, p.sequence_id, p.offset, bytes(p.ids)) for p in pieces.collect()))
+    assert found[0] == found[1] and len({p[4] >> 32 for p in found[0] if p[1] == 5}) > 3
+    want = sorted((d is None, d or 0, *plain(t), 1) for d, t in texts)
+    assert sum(p[3] for p in found[0]) == sum(len(w) - 2 for w in want)
+
+
 def test_packing_of_no_rows(empty):
     assert packing.pack_documents(empty).count() == 0
 
