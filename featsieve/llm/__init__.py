@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline over documents and embeddings."""
 
-from . import addressable_codes, byte_bpe, cotrain_quality, credential_links, crf_language, dart_minhash, inverted_multi_index, multiset_hash, packing, paragraph_banding, poisson_mix
+from . import addressable_codes, byte_bpe, cotrain_quality, credential_links, crf_language, dart_minhash, inverted_multi_index, multiset_hash, packing, paragraph_banding, poisson_mix, role_repair
 
 QUERIES = {
     "op1_dart_minhash": dart_minhash.op1_dart_minhash,
@@ -14,5 +14,6 @@ QUERIES = {
     "op9_multiset_hash": multiset_hash.op9_multiset_hash,
     "op10_addressable_codes": addressable_codes.op10_addressable_codes,
     "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+    "op13_role_repair": role_repair.op13_role_repair,
 }
 SQL = {"op7_poisson_mix": poisson_mix.TWIN, "op9_multiset_hash": multiset_hash.TWIN}
