@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline over documents and embeddings."""
 
-from . import addressable_codes, byte_bpe, cotrain_quality, credential_links, crf_language, dart_minhash, inverted_multi_index, multiset_hash, packing, paragraph_banding, poisson_mix, role_repair
+from . import addressable_codes, byte_bpe, cotrain_quality, credential_links, crf_language, dart_minhash, inverted_multi_index, multiset_hash, packing, paragraph_banding, poisson_mix, role_repair, whitening
 
 QUERIES = {
     "op1_dart_minhash": dart_minhash.op1_dart_minhash,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_credential_links": credential_links.op8_credential_links,
     "op9_multiset_hash": multiset_hash.op9_multiset_hash,
     "op10_addressable_codes": addressable_codes.op10_addressable_codes,
+    "op11_chebyshev_whitening": whitening.op11_chebyshev_whitening,
     "op12_byte_bpe": byte_bpe.op12_byte_bpe,
     "op13_role_repair": role_repair.op13_role_repair,
 }
