@@ -1,15 +1,22 @@
 """Second-order gradient boosting on binned columns, all classes of a round together.
 
-A level of a round is one pass: tasks score their blocks, sum gradients and Hessians by (class, node, feature, bin), and
-only splits or sums of a model's size leave them. Gradients and Hessians are rounded to whole numbers first, so sums do
-not depend on their order: the same table gives the same trees under any partitioning. Scores of a block are kept by the
-worker that made them; a worker that does not have them, or only those of an earlier round, makes them from the trees.
+At every level of a round tasks sum gradients and Hessians by (class, node, feature, bin), and only splits or sums of a
+model's size leave them. Gradients and Hessians are rounded to whole numbers first, so sums do not depend on their order:
+the same table gives the same trees under any partitioning.
+
+Where a level's sums are small and the blocks fit the slots, the tasks of a barrier stage exchange them and grow
+``BARRIER_ROUNDS`` rounds in one job; a lost executor costs the rounds of one job. Otherwise every level is a pass of its
+own, and large sums meet by node in tasks. In passes scores of a block are kept by the worker that made them; a worker
+that does not have them, or only those of an earlier round, makes them from the trees. Both ways give the same trees.
 """
 
 from __future__ import annotations
 
+import base64
+import pickle
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +25,8 @@ import pyarrow as pa
 from .binned import Blocks, block_rows, draws
 
 FIXED = float(1 << 24)  # gradients and Hessians are counted in parts of this size
-COLLECTED_BYTES = 16_000_000  # sums the driver takes per pass; larger ones meet by node in tasks
+COLLECTED_BYTES = 16_000_000  # sums of all tasks that one place takes at a level; larger ones meet by node in tasks
+BARRIER_ROUNDS, BARRIER_BYTES = 25, 256_000_000  # rounds of a job; rows and scores a task may hold
 KEPT_BYTES = 128_000_000  # scores a worker keeps
 
 _kept: dict = {"model": None, "bytes": 0, "scores": {}}
@@ -147,83 +155,152 @@ def tried_columns(p: int, share: float, seed: int, round_: int, head: int) -> np
     return np.sort(np.argsort(draws(np.arange(1, p + 1, dtype=np.uint64), seed, 2, round_, head), kind="stable")[:m])
 
 
+Found = dict[tuple[int, int], tuple]  # (head, node) -> column place, bin, gain, leaf value
+
+
+@dataclass
+class Level:
+    """The open nodes of a level and the shape of their sums per head."""
+
+    number: int
+    nodes: dict[int, list[int]]
+    columns: list[np.ndarray]
+    shapes: dict[int, tuple[int, ...]]
+
+    @property
+    def cells(self) -> int:
+        return sum(int(np.prod(x)) for x in self.shapes.values())
+
+    def sums(self, trees: list[BoostTree], codes: np.ndarray, g: np.ndarray, hess: np.ndarray) -> dict[int, np.ndarray]:
+        out = {}
+        for h, shape in self.shapes.items():
+            at = trees[h].route(codes, self.number)
+            place = np.full((1 << (self.number + 1)) - 1, -1)
+            place[self.nodes[h]] = np.arange(len(self.nodes[h]))
+            r = np.flatnonzero(place[at] >= 0)
+            out[h] = node_sums(codes[r], place[at[r]], shape[0], self.columns[h], shape[2], g[r, h], hess[r, h])
+        return out
+
+    def splits(self, total: np.ndarray, s: Settings) -> Found:
+        """Best splits from the flat sums of all heads."""
+        out, begin = {}, 0
+        for h, shape in self.shapes.items():
+            n = int(np.prod(shape))
+            for node, *found in zip(self.nodes[h], *gain_splits(total[begin : begin + n].reshape(shape), s)):
+                out[h, node] = tuple(found)
+            begin += n
+        return out
+
+
+def grow_round(model: Boosted, s: Settings, round_: int, bins: int, find: Callable[[Level, list[BoostTree]], Found]) -> None:
+    """Add the trees of a round; ``find`` gives the best splits of a level."""
+    columns = [tried_columns(model.columns, s.columns, s.seed, round_, h) for h in range(model.heads)]
+    trees = [BoostTree.empty(s.depth) for _ in range(model.heads)]
+    open_ = {h: [0] for h in range(model.heads)}
+    for number in range(s.depth + 1):
+        used = [c[:1] if number == s.depth else c for c in columns]  # the deepest level needs totals only
+        level = Level(number, open_, used, {h: (len(nodes), len(used[h]), bins, 3) for h, nodes in open_.items()})
+        open_ = {}
+        for (h, node), (which, at, gain, value) in sorted(find(level, trees).items()):
+            tree = trees[h]
+            tree.value[node] = value
+            if number < s.depth and gain > -np.inf:
+                f = int(columns[h][which])
+                tree.feature[node], tree.bin[node] = f, at
+                model.gain[f] += gain
+                model.splits[f] += 1
+                open_.setdefault(h, []).extend((2 * node + 1, 2 * node + 2))
+        if not open_:
+            break
+    model.trees.append(trees)
+
+
 def boost(blocks: Blocks, settings: Settings, class_weight: np.ndarray | None = None) -> Boosted:
     """Fit on the rows whose ``member`` bit 0 is set."""
     s, p, k = settings, len(blocks.edges), blocks.classes
     model = Boosted(k, s.depth, p)
     weight = np.ones(k) if class_weight is None or not s.balanced else class_weight
     parts = max(1, blocks.data.rdd.getNumPartitions())
+    slots = blocks.data.sparkSession.sparkContext.defaultParallelism
+    tasks = min(parts, slots)
+    widest = model.heads * (1 << max(0, s.depth - 1)) * max(1, int(p * s.columns)) * blocks.bins * 24
+    held = blocks.rows / tasks * (p + 24 * model.heads + 48)
+    if widest * tasks <= COLLECTED_BYTES and held <= BARRIER_BYTES:
+        data = blocks.data if parts <= slots else blocks.data.repartition(tasks).persist()
+        while len(model.trees) < s.rounds:
+            model = _barrier_rounds(data, blocks, model, s, weight, min(s.rounds, len(model.trees) + BARRIER_ROUNDS))
+        if data is not blocks.data:
+            data.unpersist()
+        return model
     for round_ in range(s.rounds):
-        columns = [tried_columns(p, s.columns, s.seed, round_, h) for h in range(model.heads)]
-        trees = [BoostTree.empty(s.depth) for _ in range(model.heads)]
-        open_ = {(h, 0) for h in range(model.heads)}
-        for level in range(s.depth + 1):
-            found = _level(blocks, model, s, weight, round_, level, columns, trees, sorted(open_), parts)
-            after = set()
-            for (h, node), (which, at, gain, value) in sorted(found.items()):
-                tree = trees[h]
-                tree.value[node] = value
-                if level < s.depth and gain > -np.inf:
-                    f = int(columns[h][which])
-                    tree.feature[node], tree.bin[node] = f, at
-                    model.gain[f] += gain
-                    model.splits[f] += 1
-                    after |= {(h, 2 * node + 1), (h, 2 * node + 2)}
-            open_ = after
-            if not open_:
-                break
-        model.trees.append(trees)
+        grow_round(model, s, round_, blocks.bins, lambda level, trees: _pass(blocks, model, s, weight, round_, level, trees, parts))
     return model
 
 
-def _level(blocks, model, s, weight, round_, level, columns, trees, open_, parts) -> dict[tuple[int, int], tuple]:
-    """Best split and leaf value of the open nodes of a level."""
-    p, bins, first = len(blocks.edges), blocks.bins, (1 << level) - 1
-    per_head = {h: [n for hh, n in open_ if hh == h] for h in range(model.heads)}
-    last = level == s.depth
-    # the deepest level needs totals only
-    used = [c[:1] if last else c for c in columns]
-    shapes = {h: (len(nodes), len(used[h]), bins, 3) for h, nodes in per_head.items() if nodes}
+def _barrier_rounds(data, blocks: Blocks, model: Boosted, s: Settings, weight: np.ndarray, upto: int) -> Boosted:
+    """Rounds up to ``upto``, grown by tasks that exchange their sums at every level."""
+    p, bins = len(blocks.edges), blocks.bins
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {h: np.zeros(shape, np.int64) for h, shape in shapes.items()}
+        from pyspark import BarrierTaskContext
+
+        context = BarrierTaskContext.get()
+        parts = [block_rows(row, p) for b in batches for row in b.to_pylist()]
+        empty = (np.zeros((0, p), np.uint8), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        codes, y, ids, member = (np.concatenate(c) for c in zip(empty, *[x[:4] for x in parts]))
+        scores = model.add(np.zeros((len(y), model.heads)), codes, 0)
+        for round_ in range(len(model.trees), upto):
+            own = np.flatnonzero(((member & 1) == 1) & (draws(ids, s.seed, 1, round_) < s.rows))
+            c = codes[own]
+            g, hess = gradients(model, scores[own], y[own], weight)
+
+            def find(level: Level, trees: list[BoostTree]) -> Found:
+                mine = np.concatenate([x.ravel() for x in level.sums(trees, c, g, hess).values()])
+                sent = base64.b64encode(zlib.compress(mine.tobytes(), 1)).decode()
+                total = np.zeros(level.cells, np.int64)
+                for text in context.allGather(sent):
+                    total += np.frombuffer(zlib.decompress(base64.b64decode(text)), np.int64)
+                return level.splits(total, s)
+
+            grow_round(model, s, round_, bins, find)
+            scores = model.add(scores, codes, round_)
+        if context.partitionId() == 0:
+            found = ([[(t.feature, t.bin, t.value) for t in r] for r in model.trees], model.gain, model.splits)
+            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(found)]})
+
+    trees, gain, splits = pickle.loads(data.mapInArrow(run, "model binary", barrier=True).collect()[0]["model"])
+    out = Boosted(model.classes, model.depth, model.columns)
+    out.trees, out.gain, out.splits = [[BoostTree(*t) for t in r] for r in trees], gain, splits
+    return out
+
+
+def _pass(blocks: Blocks, model: Boosted, s: Settings, weight: np.ndarray, round_: int, level: Level, trees: list[BoostTree], parts: int) -> Found:
+    """Best splits of a level by one pass over the blocks."""
+    p = len(blocks.edges)
+    meet = level.cells * 8 * parts > COLLECTED_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {h: np.zeros(shape, np.int64) for h, shape in level.shapes.items()}
         for b in batches:
             for row in b.to_pylist():
                 codes, y, ids, member, _held = block_rows(row, p)
                 scores = kept_scores(model, row["id"], codes)
                 own = np.flatnonzero(((member & 1) == 1) & (draws(ids, s.seed, 1, round_) < s.rows))
-                c = codes[own]
                 g, hess = gradients(model, scores[own], y[own], weight)
-                for h in shapes:
-                    at = trees[h].route(c, level)
-                    place = np.full((1 << (level + 1)) - 1, -1)
-                    place[per_head[h]] = np.arange(len(per_head[h]))
-                    r = np.flatnonzero(place[at] >= 0)
-                    sums[h] += node_sums(c[r], place[at[r]], shapes[h][0], used[h], bins, g[r, h], hess[r, h])
-        if meet:
-            for h, found in sums.items():
-                for node, one in zip(per_head[h], found):
-                    yield pa.RecordBatch.from_pydict({"head": pa.array([h], pa.int32()), "node": pa.array([node], pa.int32()), "sums": [one.tobytes()]})
-        else:
-            yield pa.RecordBatch.from_pydict({"head": pa.array([-1], pa.int32()), "node": pa.array([-1], pa.int32()), "sums": [b"".join(f.tobytes() for f in sums.values())]})
+                for h, found in level.sums(trees, codes[own], g, hess).items():
+                    sums[h] += found
+        rows = [(h, node, one) for h, found in sums.items() for node, one in zip(level.nodes[h], found)] if meet else [(-1, -1, np.concatenate([f.ravel() for f in sums.values()]))]
+        for h, node, one in rows:
+            yield pa.RecordBatch.from_pydict({"head": pa.array([h], pa.int32()), "node": pa.array([node], pa.int32()), "sums": [one.tobytes()]})
 
     def choose(part: pa.Table) -> pa.Table:
         h, node = part["head"][0].as_py(), part["node"][0].as_py()
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in part["sums"]).reshape(1, *shapes[h][1:])
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in part["sums"]).reshape(1, *level.shapes[h][1:])
         which, at, gain, value = gain_splits(total, s)
         return pa.table({"head": pa.array([h], pa.int32()), "node": pa.array([node], pa.int32()), "which": pa.array(which), "at": pa.array(at), "gain": pa.array(gain), "value": pa.array(value)})
 
-    size = sum(int(np.prod(x)) * 8 for x in shapes.values())
-    meet = size * parts > COLLECTED_BYTES
     summed = blocks.data.mapInArrow(run, "head int, node int, sums binary")
     if meet:
         rows = summed.groupBy("head", "node").applyInArrow(choose, "head int, node int, which long, at long, gain double, value double").collect()  # one row per node
         return {(r["head"], r["node"]): (r["which"], r["at"], r["gain"], r["value"]) for r in rows}
-    total = sum((np.frombuffer(r["sums"], np.int64) for r in summed.collect()), np.zeros(size // 8, np.int64))
-    out, begin = {}, 0
-    for h, shape in shapes.items():
-        n = int(np.prod(shape))
-        for node, *found in zip(per_head[h], *gain_splits(total[begin : begin + n].reshape(shape), s)):
-            out[h, node] = tuple(found)
-        begin += n
-    return out
+    return level.splits(sum((np.frombuffer(r["sums"], np.int64) for r in summed.collect()), np.zeros(level.cells, np.int64)), s)

@@ -320,7 +320,8 @@ def grow_forest(blocks: Blocks, specs: Sequence[TreeSpec], class_weights: dict[i
 def importances(grown: DataFrame, tops: dict[int, Top], specs: Sequence[TreeSpec], p: int) -> dict[int, np.ndarray]:
     """Per model the mean over trees of the gains, each tree's scaled to sum 1."""
     per_tree = {s.tree: np.zeros(p) for s in specs}
-    for r in grown.filter("gains is not null").select("tree", "node", "gains").orderBy("tree", "node").toLocalIterator():
+    # a row per tree and node grown by a task
+    for r in sorted(grown.filter("gains is not null").select("tree", "node", "gains").collect(), key=lambda r: (r["tree"], r["node"])):
         per_tree[r["tree"]] += np.frombuffer(r["gains"])
     out: dict[int, list[np.ndarray]] = {}
     for s in specs:

@@ -112,10 +112,10 @@ RANKERS: dict[str, Ranker] = {
     "mutual_info_binned": Ranker("filter", lambda x: mutual_info.binned_scores(x.df, x.label, x.features)),
     "relieff": Ranker("filter", lambda x: relief.relief_scores(x.df, x.label, x.key, x.features, seed=x.seed, **{**RELIEF, **_opts(x, "relieff")}), {"n_neighbors": RELIEF["neighbors"], "max_rows": RELIEF["max_rows"]}),
     "mrmr": Ranker("filter", lambda x: mrmr.mrmr_scores(x.df, x.features, x.mutual_info())),
-    "rf": Ranker("embedded", lambda x: trees.forest_scores(x.fit_df, x.label, x.features, seed=x.seed, **_opts(x, "rf"))),
-    "gbt": Ranker("embedded", lambda x: trees.boosted_scores(x.fit_df, x.label, x.features, seed=x.seed, **_opts(x, "gbt"))),
-    "xgboost": Ranker("embedded", lambda x: trees.boosted_scores(x.fit_df, x.label, x.features, seed=x.seed, **_opts(x, "gbt")), {"model": "spark_gbt"}),
-    "lightgbm": Ranker("embedded", lambda x: trees.boosted_scores(x.fit_df, x.label, x.features, seed=x.seed, **{**trees.BALANCED_BOOSTING, **_opts(x, "gbt")}), {"model": "spark_gbt", "importance": "split"}),
+    "rf": Ranker("embedded", lambda x: trees.forest_scores(x.fit_df, x.label, x.key, x.features, seed=x.seed, **_opts(x, "rf"))),
+    "gbt": Ranker("embedded", lambda x: trees.boosted_scores(x.fit_df, x.label, x.key, x.features, seed=x.seed, **_opts(x, "gbt"))),
+    "xgboost": Ranker("embedded", lambda x: trees.boosted_scores(x.fit_df, x.label, x.key, x.features, seed=x.seed, **_opts(x, "gbt")), {"model": "histogram_boosting"}),
+    "lightgbm": Ranker("embedded", lambda x: trees.boosted_scores(x.fit_df, x.label, x.key, x.features, seed=x.seed, **{**trees.BALANCED_BOOSTING, **_opts(x, "gbt")}), {"model": "histogram_boosting", "importance": "split"}),
     "rfe": Ranker("wrapper", lambda x: linear.elimination_scores(x.fit_df, x.label, x.key, x.features, seed=x.seed)),
     "rfecv": Ranker("wrapper", lambda x: linear.elimination_scores(x.fit_df, x.label, x.key, x.features, seed=x.seed, folds=3)),
     "boruta": Ranker("wrapper", lambda x: trees.shadow_scores(x.fit_df, x.label, x.key, x.features, seed=x.seed, **_opts(x, "boruta"))),

@@ -2,103 +2,79 @@
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import hash32
-from .linear import assembled, class_count, scores_frame
-from .target import with_class_weight
+from . import boosting, forest
+from .binned import Blocks, fit_edges, to_blocks
+from .linear import class_count, scores_frame
+from .shadows import ranked_rows, with_shadows
 
 # fixed values: the second boosting parameter set
-BALANCED_BOOSTING = {"rounds": 300, "depth": 5, "rate": 0.1, "rows": 1.0, "columns": "all", "balanced": True, "importance": "split"}
-SHADOW_BLOCK_ROWS = 50_000
+BALANCED_BOOSTING = {"rounds": 300, "depth": 5, "rate": 0.1, "rows": 1.0, "columns": 1.0, "l2": 0.0, "min_hessian": 1e-3, "min_rows": 20, "balanced": True, "importance": "split"}
 
 
-def _training(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
-    weighted = with_class_weight(df.select(F.col(label).cast("double").alias("label"), *[F.col(f"`{c}`") for c in features]), "label")
-    return assembled(weighted, features, "label", "weight")
+def balanced_weights(df: DataFrame, label: str | Column, classes: int) -> np.ndarray:
+    """n / (K * n_c) per class number, K the classes that have rows."""
+    counts = np.zeros(classes)
+    for r in df.groupBy((F.col(label) if isinstance(label, str) else label).cast("int").alias("y")).count().collect():  # one row per class
+        counts[r["y"]] = r["count"]
+    return np.where(counts > 0, counts.sum() / (max(1, (counts > 0).sum()) * np.maximum(counts, 1)), 0.0)
 
 
-def _forest_importance(data: DataFrame, trees: int, max_depth: int, seed: int) -> np.ndarray:
-    model = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, weightCol="weight", seed=seed, maxMemoryInMB=1024).fit(data)
-    return model.featureImportances.toArray()
+def root_of(p: int) -> int:
+    """Features tried per node of a forest."""
+    return max(1, int(np.sqrt(p)))
 
 
-def forest_scores(df: DataFrame, label: str, features: Sequence[str], trees: int = 300, max_depth: int = 30, seed: int = 42) -> DataFrame:
-    """Impurity importance of a class-balanced random forest (30 levels at most, the limit of the implementation)."""
-    return scores_frame(df, _forest_importance(_training(df, label, features), trees, max_depth, seed))
+def _forest_importance(blocks: Blocks, weights: np.ndarray, trees: int, max_depth: int | None, seed: int) -> np.ndarray:
+    p = len(blocks.edges)
+    specs = [forest.TreeSpec(t, 0, tuple(range(p)), seed * 1_000_003 + t, 0, True, root_of(p), max_depth or 1 << 20) for t in range(trees)]
+    grown, tops = forest.grow_forest(blocks, specs, {0: weights})
+    return forest.importances(grown, tops, specs, p)[0]
 
 
-def _split_counts(model, p: int) -> np.ndarray:
-    """How many tree nodes split on each feature."""
-    counts = np.zeros(p)
-    for found in re.findall(r"If \(feature (\d+) ", model.toDebugString):
-        counts[int(found)] += 1
-    return counts
+def forest_scores(df: DataFrame, label: str, key: str, features: Sequence[str], trees: int = 300, max_depth: int | None = None, seed: int = 42) -> DataFrame:
+    """Impurity importance of a class-balanced random forest; trees are grown until their leaves are pure."""
+    k = class_count(df, label)
+    blocks = to_blocks(df, label, key, features, k)
+    found = _forest_importance(blocks, balanced_weights(df, label, k), trees, max_depth, seed)
+    blocks.release()
+    return scores_frame(df, found)
 
 
-def boosted_scores(
-    df: DataFrame, label: str, features: Sequence[str], rounds: int = 200, depth: int = 6, rate: float = 0.05,
-    rows: float = 0.8, columns: str = "0.8", balanced: bool = False, importance: str = "gain", seed: int = 42,
-) -> DataFrame:
-    """Gain or split-count importance of gradient-boosted trees; more than two classes one-vs-rest."""
-    data = _training(df, label, features)
-    gbt = GBTClassifier(
-        maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=rows, featureSubsetStrategy=columns, seed=seed, maxMemoryInMB=1024)
-    if balanced:
-        gbt = gbt.setWeightCol("weight")
-    if class_count(df, label) == 2:
-        models = [gbt.fit(data)]
-    else:
-        ovr = OneVsRest(classifier=gbt, parallelism=2)
-        models = (ovr.setWeightCol("weight") if balanced else ovr).fit(data).models
-    each = [_split_counts(m, len(features)) if importance == "split" else m.featureImportances.toArray() for m in models]
-    return scores_frame(df, np.sum(each, axis=0) if importance == "split" else np.mean(each, axis=0))
-
-
-def with_shadows(df: DataFrame, label: str, key: str, features: Sequence[str], round_: int, seed: int, blocks: int) -> DataFrame:
-    """Add a shuffled copy s0.. of every feature.
-
-    Rows are dealt to hash blocks of bounded size and each column is permuted
-    inside its block; the result depends on keys and seed only.
-    """
-    p = len(features)
-    schema = "label double, " + ", ".join([f"f{i} double" for i in range(p)] + [f"s{i} double" for i in range(p)])
-    names = [f"f{i}" for i in range(p)]
-
-    def shuffle(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("_key", kind="stable")
-        rng = np.random.default_rng([seed, round_, int(block["_block"].iloc[0])])
-        x = block[names].to_numpy(float)
-        mixed = np.column_stack([rng.permutation(x[:, j]) for j in range(p)])
-        return pd.DataFrame(np.column_stack([block["label"].to_numpy(float), x, mixed]), columns=["label", *names, *[f"s{i}" for i in range(p)]])
-
-    rows = df.select(
-        F.col(label).cast("double").alias("label"), F.col(key).cast("string").alias("_key"),
-        F.pmod(hash32(F.col(key), seed, "shadow", round_), F.lit(blocks)).alias("_block"),
-        *[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(features)])
-    return rows.groupBy("_block").applyInPandas(shuffle, schema)
+def boosted_scores(df: DataFrame, label: str, key: str, features: Sequence[str], importance: str = "gain", **settings: object) -> DataFrame:
+    """Mean gain per split (scaled to sum 1) or split counts of second-order boosting, softmax over the classes."""
+    s = boosting.Settings(**settings)
+    k = max(2, class_count(df, label))
+    blocks = to_blocks(df, label, key, features, k)
+    model = boosting.boost(blocks, s, balanced_weights(df, label, k) if s.balanced else None)
+    blocks.release()
+    if importance == "split":
+        return scores_frame(df, model.splits)
+    mean = model.gain / np.maximum(model.splits, 1)
+    return scores_frame(df, mean / mean.sum() if mean.sum() > 0 else mean)
 
 
 def shadow_scores(
-    df: DataFrame, label: str, key: str, features: Sequence[str], rounds: int = 20, trees: int = 150, max_depth: int = 30, seed: int = 42
+    df: DataFrame, label: str, key: str, features: Sequence[str], rounds: int = 20, trees: int = 150, max_depth: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """Rounds in which a feature beats the best shuffled feature, plus its mean importance."""
-    p = len(features)
-    blocks = max(1, math.ceil(df.count() / SHADOW_BLOCK_ROWS))
+    """Rounds in which a feature beats the best shuffled feature, plus its mean importance.
+
+    Every round permutes each column over the whole table.
+    """
+    p, k = len(features), class_count(df, label)
+    weights = balanced_weights(df, label, k)
+    ranked, n = ranked_rows(df, label, key, features, seed)
+    edges = fit_edges(df, key, features, n)
+    names = [f"{c}{i}" for c in "fs" for i in range(p)]
     hits, mean = np.zeros(p), np.zeros(p)
-    names = [f"f{i}" for i in range(p)] + [f"s{i}" for i in range(p)]
     for r in range(rounds):
-        both = with_shadows(df, label, key, features, r, seed, blocks)
-        data = _training(both, "label", names).persist()
-        found = _forest_importance(data, trees, max_depth, seed + r)
-        data.unpersist()
+        blocks = to_blocks(with_shadows(ranked, n, p, r, seed), "label", "key", names, k, edges=edges * 2)
+        found = _forest_importance(blocks, weights, trees, max_depth, seed + r)
+        blocks.release()
         hits += found[:p] > found[p:].max()
         mean += found[:p] / rounds
     return scores_frame(df, hits + mean)

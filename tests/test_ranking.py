@@ -129,15 +129,32 @@ def test_every_ranker_ranks_every_feature(table):
     assert (rank["a"] < rank["d"]).all()
 
 
-def test_shadows_are_permutations_and_deterministic(table):
-    from featsieve.operators import trees
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 64, 65, 1000])
+def test_ranks_are_permuted(n):
+    from featsieve.operators import shadows
+
+    got = shadows.permuted(np.arange(n), n, 1, 2)
+    assert sorted(got) == list(range(n)) and (n < 10 or (got != np.arange(n)).mean() > 0.7)
+    assert n < 10 or (shadows.permuted(np.arange(n), n, 1, 3) != got).any()
+
+
+def test_shadows_permute_the_whole_table(table):
+    from featsieve.operators import shadows
 
     df, x, _y, names = table
-    a = trees.with_shadows(df.repartition(5), "y", "key", names, 0, 1, 2)
-    b = trees.with_shadows(df.repartition(1), "y", "key", names, 0, 1, 2)
-    assert a.exceptAll(b).count() == 0
-    got = a.toPandas()
-    assert np.allclose(np.sort(got["s0"]), np.sort(x[:, 0])) and not np.allclose(got["s0"], got["f0"])
+    df = df.withColumn("b", F.when(F.col("b") > 1, None).otherwise(F.col("b")))
+    found = []
+    for parts in (1, 64):
+        ranked, n = shadows.ranked_rows(df.repartition(parts), "y", "key", names, 1)
+        assert n == 180 and sorted(r[0] for r in ranked.select("rank").collect()) == list(range(180))
+        found.append(shadows.with_shadows(ranked, n, 4, 3, 1).orderBy("key").toPandas())
+    a, b = found
+    assert a.equals(b)
+    for i in range(4):
+        assert np.allclose(np.sort(a[f"s{i}"]), np.sort(a[f"f{i}"]), equal_nan=True)
+    assert np.mean(a["s0"] != a["f0"]) > 0.9 and abs(np.corrcoef(a["s0"], a["f0"])[0, 1]) < 0.3 and abs(np.corrcoef(a["s0"], a["s2"])[0, 1]) < 0.3
+    report = {r["feature"]: r for r in shadows.shadow_report(df, "y", "key", names, 1).collect()}
+    assert all(r["unmatched"] == 0 and r["rows"] == 180 for r in report.values()) and report["a"]["shuffled"] and not report["d"]["shuffled"]
 
 
 def test_c_values_are_read_from_names():
