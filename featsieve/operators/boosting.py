@@ -4,18 +4,16 @@ At every level of a round tasks sum gradients and Hessians by (class, node, feat
 model's size leave them. Gradients and Hessians are rounded to whole numbers first, so sums do not depend on their order:
 the same table gives the same trees under any partitioning.
 
-Where a level's sums are small and the blocks fit the slots, the tasks of a barrier stage exchange them and grow
-``BARRIER_ROUNDS`` rounds in one job; a lost executor costs the rounds of one job. Otherwise every level is a pass of its
-own, and large sums meet by node in tasks. In passes scores of a block are kept by the worker that made them; a worker
-that does not have them, or only those of an earlier round, makes them from the trees. Both ways give the same trees.
+A level is a pass over the blocks; large sums meet by node in tasks. Scores of a block are kept by the worker that made
+them; a worker that does not have them, or only those of an earlier round, makes them from the trees. At most
+``LOCAL_ROWS`` rows are one task's work: it grows all rounds at once, as passes over so little are all overhead. Both
+ways give the same trees.
 """
 
 from __future__ import annotations
 
-import base64
 import pickle
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -26,7 +24,7 @@ from .binned import Blocks, block_rows, draws
 
 FIXED = float(1 << 24)  # gradients and Hessians are counted in parts of this size
 COLLECTED_BYTES = 16_000_000  # sums of all tasks that one place takes at a level; larger ones meet by node in tasks
-BARRIER_ROUNDS, BARRIER_BYTES = 25, 256_000_000  # rounds of a job; rows and scores a task may hold
+LOCAL_ROWS = 50_000  # rows one task boosts alone
 KEPT_BYTES = 128_000_000  # scores a worker keeps
 
 _kept: dict = {"model": None, "bytes": 0, "scores": {}}
@@ -221,57 +219,34 @@ def boost(blocks: Blocks, settings: Settings, class_weight: np.ndarray | None =
     model = Boosted(k, s.depth, p)
     weight = np.ones(k) if class_weight is None or not s.balanced else class_weight
     parts = max(1, blocks.data.rdd.getNumPartitions())
-    slots = blocks.data.sparkSession.sparkContext.defaultParallelism
-    tasks = min(parts, slots)
-    widest = model.heads * (1 << max(0, s.depth - 1)) * max(1, int(p * s.columns)) * blocks.bins * 24
-    held = blocks.rows / tasks * (p + 24 * model.heads + 48)
-    if widest * tasks <= COLLECTED_BYTES and held <= BARRIER_BYTES:
-        data = blocks.data if parts <= slots else blocks.data.repartition(tasks).persist()
-        while len(model.trees) < s.rounds:
-            model = _barrier_rounds(data, blocks, model, s, weight, min(s.rounds, len(model.trees) + BARRIER_ROUNDS))
-        if data is not blocks.data:
-            data.unpersist()
-        return model
+    if blocks.rows <= LOCAL_ROWS:
+        return _rounds_in_a_task(blocks, model, s, weight)
     for round_ in range(s.rounds):
         grow_round(model, s, round_, blocks.bins, lambda level, trees: _pass(blocks, model, s, weight, round_, level, trees, parts))
     return model
 
 
-def _barrier_rounds(data, blocks: Blocks, model: Boosted, s: Settings, weight: np.ndarray, upto: int) -> Boosted:
-    """Rounds up to ``upto``, grown by tasks that exchange their sums at every level."""
+def _rounds_in_a_task(blocks: Blocks, model: Boosted, s: Settings, weight: np.ndarray) -> Boosted:
+    """All rounds on the few rows of ``blocks``."""
     p, bins = len(blocks.edges), blocks.bins
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import BarrierTaskContext
-
-        context = BarrierTaskContext.get()
         parts = [block_rows(row, p) for b in batches for row in b.to_pylist()]
         empty = (np.zeros((0, p), np.uint8), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         codes, y, ids, member = (np.concatenate(c) for c in zip(empty, *[x[:4] for x in parts]))
-        scores = model.add(np.zeros((len(y), model.heads)), codes, 0)
-        for round_ in range(len(model.trees), upto):
+        scores = np.zeros((len(y), model.heads))
+        for round_ in range(s.rounds):
             own = np.flatnonzero(((member & 1) == 1) & (draws(ids, s.seed, 1, round_) < s.rows))
             c = codes[own]
             g, hess = gradients(model, scores[own], y[own], weight)
-
-            def find(level: Level, trees: list[BoostTree]) -> Found:
-                mine = np.concatenate([x.ravel() for x in level.sums(trees, c, g, hess).values()])
-                sent = base64.b64encode(zlib.compress(mine.tobytes(), 1)).decode()
-                total = np.zeros(level.cells, np.int64)
-                for text in context.allGather(sent):
-                    total += np.frombuffer(zlib.decompress(base64.b64decode(text)), np.int64)
-                return level.splits(total, s)
-
-            grow_round(model, s, round_, bins, find)
+            grow_round(model, s, round_, bins, lambda level, trees: level.splits(np.concatenate([x.ravel() for x in level.sums(trees, c, g, hess).values()]), s))
             scores = model.add(scores, codes, round_)
-        if context.partitionId() == 0:
-            found = ([[(t.feature, t.bin, t.value) for t in r] for r in model.trees], model.gain, model.splits)
-            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(found)]})
-
-    trees, gain, splits = pickle.loads(data.mapInArrow(run, "model binary", barrier=True).collect()[0]["model"])
-    out = Boosted(model.classes, model.depth, model.columns)
-    out.trees, out.gain, out.splits = [[BoostTree(*t) for t in r] for r in trees], gain, splits
-    return out
+        found = ([[(t.feature, t.bin, t.value) for t in r] for r in model.trees], model.gain, model.splits)
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(found)]})
+
+    trees, gain, splits = pickle.loads(blocks.data.repartition(1).mapInArrow(run, "model binary").collect()[0]["model"])
+    model.trees, model.gain, model.splits = [[BoostTree(*t) for t in r] for r in trees], gain, splits
+    return model
 
 
 def _pass(blocks: Blocks, model: Boosted, s: Settings, weight: np.ndarray, round_: int, level: Level, trees: list[BoostTree], parts: int) -> Found:

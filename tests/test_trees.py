@@ -193,12 +193,11 @@ def plain_boosting(codes, y, ids, k, s, class_weight):
     return gain, splits, scores
 
 
-@pytest.mark.parametrize("classes,balanced,way", [(3, False, "barrier"), (2, True, "meet"), (3, True, "collect")])
+@pytest.mark.parametrize("classes,balanced,way", [(3, False, "local"), (2, True, "meet"), (3, True, "collect")])
 def test_boosting_against_recursion(table, monkeypatch, classes, balanced, way):
     df, names = table
     monkeypatch.setattr(boosting, "COLLECTED_BYTES", 0 if way == "meet" else 100_000_000)
-    monkeypatch.setattr(boosting, "BARRIER_BYTES", 256_000_000 if way == "barrier" else 0)
-    monkeypatch.setattr(boosting, "BARRIER_ROUNDS", 3)
+    monkeypatch.setattr(boosting, "LOCAL_ROWS", 1_000 if way == "local" else 0)
     df = df.withColumn("y", F.least("y", F.lit(classes - 1)))
     s = boosting.Settings(rounds=4, depth=3, rate=0.3, min_rows=5, min_hessian=0.5, balanced=balanced)
     cw = np.asarray([1.5, 0.8, 1.0])[:classes]
