@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featsieve.operators import mrmr, mutual_info, prep, suite
+from featsieve.operators import mrmr, mutual_info, prep, shadows, suite
 from featsieve.operators.relief import relief_scores
 
 from .base import (
-    EMBEDDING_FEATURES, EMBEDDINGS, LINEITEM, LINEITEM_FEATURES, ORDERS, ORDERS_FEATURES, SEED, embeddings, h32, holdout_sql, lineitem,
+    EMBEDDING_FEATURES, EMBEDDINGS, LINEITEM, LINEITEM_FEATURES, ORDERS, ORDERS_FEATURES, SEED, documents, embeddings, h32, holdout_sql, lineitem,
     orders, rounded, stats_scores, with_,
 )
 
 DIGITS = 8
+DOCUMENT_FEATURES = ("n_chars", "words", "digits", "lang", "source")
 
 
 def _ranked(scores: DataFrame, features: list[str]) -> DataFrame:
@@ -60,32 +61,43 @@ def rank_suite(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.drop("runtime_seconds"))
 
 
-def _context(spark: SparkSession, d: str, **options: dict) -> suite.FitContext:
-    """All orders, scaled; ``options`` hold fewer rounds and trees than the defaults, for run time."""
+def _context(spark: SparkSession, d: str) -> suite.FitContext:
+    """All orders, scaled."""
     rows = orders(spark, d).drop("o_orderstatus")
     scaled = prep.fit(rows, "y", ["row_key"]).transform(rows, ["row_key"])
-    return suite.FitContext(scaled.persist(), "label", "row_key", ORDERS_FEATURES, SEED, options)
+    return suite.FitContext(scaled.persist(), "label", "row_key", ORDERS_FEATURES, SEED)
 
 
-def _model_ranker(method: str, **options: dict):
+def _document_context(spark: SparkSession, d: str) -> suite.FitContext:
+    """All labelled documents, encoded and scaled: the table for rankers that grow hundreds of trees."""
+    rows = documents(spark, d).select("doc_id", F.col("quality").alias("y"), *DOCUMENT_FEATURES)
+    model = prep.fit(rows, "y", ["doc_id"])
+    return suite.FitContext(model.transform(rows, ["doc_id"]).persist(), "label", "doc_id", list(model.features), SEED)
+
+
+def _model_ranker(method: str, context=_context):
     def rank(spark: SparkSession, d: str) -> DataFrame:
-        return suite.rank_features(_context(spark, d, **options), method)
+        x = context(spark, d)
+        found = suite.rank_features(x, method)
+        x.df.unpersist()
+        return found
 
     rank.__name__ = f"rank_{method}"
     return rank
 
 
-SMALL = {"rf": {"trees": 20, "max_depth": 6}, "gbt": {"rounds": 3, "depth": 3}, "boruta": {"rounds": 3, "trees": 15, "max_depth": 6},
-         "ga": {"population": 8, "generations": 2}, "pso": {"particles": 8, "iterations": 2}}
+def shadow_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Shuffled copies of all columns of the orders hold the columns' values, each as often."""
+    return rounded(shadows.shadow_report(orders(spark, d), "y", "row_key", ORDERS_FEATURES, SEED), 2)
+
 
-QUERIES = {f.__name__: f for f in (rank_pearson, rank_chi2, rank_fisher, rank_wide, rank_mi_binned, rank_mi_knn, rank_relieff, rank_mrmr, rank_suite)}
+QUERIES = {f.__name__: f for f in (rank_pearson, rank_chi2, rank_fisher, rank_wide, rank_mi_binned, rank_mi_knn, rank_relieff, rank_mrmr, rank_suite, shadow_columns)}
 QUERIES |= {
-    "rank_lasso": _model_ranker("lasso_c1.0"), "rank_elasticnet": _model_ranker("elasticnet_c1.0"),
-    "rank_rf": _model_ranker("rf", **SMALL), "rank_gbt": _model_ranker("gbt", **SMALL), "rank_gbt_splits": _model_ranker("lightgbm", **SMALL),
-    "rank_rfe": _model_ranker("rfe"), "rank_rfecv": _model_ranker("rfecv"), "rank_boruta": _model_ranker("boruta", **SMALL),
-    "rank_ga": _model_ranker("ga", **SMALL), "rank_pso": _model_ranker("pso", **SMALL),
-    "rank_mi_rfe": _model_ranker("mi_rfe"), "rank_mi_ga": _model_ranker("mi_ga", **SMALL), "rank_chi2_boruta": _model_ranker("chi2_boruta", **SMALL),
-    "rank_chi2_xgboost": _model_ranker("chi2_xgboost", **SMALL), "rank_fisher_lightgbm": _model_ranker("fisher_lightgbm", **SMALL),
+    "rank_lasso": _model_ranker("lasso_c1.0"), "rank_elasticnet": _model_ranker("elasticnet_c1.0"), "rank_rfe": _model_ranker("rfe"), "rank_rfecv": _model_ranker("rfecv"),
+    "rank_ga": _model_ranker("ga"), "rank_pso": _model_ranker("pso"), "rank_mi_rfe": _model_ranker("mi_rfe"), "rank_mi_ga": _model_ranker("mi_ga"),
+    "rank_rf": _model_ranker("rf", _document_context), "rank_gbt": _model_ranker("gbt", _document_context), "rank_gbt_splits": _model_ranker("lightgbm", _document_context),
+    "rank_boruta": _model_ranker("boruta", _document_context), "rank_chi2_boruta": _model_ranker("chi2_boruta", _document_context),
+    "rank_chi2_xgboost": _model_ranker("chi2_xgboost", _document_context), "rank_fisher_lightgbm": _model_ranker("fisher_lightgbm", _document_context),
 }
 
 
@@ -179,6 +191,7 @@ SQL = {
     "rank_relieff": with_(RELIEF, select=ranked_sql(
         "SELECT pos, 'e' || lpad(CAST(pos AS VARCHAR), 2, '0') AS feature, sum(CASE WHEN hit THEN -gap ELSE gap END) / (SELECT count(*) FROM vx) AS score FROM gp GROUP BY pos")),
     "rank_mrmr": with_(ORDERS, _OD, knn_mi_sql(), MRMR, select="SELECT step AS rank, feature, round(gr.score, 6) AS score FROM gr JOIN (SELECT pos, feature FROM mi) USING (pos) WHERE step > 0").replace("WITH ", "WITH RECURSIVE ", 1),
+    "shadow_columns": with_(ORDERS, _OD, select="""SELECT feature, count(*) AS rows, count(DISTINCT v) AS distinct_values, round(sum(v), 2) AS total, CAST(0 AS BIGINT) AS unmatched, true AS shuffled FROM lg GROUP BY feature"""),
     "rank_suite": with_(
         ORDERS, _OD,
         "ok AS (" + " UNION ALL ".join(ranked_sql(score_sql(m), f"'orders' AS dataset, '{m}' AS method, 'filter' AS family, ") for m in ("pearson", "chi2", "fisher")) + ")",

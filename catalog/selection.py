@@ -8,18 +8,20 @@ are functions of the confusion counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
 
 from featsieve.functions import cut_lineage, local_table
-from featsieve.operators import audit, consensus, evaluate, filters, metrics, pareto, prep, reports, scoring, split, subsets
+from featsieve.operators import audit, consensus, evaluate, filters, forest, metrics, pareto, prep, reports, scoring, split, subsets
 from featsieve.operators import suite
+from featsieve.operators.binned import to_blocks
 from featsieve.operators.linear import class_count
+from featsieve.operators.trees import balanced_weights
 from featsieve.plans import analyze
 from featsieve.streaming import latest_results, pending_combinations
 
 from .base import (
-    EMBEDDING_FEATURES, EMBEDDINGS, EVENT_TYPES, EVENTS, LINEITEM, LINEITEM_FEATURES, ORDERS, ORDERS_FEATURES, SEED, coded, embeddings,
-    events, folds_sql, lineitem, load, orders, rounded, with_,
+    EMBEDDING_FEATURES, EMBEDDINGS, EVENT_TYPES, EVENTS, LINEITEM, LINEITEM_FEATURES, ORDERS, ORDERS_FEATURES, SEED, coded, documents, embeddings,
+    events, folds_sql, holdout_sql, lineitem, load, orders, rounded, share, with_,
 )
 from .ranking import score_sql, unpivot
 
@@ -357,28 +359,53 @@ def analysis_only(spark: SparkSession, d: str) -> DataFrame:
     return audit.combine([tables[n].groupBy("dataset").agg(F.count("*").alias("rows")).select(F.lit(n).alias("table_name"), "dataset", "rows") for n in names])
 
 
-def _model_grid(classifier: str, **options: object):
-    """Cross-validation and holdout of two candidate sets of the orders with a fitted Spark model."""
+def _grid(rows: DataFrame, name: str, key: str) -> evaluate.Grid:
+    """Holdout and two folds of ``rows`` (key, y and features), encoded and scaled on the development part."""
+    parts = split.stratified_holdout(rows, "y", key, SEED, 0.2)
+    model = prep.fit(parts.filter("split = 'train'").drop("split"), "y", [key])
+    train, test = (model.transform(parts.filter(f"split = '{s}'"), [key]) for s in ("train", "test"))
+    return evaluate.Grid(name, split.stratified_folds(train, "label", key, 2, SEED), test, "label", list(model.features), 2, SEED, None, BASELINES, key)
+
+
+def _order_grid(spark: SparkSession, d: str) -> evaluate.Grid:
+    return _grid(orders(spark, d).drop("o_orderstatus"), "orders", "row_key")
+
+
+def _document_grid(spark: SparkSession, d: str) -> evaluate.Grid:
+    return _grid(documents(spark, d).select("doc_id", F.col("quality").alias("y"), "n_chars", "words", "digits", "lang", "source"), "documents", "doc_id")
+
+
+def _model_grid(classifier: str, of=_order_grid):
+    """Cross-validation and holdout of a candidate set with a fitted model at its full settings."""
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = split.stratified_holdout(orders(spark, d).drop("o_orderstatus"), "y", "row_key", SEED, 0.2)
-        model = prep.fit(rows.filter("split = 'train'").drop("split"), "y", ["row_key"])
-        train, test = (model.transform(rows.filter(f"split = '{s}'"), ["row_key"]) for s in ("train", "test"))
-        folded = split.stratified_folds(train, "label", "row_key", 2, SEED)
-        sets = local_table(spark, [("orders", "orders__given__all", "given", "filter", "all", ";".join(ORDERS_FEATURES))],
+        grid = of(spark, d)
+        sets = local_table(spark, [(grid.dataset, f"{grid.dataset}__given__all", "given", "filter", "all", ";".join(grid.features))],
                                      "dataset string, feature_set_id string, method string, family string, criterion string, selected_features string")
-        grid = evaluate.Grid("orders", folded, test, "label", ORDERS_FEATURES, 2, SEED, {classifier: dict(options)}, BASELINES)
         results, _folds, _times = evaluate.evaluate_grid(grid, sets, [classifier], repeats=1, warmup=0)
         return results
 
     return run
 
 
+def cv_support(spark: SparkSession, d: str) -> DataFrame:
+    """Judged rows per fold and class of a decision tree grown for both folds and the holdout (fold 0) in shared passes."""
+    grid = _order_grid(spark, d)
+    combo = Row(classifier="dt_cpu", features=grid.features)
+    counts = evaluate._class_fold_counts(grid)
+    found = evaluate.evaluate_trees(grid, counts, [combo], max(counts) + 1, 0, 0)[0]
+    cells = [(f, y, n) for f, own, *_ in [*found["folds"], (0, found["holdout"])] for y, _p, n in own]
+    return local_table(spark, cells, "fold int, y_true int, n bigint").groupBy("fold", "y_true").agg(F.sum("n").alias("support"))
+
+
 def inference_timing(spark: SparkSession, d: str) -> DataFrame:
-    """Timed predictions of a fitted tree over all orders."""
+    """Timed predictions of a fully grown tree over all orders."""
     df = orders(spark, d)
-    data = evaluate._labelled(df, "y", ORDERS_FEATURES).withColumn("weight", F.lit(1.0))
-    model = evaluate.build_classifier("dt_cpu", len(ORDERS_FEATURES), class_count(df, "y"), 1, SEED, {"max_depth": 4}).fit(data)
-    rows = evaluate.time_inference(model, data, 2, 1)
+    k, p = class_count(df, "y"), len(ORDERS_FEATURES)
+    blocks = to_blocks(df, "y", "row_key", ORDERS_FEATURES, k)
+    grown, tops = forest.grow_forest(blocks, [forest.TreeSpec(0, 0, tuple(range(p)), SEED, 0, False)], {0: balanced_weights(df, "y", k)}, keep_trees=True)
+    model = forest.fetch_model(grown, tops, 0, ORDERS_FEATURES, blocks.edges)
+    blocks.release()
+    rows = evaluate.time_inference(model, df, 2, 1)
     return local_table(spark, rows, "timing_run int, inference_time_total_s double, inference_time_ms_per_sample double")
 
 
@@ -390,8 +417,8 @@ QUERIES = {f.__name__.rstrip("_"): f for f in (
     analysis_only, inference_timing,
 )}
 QUERIES |= {
-    "eval_tree": _model_grid("dt_cpu", max_depth=5), "eval_forest": _model_grid("rf_cpu", trees=10, max_depth=5),
-    "eval_linear_svm": _model_grid("linear_svm", max_iter=5), "eval_mlp": _model_grid("mlp", hidden_layers=(8,), max_iter=5),
+    "eval_tree": _model_grid("dt_cpu"), "eval_forest": _model_grid("rf_cpu", _document_grid),
+    "eval_linear_svm": _model_grid("linear_svm"), "eval_mlp": _model_grid("mlp", _document_grid), "cv_support": cv_support,
 }
 
 
@@ -531,6 +558,9 @@ _LOG = f"lo AS (SELECT {_KEYS}, fold AS written_at, TP_sum, round(accuracy, 6) A
 _T = "inference_time_ms_per_sample"
 
 SQL = {
+    "cv_support": with_(ORDERS, holdout_sql("od", "y", "row_key", share("od", 0.2)), "tr AS (SELECT row_key, y FROM h_split WHERE split = 'train')", folds_sql("tr", "y", "row_key", 2, "cv"),
+        select="""SELECT fold, CAST(y AS INT) AS y_true, count(*) AS support FROM cv_folds GROUP BY 1, 2
+UNION ALL SELECT 0, CAST(y AS INT), count(*) FROM h_split WHERE split = 'test' GROUP BY 2"""),
     "subset_quantile": with_(*RANKINGS, _SIZES, select="SELECT * FROM sz WHERE criterion <> 'elbow'"),
     "subset_elbow": with_(*RANKINGS, _SIZES, select="SELECT * FROM sz WHERE criterion = 'elbow'"),
     "candidate_sets": with_(*RANKINGS, _SIZES, select="""SELECT dataset, method, family, criterion, concat_ws('__', dataset, method, criterion, 'k' || num_features) AS feature_set_id,

@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from threading import Lock
 
+import numpy as np
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
 )
@@ -16,12 +17,17 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from ..functions import local_table
 from ..streaming import append_results, latest_results, pending_combinations
-from . import metrics
+from . import forest, metrics
+from .binned import to_blocks
 from .linear import assembled
 from .reports import role_tag
 from .subsets import usable_candidates
 
 BACKEND = "spark_ml"
+TREE_BACKEND = "histogram_trees"
+# classifiers whose folds and feature sets are grown in shared passes, with trees and whether rows are drawn
+TREES = {"dt_cpu": (1, False), "rf_cpu": (300, True)}
+MAX_FOLDS = 62  # a fold is a bit of a signed 64-bit number
 WARMUP_ROWS = 2048
 # classifier names that mean the same operator here
 ALIASES = {
@@ -60,6 +66,7 @@ class Grid:
     seed: int = 42
     options: dict | None = None  # classifier name -> parameters
     baselines: dict[str, str] | None = None
+    key: str = "row_key"  # unique in train and in test
 
 
 def _class_fold_counts(grid: Grid) -> dict[int, dict[int, int]]:
@@ -132,6 +139,57 @@ def evaluate_combination(
     return {"folds": folds, "holdout": holdout, "final_s": final_s, "runs": runs, "elapsed": time.perf_counter() - begin}
 
 
+def evaluate_trees(
+    grid: Grid, counts: dict[int, dict[int, int]], combos: Sequence[Row], n_classes: int, repeats: int, warmup: int
+) -> list[dict]:
+    """What ``evaluate_combination`` gives, for all combinations of one tree classifier.
+
+    The trees of all folds, final models and feature sets are grown by the same passes; a fold is a bit of a row. The
+    time of a pass is shared out equally among its models. Only the final models are fetched, to time them.
+    """
+    classifier = ALIASES.get(combos[0]["classifier"], combos[0]["classifier"])
+    options = (grid.options or {}).get(combos[0]["classifier"]) or {}
+    if grid.n_splits > MAX_FOLDS:
+        raise ValueError(f"at most {MAX_FOLDS} folds can be grown together, not {grid.n_splits}")
+    trees, bootstrap = TREES[classifier]
+    trees = options.get("trees", trees)
+    fits = range(grid.n_splits + 1)  # 0: the final model, judged on the holdout
+    begin = time.perf_counter()
+    rows = grid.train.select("*", F.lit(True).alias("_train")).unionByName(grid.test.withColumn("fold", F.lit(0)).select("*", F.lit(False).alias("_train")), allowMissingColumns=True)
+    member = F.when(F.col("_train"), sum((F.when(F.col("fold") == f, 0).otherwise(1 << f) for f in fits[1:]), F.lit(1))).otherwise(0)
+    held = F.when(F.col("_train"), F.expr("shiftleft(1L, fold)")).otherwise(1)
+    keyed = rows.withColumn("_key", F.concat_ws(":", F.col("_train").cast("string"), F.col(grid.key).cast("string")))
+    blocks = to_blocks(keyed, grid.label, "_key", grid.features, n_classes, member, held)
+    weights = {}
+    for f in fits:
+        n = np.asarray([sum(c for fold, c in counts.get(y, {}).items() if fold != f) for y in range(n_classes)], float)
+        weights[f] = np.where(n > 0, n.sum() / (max(1, (n > 0).sum()) * np.maximum(n, 1)), 0.0)
+    at = {c: i for i, c in enumerate(grid.features)}
+    specs = []
+    for i, combo in enumerate(combos):
+        own = tuple(at[c] for c in combo["features"])
+        for f in fits:
+            pick = max(1, int(len(own) ** 0.5)) if classifier == "rf_cpu" else 0
+            specs += [forest.TreeSpec(len(specs) + t, i * len(fits) + f, own, (grid.seed + f) * 1_000_003 + t, f, bootstrap, pick, options.get("max_depth") or 1 << 20) for t in range(trees)]
+    grown, tops = forest.grow_forest(blocks, specs, weights, judge=True, keep_trees=True)
+    grown = grown.persist()
+    cells: dict[int, list[tuple[int, int, int]]] = {}
+    for r in forest.confusions(grown, n_classes).collect():  # K x K counts per model
+        cells.setdefault(r["model"], []).append((r["y_true"], r["y_pred"], r["n"]))
+    share = (time.perf_counter() - begin) / max(1, len(combos) * len(fits))
+    test = grid.test.select(*[F.col(f"`{c}`") for c in grid.features]).persist()
+    out = []
+    for i, combo in enumerate(combos):
+        model = i * len(fits)
+        runs = time_inference(forest.fetch_model(grown, tops, model, grid.features, blocks.edges), test, repeats, warmup)
+        out.append({"folds": [(f, cells.get(model + f, []), share) for f in fits[1:]], "holdout": cells.get(model, []), "final_s": share, "runs": runs,
+                    "elapsed": share * len(fits) + sum(s for _run, s, _ms in runs), "backend": TREE_BACKEND})
+    grown.unpersist()
+    test.unpersist()
+    blocks.release()
+    return out
+
+
 KEYS = ("dataset", "feature_set_id", "classifier")
 _KEY = "dataset string, feature_set_id string, classifier string, "
 # fold 0 is the holdout
@@ -151,8 +209,8 @@ def evaluate_grid(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, fold metrics, timing rows) of the candidate x classifier grid.
 
-    Combinations run side by side from a small thread pool over two cached
-    tables. Only confusion counts and times come back; the metrics of all
+    Combinations of a tree classifier are fitted together in shared passes; those of other classifiers run side by side
+    from a small thread pool over two cached tables. Only confusion counts and times come back; the metrics of all
     combinations are one job over them. With ``log_path`` each finished
     combination is appended to the log at once, finished ones found there are
     skipped, and the returned tables cover the whole log.
@@ -169,7 +227,9 @@ def evaluate_grid(
     writing = Lock()
 
     def evaluate(c: Row) -> dict[str, list[tuple]]:
-        found = evaluate_combination(grid, counts, c["features"], c["classifier"], n_classes, repeats, warmup)
+        return logged(c, evaluate_combination(grid, counts, c["features"], c["classifier"], n_classes, repeats, warmup))
+
+    def logged(c: Row, found: dict) -> dict[str, list[tuple]]:
         rows = _rows_of(grid.dataset, c, found)
         if not log_path:
             return rows
@@ -178,8 +238,15 @@ def evaluate_grid(
                 append_results(local_table(spark, rows[name], SCHEMAS[name]).coalesce(1), f"{log_path}/{name}")
         return rows
 
+    def in_passes(c: Row) -> bool:
+        return ALIASES.get(c["classifier"], c["classifier"]) in TREES and ((grid.options or {}).get(c["classifier"]) or {}).get("criterion", "gini") == "gini" and grid.key in grid.train.columns
+
+    parts = []
+    for name in sorted({c["classifier"] for c in combos if in_passes(c)}):
+        own = [c for c in combos if c["classifier"] == name]
+        parts += [logged(c, found) for c, found in zip(own, evaluate_trees(grid, counts, own, n_classes, repeats, warmup))]
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        parts = list(pool.map(evaluate, combos))
+        parts += list(pool.map(evaluate, [c for c in combos if not in_passes(c)]))
     grid.train.unpersist(), grid.test.unpersist()
     tables = {}
     for name, schema in SCHEMAS.items():
@@ -207,7 +274,7 @@ def _rows_of(dataset: str, c: Row, found: dict) -> dict[str, list[tuple]]:
         "confusion": [(*key, fold, *cell) for fold, cells, _s in [*found["folds"], (0, found["holdout"], 0.0)] for cell in cells],
         "timings": [(*key, c["method"], c["criterion"], run, s, ms, None, None) for run, s, ms in found["runs"]],
         "fold_times": [(*key, fold, s) for fold, _cells, s in found["folds"]],
-        "facts": [(*key, c["method"], c["family"], c["criterion"], len(c["features"]), c["selected_features"], found["final_s"], found["elapsed"], BACKEND)],
+        "facts": [(*key, c["method"], c["family"], c["criterion"], len(c["features"]), c["selected_features"], found["final_s"], found["elapsed"], found.get("backend", BACKEND))],
     }
 
 
