@@ -40,7 +40,9 @@ def worker_cache(key: object, make: Callable[[], object]) -> object:
     """An object kept by the Python worker process over its tasks (functions travel by value, so globals do not last)."""
     holder = sys.modules.setdefault("_featsieve_worker_cache", types.ModuleType("_featsieve_worker_cache"))
     if key not in holder.__dict__:
-        holder.__dict__[key] = make()
+        made = make()  # may drop the cache
+        holder = sys.modules.setdefault("_featsieve_worker_cache", holder)
+        holder.__dict__[key] = made
     return holder.__dict__[key]
 
 

@@ -28,7 +28,8 @@ GAP = 60  # characters between paragraphs that still are neighbours; a single pa
 LONG_LINE, LONG_STRETCH, LONG_WORD = 200, 32, 40  # characters, words, characters from which more cuts are made
 NEAR, WIDEST = MIN_WORDS - 1, 24  # words: a cut chosen by content is the least among so many on either side; the widest gap
 ROWS = 2
-FILTER_BITS = 1 << 25  # 4 MB sent to each task, whatever the input
+# bits of a bitmap of ids; the last bounds what is broadcast (128 MB)
+BITS_PER_ID, LEAST_FILTER_BITS, MOST_FILTER_BITS = 64, 1 << 16, 1 << 30
 
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 _CLOSING = [ord(c) for c in "\"')]\u2019\u201d\u00bb"]
@@ -220,27 +221,53 @@ def _occurrences(docs: DataFrame, words: int, bands: int, rows: int) -> DataFram
 
 
 def _bit_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits, whatever the number of ids: the low bits of each id (a hash already) are set."""
-    low = F.col("id").bitwiseAND(F.lit(FILTER_BITS - 1))
+    """A bitmap of the low bits of each id (a hash already), sized by the number of ids up to MOST_FILTER_BITS."""
+    n = ids.count()
+    bits = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, 1 << (max(1, n) * BITS_PER_ID - 1).bit_length()))
+    low = F.col("id").bitwiseAND(F.lit(bits - 1))
     bit = F.expr("shiftleft(1L, cast(low & 7 as int))")
     words = ids.select(low.alias("low")).groupBy(F.shiftright("low", 3).cast("int").alias("place")).agg(F.bit_or(bit).cast("int").alias("byte")).toArrow()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     out[words["place"].to_numpy()] = words["byte"].to_numpy().astype(np.uint8)
     return out
 
 
+def _in_filter(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    low = (values & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
+    return (bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+
+
+def _sharing(occurrences: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of ``occurrences`` (pid and bands) that may share a bucket with another row.
+
+    Buckets are counted by 32 bits of their hash; what the bitmap of those met twice lets through by chance has no
+    partner later. Only the counted keys are shuffled, not the rows.
+    """
+    keys = occurrences.filter("b0 is not null").select(F.explode(F.array(*[F.shiftright(F.shiftleft(b, 32), 32).cast("int") for b in names])).alias("key"))
+    twice = keys.groupBy("key").count().filter("count > 1").select(F.col("key").cast("long").alias("id"))
+    shipped = occurrences.sparkSession.sparkContext.broadcast(_bit_filter(twice))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = np.zeros(batch.num_rows, bool)
+            for i in range(1, len(names) + 1):
+                hit |= _in_filter(shipped.value, batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.filter(pa.array(hit))
+
+    rows = occurrences.filter("b0 is not null").select("pid", *names)
+    return rows.mapInArrow(keep, rows.schema)
+
+
 def _paragraph_sets(docs: DataFrame, words: int, bitmap: np.ndarray) -> DataFrame:
     """(id, items) of the paragraphs whose key is in the bitmap."""
     shipped = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shipped.value
         for batch in sliced(batches, "text"):
             *_, doc, value, key = _keyed(batch.column(1).to_pylist(), words)
             if not len(key):
                 continue
-            low = (key & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-            wanted = (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+            wanted = _in_filter(shipped.value, key)
             doc, value, _ = distinct_items(doc[wanted[doc]], value[wanted[doc]])
             lists = grouped_lists(doc, value.view(np.int64), len(key), pa.int64())
             keep = pa.array(np.flatnonzero(wanted))
@@ -260,7 +287,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, words: int
     bands = tuned_bands(threshold)
     names = [f"b{i}" for i in range(bands)]
     occurrences = stored(_occurrences(known, words, bands, ROWS), "paragraphs")
-    distinct = occurrences.filter("b0 is not null").groupBy(F.col("pid").alias("id")).agg(*[F.min(b).alias(b) for b in names])
+    distinct = _sharing(occurrences, names).groupBy(F.col("pid").alias("id")).agg(*[F.min(b).alias(b) for b in names])
 
     def sets_of(ids: DataFrame) -> DataFrame:
         homes = occurrences.select("doc_id", F.col("pid").alias("id")).join(ids, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
@@ -274,7 +301,8 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, words: int
     labels = similar_classes(distinct.select("id", F.array(*names).alias("bands")), sets_of, threshold)
     found = occurrences.select("doc_id", "start", "end", "n_words", "nth", "pid")
     classes = found.groupBy("pid").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    classes = classes.join(labels, F.col("pid") == F.col("id"), "left").withColumn("class_id", F.coalesce("label", "pid"))
+    # a paragraph of one document without a label is no one's copy
+    classes = classes.join(labels, F.col("pid") == F.col("id"), "left").filter("low <> high or label is not null").withColumn("class_id", F.coalesce("label", "pid"))
     wide = classes.groupBy("class_id").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc")).filter("first_doc <> last_doc")
     repeated = stored(classes.join(wide, "class_id").select("pid", "class_id", "first_doc"), "repeated")
     rows = found.join(repeated, "pid").distinct()

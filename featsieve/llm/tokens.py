@@ -169,8 +169,13 @@ def worker_encoder(definition: str, memo_units: int | None = None) -> Encoder:
     import hashlib
     import os
 
-    from .common import worker_cache
+    from .common import drop_worker_cache, worker_cache
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     key = ("encoder", hashlib.md5(definition.encode()).hexdigest(), memo_units)
-    return worker_cache(key, lambda: Encoder(definition, memo_units))
+
+    def fresh() -> Encoder:
+        drop_worker_cache()  # what other operators left
+        return Encoder(definition, memo_units)
+
+    return worker_cache(key, fresh)
