@@ -46,7 +46,7 @@ def rank_mi_knn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rank_relieff(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(relief_scores(embeddings(spark, d), "y", "row_key", EMBEDDING_FEATURES, seed=SEED), EMBEDDING_FEATURES)
+    return _ranked(relief_scores(embeddings(spark, d), "y", "row_key", EMBEDDING_FEATURES, max_rows=None, seed=SEED), EMBEDDING_FEATURES)
 
 
 def rank_mrmr(spark: SparkSession, d: str) -> DataFrame:

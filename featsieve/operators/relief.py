@@ -1,6 +1,6 @@
-"""ReliefF on a stratified sample: nearest neighbours of every sampled row.
+"""ReliefF: nearest neighbours of every row, of the whole table or of a stratified sample.
 
-The sample is the operator's own bound (``max_rows``). It is shipped to the
+Without ``max_rows`` all rows take part, by an exact nearest-neighbour join (``neighbors``). With it the sample is the operator's own bound (``max_rows``). It is shipped to the
 tasks once; each task finds the neighbours of its rows with blockwise numpy
 distances and emits one partial score vector, so no pair leaves a task.
 """
@@ -11,9 +11,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import local_table
+from .neighbors import nearest_rows
 from .split import stratified_sample
 
 MAX_SAMPLE_CELLS = 50_000_000
@@ -21,10 +23,12 @@ BLOCK_ROWS = 256
 
 
 def relief_scores(
-    df: DataFrame, label: str, key: str, features: Sequence[str], neighbors: int = 10, max_rows: int = 5000, seed: int = 42
+    df: DataFrame, label: str, key: str, features: Sequence[str], neighbors: int = 10, max_rows: int | None = 5000, seed: int = 42
 ) -> DataFrame:
     """(pos, score): mean distance to other-class minus same-class rows among the nearest neighbours."""
     features = list(features)
+    if max_rows is None:
+        return _whole_scores(df, label, key, features, neighbors, seed)
     if max_rows * len(features) > MAX_SAMPLE_CELLS:
         raise ValueError(f"a sample of {max_rows} rows x {len(features)} features is too large to ship to the tasks")
     spark = df.sparkSession
@@ -51,6 +55,28 @@ def relief_scores(
     return parts.groupBy("pos").agg(F.sum("part").alias("score"))
 
 
+def _whole_scores(df: DataFrame, label: str, key: str, features: list[str], neighbors: int, seed: int, **pieces: int) -> DataFrame:
+    p = len(features)
+    near, rows, n = nearest_rows(df, key, label, features, neighbors, seed, **pieces)
+    if n < 3:
+        return local_table(df.sparkSession, [(i, 0.0) for i in range(p)], "pos int, score double")
+    hits = F.size(F.filter("near", lambda m: m["y"] == F.col("y")))
+    each = near.select("key", "y", hits.alias("hits"), (F.size("near") - hits).alias("misses"), F.explode("near").alias("m"))
+    weight = F.when(F.col("m.y") == F.col("y"), -1.0 / F.col("hits")).otherwise(1.0 / F.col("misses"))
+    pairs = each.select("key", F.col("m.key").alias("other"), weight.alias("weight"))
+    pairs = pairs.join(rows.select("key", "x"), "key").join(rows.select(F.col("key").alias("other"), F.col("x").alias("z")), "other")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(p)
+        for b in batches:
+            x, z = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.float64).reshape(-1, p) for i in (1, 2))
+            total += b.column(0).to_numpy() @ np.abs(x - z)
+        yield pa.RecordBatch.from_pydict({"pos": pa.array(np.arange(p, dtype=np.int32)), "part": total / n})
+
+    parts = pairs.select("weight", "x", "z").mapInArrow(score, "pos int, part double")
+    return parts.groupBy("pos").agg(F.sum("part").alias("score"))
+
+
 def _block_scores(x: np.ndarray, y: np.ndarray, at: np.ndarray, take: int) -> np.ndarray:
     if not len(at):
         return np.zeros(x.shape[1])

@@ -81,9 +81,32 @@ def test_relief_against_loops(table):
             if len(group):
                 want += sign * np.abs(x[i] - x[group]).mean(0) / 180
     assert np.allclose(by_pos(relief.relief_scores(df, "y", "key", names)), want)
+    # all rows, by pieces of cells of every size
+    assert np.allclose(by_pos(relief.relief_scores(df, "y", "key", names, max_rows=None)), want)
+    assert np.allclose(by_pos(relief._whole_scores(df, "y", "key", names, 10, 3, piece_rows=7, pivots=12)), want)
+    assert not by_pos(relief.relief_scores(df.limit(2), "y", "key", names, max_rows=None)).any()
     assert not by_pos(relief.relief_scores(df.limit(2), "y", "key", names)).any()
 
 
+def test_neighbours_with_ties_copies_and_a_hot_pivot(spark):
+    from featsieve.operators import neighbors
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.zeros((60, 2)), rng.integers(0, 4, (60, 2)), rng.normal(20, 5, (40, 2))])  # a third are one point
+    keys = [f"k{i:03d}" for i in rng.permutation(160)]
+    df = spark.createDataFrame([(k, i % 3, *map(float, v)) for i, (k, v) in enumerate(zip(keys, x))], "key string, y int, a double, b double")
+    found = []
+    for parts, piece_rows, pivots in ((1, 2_000, 1), (9, 10, 8)):
+        near, _rows, n = neighbors.nearest_rows(df.repartition(parts), "key", "y", ["a", "b"], 5, 1, piece_rows, pivots)
+        found.append({r["key"]: [(m["d"], m["key"]) for m in r["near"]] for r in near.collect()})
+        assert n == 160
+    want = {}
+    for i, k in enumerate(keys):
+        d = np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), 9)
+        want[k] = sorted((float(v), o) for v, o in zip(d, keys) if o != k)[:5]
+    assert found[0] == want and found[1] == want
+
+
 def test_mrmr_order():
     corr = np.array([[1, 0.9, 0.0], [0.9, 1, 0.1], [0.0, 0.1, 1]])
     assert [p for p, _g in mrmr.greedy_order([0.8, 0.7, 0.1], corr)] == [0, 2, 1]
