@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import types
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -36,6 +36,15 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+CORE = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def own_names(docs: DataFrame, core: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns beside the ``core`` ones under neutral names, and what selects the original columns back."""
+    names = {c: c if c in core else f"_extra{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def worker_cache(key: object, make: Callable[[], object]) -> object:
     """An object kept by the Python worker process over its tasks (functions travel by value, so globals do not last)."""
     holder = sys.modules.setdefault("_featsieve_worker_cache", types.ModuleType("_featsieve_worker_cache"))

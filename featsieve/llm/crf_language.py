@@ -21,10 +21,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions import local_table
 from .common import sliced
 from .near_sets import mixed
 
-SAMPLE_DOCS, SAMPLE_CHARS = 250, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGS = 250, 20_000, 1_000
 BUCKETS = 1 << 16
 RUN_WORDS, CHAIN_WORDS = 15, 90  # training: words of a run, words of a chain
 SCORED_CHAIN = 128  # prediction: words of a chain; a longer text is several chains
@@ -185,16 +186,24 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 7)
     return model
 
 
-def sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
-    """Texts and labels of about ``per_lang`` training rows of each language (never held-out ones), in a fixed order."""
-    known = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+def sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS, max_langs: int = MAX_LANGS) -> tuple[list[str], list[str]]:
+    """Texts and labels of about ``per_lang`` training rows of each language (never held-out ones), in a fixed order.
+
+    Of a text longer than ``max_chars`` a window of that length at a hashed place is taken. A row is drawn by its doc_id and
+    text, so rows of one id are drawn each for itself. Of more than ``max_langs`` labels the most frequent are learned.
+    """
+    known = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not sizes:
         return [], []
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))])
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    rows = known.filter(drawn < share[F.col("lang")]).limit(2 * per_lang * len(sizes)).collect()
+    shares = local_table(docs.sparkSession, [(r["lang"], min(1.0, per_lang / r["count"])) for r in sizes], "lang string, share double")
+    place = F.xxhash64(F.lit("sample"), "doc_id", "text")
+    drawn = F.pmod(place, F.lit(1 << 30)).cast("double") / float(1 << 30)
+    first = (F.pmod(F.shiftright(place, 30), F.greatest(F.lit(1), F.length("text") - max_chars + 1)) + 1).cast("int")
+    rows = known.join(F.broadcast(shares), "lang").withColumn("_drawn", drawn).filter(F.col("_drawn") < F.col("share"))
+    rows = rows.select("doc_id", "lang", F.substring(F.col("text"), first, F.lit(max_chars)).alias("text"), "_drawn")
+    rows = rows.orderBy("_drawn", "doc_id", "text", "lang").limit(2 * per_lang * len(sizes)).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"], r["lang"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from featsieve.functions import bounded_rows
 
+from .common import CORE, own_names
+
 SEED = 42
 EXPONENT = 0.5
 MAX_BROADCAST_SOURCES = 50_000
@@ -69,10 +71,12 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, expone
 
     Adds rate, copy_no (from 1) and shuffle_key (md5); columns of these names in the input are replaced, all others stay.
     A null source is a source of its own, a null text has no characters, a null doc_id draws as one id; repeated rows
-    draw alike, as their ids do; an empty table gives no rows.
+    draw alike, as their ids do; other columns may have any name; an empty table gives no rows.
     """
-    kept = [c for c in docs.columns if c not in ("rate", "copy_no", "shuffle_key")]
+    added = ("rate", "copy_no", "shuffle_key")
     rates, small = bounded_rows(source_rates(docs, targets, exponent), MAX_BROADCAST_SOURCES)
+    docs, back = own_names(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added]), CORE)
+    kept = docs.columns
     if small:
         joined = docs.select(*kept, F.col("source").cast("string").alias("_source")).join(
             F.broadcast(rates.withColumnRenamed("source", "_of")), F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of", "_source")
@@ -84,7 +88,7 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, expone
     counted = joined.withColumn("_copies", poisson_count(F.col("rate"), seed, F.col("doc_id"))).filter("_copies > 0")
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
     key = F.md5(F.concat_ws(":", F.lit(f"shuffle{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.col("copy_no").cast("string")))
-    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*back, *added)
 
 
 def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,14 @@ def test_nothing_is_rejected_without_a_labelled_row(spark, odd):
 def test_clashing_columns_keep_their_values(spark, odd):
     for _, stage in pipe.STAGES[:4]:
         assert {(r.spans, r.lang_pred, r.class_id) for r in stage(spark, odd, None).collect()} == {("x", 3, 2)}
+
+
+def test_columns_of_any_name_pass_every_stage(spark, odd):
+    names = ["_doc", "_t1", "_t2", "_class", "_late", "_source", "_of", "_copies", "a.b", "_extra0"]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    for name, stage in pipe.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names], name
+        assert all(list(r)[5:] == list(range(len(names))) for r in docs.collect()), name
+    mixed = mix.mix_sources(odd.select("doc_id", "text", "source", *[F.lit(i).alias(c) for i, c in enumerate(names)]))
+    assert mixed.columns == ["doc_id", "text", "source", *names, "rate", "copy_no", "shuffle_key"] and mixed.count() >= 0

@@ -254,3 +254,17 @@ def test_order_insertion_and_deletion(spark):
         mh.fingerprint_text(mh.insert_members(F.col("c"), F.col("d"))).alias("more"), mh.fingerprint_text(mh.delete_members(F.col("a"), F.col("d"))).alias("less"),
         mh.likeness(F.col("a"), F.col("e")).alias("near"), mh.likeness(F.col("c"), F.col("d")).alias("far")).first()
     assert r.more == s["a"].f and r.less == s["c"].f and r.near > 0.6 > 0.4 > r.far
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    words = {"en": "the house and the garden with some old stones near".split(), "fr": "la maison et le jardin avec des vieilles pierres dans".split()}
+    rows = [(3 * i, " ".join(words[lang][(i * j) % 10] for j in range(1, 5000)), lang) for i, lang in enumerate(["en", "fr"] * 60)]
+    rows += [(7, f"{'x' * 30_000} the end", "en")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = crf.learn(docs)
+    assert model.langs == ["en", "fr"]
+    got = crf.predict_languages(docs, model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) > 0.95 * len(got)
+    texts, langs = crf.sample(docs, 20, 1000)
+    assert max(map(len, texts)) == 1000 and {"en", "fr"} == set(langs) and crf.sample(docs.repartition(9), 20, 1000) == (texts, langs)
+    assert set(crf.sample(docs, 20, 1000, 1)[1]) == {"en"}
