@@ -10,24 +10,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from featsieve.functions import bounded_rows
 from featsieve.llm import credential_links, crf_language, dart_minhash, packing, poisson_mix
-from featsieve.llm.common import stored, text_or_empty
-
-
-CORE = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _own_names(docs: DataFrame) -> tuple[DataFrame, list]:
-    """``docs`` with columns beside the core ones under neutral names, and what selects the original columns back."""
-    names = {c: c if c in CORE else f"_extra{i}" for i, c in enumerate(docs.columns)}
-    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+from featsieve.llm.common import CORE, own_names, stored, text_or_empty
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents without a determined language, or with a weak one, go; without any labelled row nothing is judged."""
+    """Operator 4: documents without a determined language, or with a weak one, go; without any labelled row nothing is judged.
+
+    Null and empty texts have no language and go; repeated rows are judged alike; other columns keep any name.
+    """
     model = crf_language.learn(docs)
     if not model.langs:
         return docs
-    plain, back = _own_names(docs)
+    plain, back = own_names(docs, CORE)
     labelled = crf_language.predict_languages(plain, model)
     return labelled.filter((F.col("lang_pred") != crf_language.UNDETERMINED) & (F.col("score") >= crf_language.MIN_SCORE)).select(*back)
 
@@ -42,32 +36,39 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     counted = classes.groupBy("_class", *keys).count()
     firsts = classes.groupBy("_class").agg(F.min(F.struct(*keys)).alias("_first"))
     judged = stored(counted.join(firsts, "_class").select(*keys, "count", (F.struct(*keys) != F.col("_first")).alias("_late")), "judged")
-    named = docs.select("*", F.col("doc_id").cast("long").alias(keys[0]), *[c.alias(k) for c, k in zip(dart_minhash.text_keys(text_or_empty()), keys[1:])])
+    plain, back = own_names(docs, CORE)
+    named = plain.select("*", F.col("doc_id").cast("long").alias(keys[0]), *[c.alias(k) for c, k in zip(dart_minhash.text_keys(text_or_empty()), keys[1:])])
     gone, few = bounded_rows(judged.filter("_late").select(*keys))
     left = named.join(F.broadcast(gone) if few else gone, keys, "left_anti").select(*named.columns)
     repeated = judged.filter("not _late and count > 1").select(*keys)
     if not repeated.limit(1).count():
-        return left.select(*docs.columns)
+        return left.select(*back)
     once = left.join(repeated, keys, "left_semi").select(*named.columns).dropDuplicates(keys)
-    return left.join(repeated, keys, "left_anti").select(*docs.columns).union(once.select(*docs.columns))
+    return left.join(repeated, keys, "left_anti").select(*back).union(once.select(*back))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: what the spans cover is replaced in the text; n_chars follows. All documents stay."""
-    plain, back = _own_names(docs)
+    """Operator 8: what the spans cover is replaced in the text; n_chars follows. All documents stay.
+
+    A null text stays as the empty one; texts are searched whole; repeated rows are treated alike; other columns keep any name.
+    """
+    plain, back = own_names(docs, CORE)
     found = credential_links.scan_secrets(plain)
     n_chars = F.when(F.col("spans") != "", F.length("safe_text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", n_chars).withColumn("text", F.col("safe_text")).select(*back)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents are repeated to their sources' target weights and shuffled."""
-    plain, back = _own_names(docs)
+    """Operator 7: documents are repeated to their sources' target weights and shuffled.
+
+    A null source is a source of its own, null texts weigh nothing, rows of one doc_id draw alike; other columns keep any name.
+    """
+    plain, back = own_names(docs, CORE)
     return poisson_mix.mix_sources(plain).select(*back)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: pieces of sequences of 2048 tokens."""
+    """Operator 3: pieces of sequences of 2048 tokens; null texts are their end id alone, other columns are not read."""
     return packing.packing_rows(docs)
 
 
