@@ -418,7 +418,7 @@ QUERIES = {f.__name__.rstrip("_"): f for f in (
 )}
 QUERIES |= {
     "eval_tree": _model_grid("dt_cpu"), "eval_forest": _model_grid("rf_cpu", _document_grid),
-    "eval_linear_svm": _model_grid("linear_svm"), "eval_mlp": _model_grid("mlp", _document_grid), "cv_support": cv_support,
+    "eval_linear_svm": _model_grid("linear_svm"), "eval_multi_margin_svm": _model_grid("svm_linear_gpu"), "eval_mlp": _model_grid("mlp", _document_grid), "cv_support": cv_support,
 }
 
 

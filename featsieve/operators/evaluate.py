@@ -10,7 +10,7 @@ from threading import Lock
 
 import numpy as np
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
+    DecisionTreeClassifier, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
@@ -18,20 +18,22 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from ..functions import local_table
 from ..streaming import append_results, latest_results, pending_combinations
 from . import forest, metrics
+from .batch_logistic import Problem
 from .binned import to_blocks
-from .linear import assembled
+from .linear import assembled, logistic_input
+from .linear_svm import SVMS, LinearModel
 from .reports import role_tag
 from .subsets import usable_candidates
 
 BACKEND = "spark_ml"
-TREE_BACKEND = "histogram_trees"
+TREE_BACKEND, SVM_BACKEND = "histogram_trees", "batch_passes"
 # classifiers whose folds and feature sets are grown in shared passes, with trees and whether rows are drawn
 TREES = {"dt_cpu": (1, False), "rf_cpu": (300, True)}
 MAX_FOLDS = 62  # a fold is a bit of a signed 64-bit number
 WARMUP_ROWS = 2048
 # classifier names that mean the same operator here
 ALIASES = {
-    "rf_gpu": "rf_cpu", "svm_linear_gpu": "linear_svm", "linear_svm_gpu": "linear_svm", "mlp_gpu": "mlp",
+    "rf_gpu": "rf_cpu", "svm_linear_gpu": "multi_margin_svm", "linear_svm_gpu": "multi_margin_svm", "mlp_gpu": "mlp",
 }
 
 
@@ -43,10 +45,6 @@ def build_classifier(name: str, n_features: int, n_classes: int, n_rows: int, se
         return DecisionTreeClassifier(impurity=o.get("criterion", "gini"), maxDepth=o.get("max_depth", 30), weightCol="weight", seed=seed, maxMemoryInMB=1024)
     if name == "rf_cpu":
         return RandomForestClassifier(numTrees=o.get("trees", 300), maxDepth=o.get("max_depth", 30), weightCol="weight", seed=seed, maxMemoryInMB=1024)
-    if name == "linear_svm":
-        # regParam = 1 / (C * sum of weights); balanced weights sum to the row count
-        svm = LinearSVC(regParam=1.0 / (o.get("C", 1.0) * n_rows), maxIter=o.get("max_iter", 100), weightCol="weight", standardization=False)
-        return svm if n_classes == 2 else OneVsRest(classifier=svm, weightCol="weight")
     if name == "mlp":
         layers = [n_features, *o.get("hidden_layers", (256, 128)), n_classes]
         return MultilayerPerceptronClassifier(layers=layers, maxIter=o.get("max_iter", 20), seed=seed)
@@ -190,6 +188,42 @@ def evaluate_trees(
     return out
 
 
+def evaluate_svms(
+    grid: Grid, counts: dict[int, dict[int, int]], combos: Sequence[Row], n_classes: int, repeats: int, warmup: int
+) -> list[dict]:
+    """What ``evaluate_combination`` gives, for all combinations of one linear machine, fitted in shared passes."""
+    name = combos[0]["classifier"]
+    options = (grid.options or {}).get(name) or {}
+    fits = range(grid.n_splits + 1)  # 0: the final model, judged on the holdout
+    if grid.n_splits > MAX_FOLDS:
+        raise ValueError(f"at most {MAX_FOLDS} folds can be fitted together, not {grid.n_splits}")
+    begin = time.perf_counter()
+    kind = SVMS[ALIASES.get(name, name)]
+    member = sum((F.when(F.col("fold") == f, 0).otherwise(1 << f) for f in fits[1:]), F.lit(1))
+    train = logistic_input(grid.train, grid.label, grid.features, member).persist()
+    test = logistic_input(grid.test, grid.label, grid.features, F.lit(0)).persist()
+    batch, judge = (kind(data, n_classes, len(grid.features), options.get("C", 1.0)) for data in (train, test))
+    at = {c: i for i, c in enumerate(grid.features)}
+    problems = [Problem(tuple(at[c] for c in combo["features"]), f) for combo in combos for f in fits]
+    weights = batch.fit(problems, **({"steps": options["max_iter"]} if "max_iter" in options else {}))
+    folds, holdout = batch.confusion(problems, weights), judge.confusion(problems, weights)
+    share = (time.perf_counter() - begin) / max(1, len(problems))
+
+    def cells(m: np.ndarray) -> list[tuple[int, int, int]]:
+        return [(int(y), int(p), int(m[y, p])) for y, p in zip(*np.nonzero(m))]
+
+    rows = grid.test.select(*[F.col(f"`{c}`") for c in grid.features]).persist()
+    out = []
+    for i, combo in enumerate(combos):
+        first = i * len(fits)
+        runs = time_inference(LinearModel(list(combo["features"]), weights[first]), rows, repeats, warmup)
+        out.append({"folds": [(f, cells(folds[first + f]), share) for f in fits[1:]], "holdout": cells(holdout[first]), "final_s": share, "runs": runs,
+                    "elapsed": share * len(fits) + sum(s for _run, s, _ms in runs), "backend": SVM_BACKEND})
+    for data in (train, test, rows):
+        data.unpersist()
+    return out
+
+
 KEYS = ("dataset", "feature_set_id", "classifier")
 _KEY = "dataset string, feature_set_id string, classifier string, "
 # fold 0 is the holdout
@@ -238,15 +272,20 @@ def evaluate_grid(
                 append_results(local_table(spark, rows[name], SCHEMAS[name]).coalesce(1), f"{log_path}/{name}")
         return rows
 
-    def in_passes(c: Row) -> bool:
-        return ALIASES.get(c["classifier"], c["classifier"]) in TREES and ((grid.options or {}).get(c["classifier"]) or {}).get("criterion", "gini") == "gini" and grid.key in grid.train.columns
+    def together(c: Row):
+        """What fits all combinations of the classifier together, if anything does."""
+        name = ALIASES.get(c["classifier"], c["classifier"])
+        if name in SVMS:
+            return evaluate_svms
+        gini = ((grid.options or {}).get(c["classifier"]) or {}).get("criterion", "gini") == "gini"
+        return evaluate_trees if name in TREES and gini and grid.key in grid.train.columns else None
 
     parts = []
-    for name in sorted({c["classifier"] for c in combos if in_passes(c)}):
+    for name in sorted({c["classifier"] for c in combos if together(c)}):
         own = [c for c in combos if c["classifier"] == name]
-        parts += [logged(c, found) for c, found in zip(own, evaluate_trees(grid, counts, own, n_classes, repeats, warmup))]
+        parts += [logged(c, found) for c, found in zip(own, together(own[0])(grid, counts, own, n_classes, repeats, warmup))]
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        parts += list(pool.map(evaluate, [c for c in combos if not in_passes(c)]))
+        parts += list(pool.map(evaluate, [c for c in combos if not together(c)]))
     grid.train.unpersist(), grid.test.unpersist()
     tables = {}
     for name, schema in SCHEMAS.items():
