@@ -238,7 +238,7 @@ def _in_filter(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _sharing(occurrences: DataFrame, names: list[str]) -> DataFrame:
-    """Rows of ``occurrences`` (pid and bands) that may share a bucket with another row.
+    """Rows of ``occurrences`` (bands, pid and doc_id) that may share a bucket with another row.
 
     Buckets are counted by 32 bits of their hash; what the bitmap of those met twice lets through by chance has no
     partner later. Only the counted keys are shuffled, not the rows.
@@ -250,11 +250,11 @@ def _sharing(occurrences: DataFrame, names: list[str]) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = np.zeros(batch.num_rows, bool)
-            for i in range(1, len(names) + 1):
+            for i in range(len(names)):
                 hit |= _in_filter(shipped.value, batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64))
             yield batch.filter(pa.array(hit))
 
-    rows = occurrences.filter("b0 is not null").select("pid", *names)
+    rows = occurrences.filter("b0 is not null").select(*names, "pid", "doc_id")
     return rows.mapInArrow(keep, rows.schema)
 
 
@@ -287,10 +287,11 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, words: int
     bands = tuned_bands(threshold)
     names = [f"b{i}" for i in range(bands)]
     occurrences = stored(_occurrences(known, words, bands, ROWS), "paragraphs")
-    distinct = _sharing(occurrences, names).groupBy(F.col("pid").alias("id")).agg(*[F.min(b).alias(b) for b in names])
+    # all rows of a paragraph have the same bands, so its least doc_id is among them
+    distinct = stored(_sharing(occurrences, names).groupBy(F.col("pid").alias("id")).agg(*[F.min(b).alias(b) for b in names], F.min("doc_id").alias("doc_id")), "candidates")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        homes = occurrences.select("doc_id", F.col("pid").alias("id")).join(ids, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+        homes = distinct.select("doc_id", "id").join(ids, "id", "left_semi")
         chosen, few = bounded_rows(homes.select("doc_id").distinct())
         texts = known.select("doc_id", "text")
         if few:
