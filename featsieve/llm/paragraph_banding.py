@@ -244,7 +244,8 @@ def _sharing(occurrences: DataFrame, names: list[str]) -> DataFrame:
     partner later. Only the counted keys are shuffled, not the rows.
     """
     keys = occurrences.filter("b0 is not null").select(F.explode(F.array(*[F.shiftright(F.shiftleft(b, 32), 32).cast("int") for b in names])).alias("key"))
-    twice = keys.groupBy("key").count().filter("count > 1").select(F.col("key").cast("long").alias("id"))
+    # stored, as the bitmap is sized by their number: all bands would be counted twice otherwise
+    twice = stored(keys.groupBy("key").count().filter("count > 1").select(F.col("key").cast("long").alias("id")), "keys")
     shipped = occurrences.sparkSession.sparkContext.broadcast(_bit_filter(twice))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
