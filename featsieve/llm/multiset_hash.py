@@ -85,34 +85,69 @@ def text_sums(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return exploded.groupBy(*keys).agg(*_sums()).select(*keys, _packed().alias("sums"))
 
 
+def _share(of: Column, low: Column, width: Column, parts: Column) -> Column:
+    """Which of ``parts`` equal ranges from ``low`` on holds ``of``; differences are exact, so it never falls as ``of`` grows."""
+    past = (of.cast("decimal(20,0)") - low.cast("decimal(20,0)")).cast("double")
+    return F.least(parts - 1, F.floor(past / width).cast("int"))
+
+
+def _cut(rows: DataFrame, low: int | None, bucket_docs: int) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """Rows with ``_cell``, and (least _key, least _tie, cell) of the cells in ascending order.
+
+    A cell with too many rows is cut again into equal ranges of its own ids, one that holds a single id into ranges of
+    the text hash, and one that holds copies of a row by row number, so neither an outlier nor a shared id fills a task.
+    """
+    keyed = rows.withColumn("_key", F.coalesce("doc_id", F.lit(0 if low is None else low))).withColumn("_tie", F.xxhash64("text"))
+    keyed = keyed.withColumn("_spread", F.monotonically_increasing_id()).withColumn("_cell", F.lit(0))
+    facts = [F.count(F.lit(1)).alias("n"), F.min(F.struct("_key", "_tie")).alias("first"), F.max("_key").alias("high"), F.min("_tie").alias("low_tie"), F.max("_tie").alias("high_tie")]
+    used, dealt, size = 1, set(), 0
+    while True:
+        cells = keyed.groupBy("_cell").agg(*facts).collect()  # one row per filled cell: MAX_BUCKETS and a few for each level
+        size = size or max(bucket_docs, -(-sum(c["n"] for c in cells) // MAX_BUCKETS))
+        cuts = []
+        for c in cells:
+            if c["n"] <= 4 * size or c["_cell"] in dealt:
+                continue
+            parts = -(-c["n"] // size)
+            kind, start, end = 0, c["first"]["_key"], c["high"]
+            if start == end:
+                kind, start, end = 1, c["low_tie"], c["high_tie"]
+            if start == end:
+                kind, start, end = 2, 0, parts
+                dealt.update(range(used, used + parts))
+            cuts.append((c["_cell"], kind, start, (end - start) / parts, parts, used))
+            used += parts
+        if not cuts:
+            return keyed, sorted((c["first"]["_key"], c["first"]["_tie"], c["_cell"]) for c in cells)
+        plan = F.broadcast(local_table(rows.sparkSession, cuts, "_cell int, _kind int, _low long, _width double, _parts int, _new int"))
+        cut = F.col("_low"), F.col("_width"), F.col("_parts")
+        part = F.when(F.col("_kind") == 0, _share(F.col("_key"), *cut)).when(F.col("_kind") == 1, _share(F.col("_tie"), *cut)).otherwise(F.pmod("_spread", "_parts").cast("int"))
+        keyed = keyed.join(plan, "_cell", "left").withColumn("_cell", F.coalesce(F.col("_new") + part, "_cell")).select(*keyed.columns)
+
+
 def _neighbours(rows: DataFrame, bucket_docs: int) -> DataFrame:
-    """Rows dealt to buckets of doc_id ranges; each bucket also holds the first rows of the next filled one (``_guest``)."""
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high = (0, 0) if low is None else (low, high)
-    buckets = max(1, min(MAX_BUCKETS, -(-n // bucket_docs)))
-    width = float(high - low) / buckets + 1.0
-    keyed = rows.withColumn("_key", F.coalesce("doc_id", F.lit(low)))
-    keyed = keyed.withColumn("_bucket", F.floor((F.col("_key").cast("double") - F.lit(float(low))) / F.lit(width)).cast("int"))
-    # one row per filled bucket, MAX_BUCKETS + 1 at most
-    firsts = sorted((b, k) for b, k in keyed.groupBy("_bucket").agg(F.min("_key")).collect())
-    before = [(key, firsts[i - 1][0]) for i, (_, key) in enumerate(firsts)]
-    marks = local_table(rows.sparkSession, before, "_key long, _before int")
-    marked = keyed.join(F.broadcast(marks), "_key", "left")
-    own = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("g"))
+    """Rows dealt to buckets of (doc_id, text hash) ranges; each bucket also holds the first rows of the next filled one (``_guest``)."""
+    keyed, firsts = _cut(rows, rows.agg(F.min("doc_id")).first()[0], bucket_docs)
+    before = [(cell, key, tie, firsts[i - 1][2]) for i, (key, tie, cell) in enumerate(firsts)]
+    marks = local_table(rows.sparkSession, before, "_cell int, _first long, _first_tie long, _before int")
+    marked = keyed.join(F.broadcast(marks), "_cell")
+    own = F.struct(F.col("_cell").alias("b"), F.lit(0).alias("g"))
     guest = F.struct(F.col("_before").alias("b"), F.lit(1).alias("g"))
-    places = F.when(F.col("_before").isNull(), F.array(own)).otherwise(F.array(own, guest))
-    return marked.withColumn("_place", F.explode(places)).select("doc_id", "text", "_key", F.col("_place.b").alias("_bucket"), F.col("_place.g").alias("_guest"))
+    leads = (F.col("_key") == F.col("_first")) & (F.col("_tie") == F.col("_first_tie"))
+    places = F.when(leads, F.array(own, guest)).otherwise(F.array(own))
+    return marked.withColumn("_place", F.explode(places)).select("doc_id", "text", "_key", "_tie", F.col("_place.b").alias("_bucket"), F.col("_place.g").alias("_guest"))
 
 
 def fingerprint_documents(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """Fingerprints of every whole text and of its edited text (its last quarter replaced by the next document's head).
 
-    Null texts are empty; rows with null doc_id stand with the smallest id; rows of one doc_id are ordered by text; the
-    document after the last is the first, so a single document follows itself; an empty table gives no rows. Texts are
-    shuffled once, by bucket; windows and sums then stay inside a bucket.
+    Null texts are empty; rows with null doc_id stand with the smallest id; rows of one doc_id are ordered by a hash of
+    their text, so copies follow one another; the document after the last is the first, so a single document follows
+    itself; an empty table gives no rows; other columns are not read, whatever their names. Texts are shuffled once, by
+    bucket; windows and sums then stay inside a bucket, which holds about ``bucket_docs`` rows however ids are spread.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    order = Window.partitionBy("_bucket").orderBy("_guest", "_key", "text", "doc_id")
+    order = Window.partitionBy("_bucket").orderBy("_guest", "_key", "_tie", "text", "doc_id")
     placed = _neighbours(rows, bucket_docs).withColumn("_next", F.coalesce(F.lead("text").over(order), F.lit(""))).withColumn("_row", F.row_number().over(order))
     n, cut = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("_next", F.lit(1), cut))

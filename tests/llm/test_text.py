@@ -238,6 +238,28 @@ def test_fingerprints_of_odd_rows(odd, empty, rows):
     assert mh.fingerprint_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["outlier", "one id", "copies", "far apart", "dense and large"])
+def test_buckets_stay_small_whatever_the_ids(spark, ids):
+    n = 400
+    of = {"outlier": lambda i: 10**15 if i == 0 else i, "one id": lambda i: 7 if i % 3 else i + 8, "copies": lambda i: None if i % 3 else i + 1,
+          "far apart": lambda i: (-1) ** i * 2 ** (i % 63) + i, "dense and large": lambda i: 10**18 + i}[ids]
+    rows = [(of(i), "same text here" if ids == "copies" and i % 3 else f"text {i} of all. " * (1 + i % 4)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = [r["count"] for r in mh._neighbours(df, 10).groupBy("_bucket").count().collect()]
+    assert len(sizes) > 10 and max(sizes) <= 90
+    got = mh.fingerprint_documents(df, 10).collect()
+    assert len(got) == n
+    # by a plain pass over the rows in order; rows of one id and text are alike
+    low = min(d for d, _ in rows if d is not None)
+    tie = {r.text: r.tie for r in df.select("text", F.xxhash64("text").alias("tie")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (low if r[0] is None else r[0], tie[r[1]]))
+    want = []
+    for (doc_id, text), (_, follows) in zip(order, [*order[1:], order[0]]):
+        cut = len(text) // 4
+        want.append((doc_id or -1, hashlib.sha256((text[: len(text) - cut] + follows[:cut]).encode()).hexdigest()))
+    assert sorted((r.doc_id or -1, r.edited_sha256) for r in got) == sorted(want)
+
+
 def test_one_document_follows_itself(spark):
     r = mh.fingerprint_documents(spark.createDataFrame([(5, "ab cd ef gh")], "doc_id long, text string")).first()
     assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"ab cd ef ab").hexdigest()
