@@ -138,6 +138,35 @@ def test_front_zones_and_champions_match_brute_force(scored):
     assert {(r["dataset"], r["zone"]): r["feature_set_id"] for r in found.collect()} == champs
 
 
+@pytest.mark.parametrize("spread", ["outlier", "beyond one", "all equal", "falling line"])
+def test_front_of_any_range_matches_brute_force(spark, spread):
+    rng = np.random.default_rng(11)
+    a, b = rng.random(300).round(3), rng.random(300).round(3)
+    if spread == "outlier":
+        a, b = np.append(0.5 + a[1:] / 1e6, -1e12), b  # all but one row in one slice of the first cut
+    elif spread == "beyond one":
+        a, b = a * 5000 - 900, b * 80 - 40
+    elif spread == "all equal":
+        a = np.full(300, 0.25)
+    else:
+        b = -a  # every point is on the front
+    points = [(float(x), float(y)) for x, y in zip(a, b)]
+    df = spark.createDataFrame([("d", "c", "s", i, *p) for i, p in enumerate(points)], "dataset string, classifier string, scenario string, id int, effectiveness_score double, efficiency_score double")
+    for levels in (1, 2, 3):
+        assert sorted(r["id"] for r in pareto.pareto_front(df, levels=levels).collect()) == brute_front(points)
+
+
+def test_slices_of_a_dense_group_stay_small(spark):
+    rows = [("d", "c", "s", 0.5 + i / 1e7, -i / 1e7) for i in range(3000)] + [("d", "c", "s", -1e6, 1.0)]
+    df = spark.createDataFrame(rows, "dataset string, classifier string, scenario string, effectiveness_score double, efficiency_score double")
+    keys = list(pareto.KEYS)
+    once = pareto._above_bar(df, keys, "_c0", "effectiveness_score", "efficiency_score")
+    twice = pareto._above_bar(once, [*keys, "_c0"], "_c1", "effectiveness_score", "efficiency_score")
+    assert once.groupBy("_c0").count().agg({"count": "max"}).head()[0] == 3000
+    assert twice.groupBy("_c0", "_c1").count().agg({"count": "max"}).head()[0] <= 4
+    assert pareto.pareto_front(df).count() == 3001
+
+
 def test_empty_zone_falls_back_to_the_front(spark):
     rows = [("d", "c", "s", "a", 1.0, 0.0), ("d", "c", "s", "b", 0.0, 1.0)]
     df = spark.createDataFrame(rows, "dataset string, classifier string, scenario string, feature_set_id string, effectiveness_score double, efficiency_score double")
