@@ -48,8 +48,9 @@ def missing_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shuffled_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = split.shuffled(events(spark, d), "row_key", SEED)
-    return rows.select("event_id", hash32(F.col("row_key"), SEED).alias("shuffle_key"))
+    """The place of every event in the shuffled table."""
+    rows = split.with_position(split.shuffled(events(spark, d).select("event_id", "row_key"), "row_key", SEED))
+    return rows.select("event_id", "position", hash32(F.col("row_key"), SEED).alias("shuffle_key"))
 
 
 def row_cap(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +158,7 @@ SQL = {
         f"SELECT '{n}' AS dataset, n_classes, task FROM {_facts(t, g)}"
         for n, t, g in (("lineitem", "li", "l_linestatus"), ("events", "ev", "event_type"), ("documents", "dc", "quality")))),
     "missing_tokens": with_(EVENTS, select=f"SELECT event_id, event_type, CASE WHEN k IN ({_TOKEN_LIST}) THEN NULL ELSE k END AS k FROM ev"),
-    "shuffled_rows": with_(EVENTS, select=f"SELECT event_id, {h32('row_key', SEED)} AS shuffle_key FROM ev"),
+    "shuffled_rows": with_(EVENTS, select=f"SELECT event_id, row_number() OVER (ORDER BY {h32('row_key', SEED)}, row_key) - 1 AS position, {h32('row_key', SEED)} AS shuffle_key FROM ev"),
     "row_cap": with_(EVENTS, holdout_sql("ev", "event_type", "row_key", "500"), select="SELECT event_id, event_type FROM h_split WHERE split = 'test'"),
     "content_fingerprint": with_(EVENTS, select=f"SELECT count(*) AS n_rows, CAST(sum({h32('concat(event_id, chr(124), event_type, chr(124), k)', 'content')}) AS VARCHAR) AS hash_sum FROM ev"),
     "dataset_change_guard": with_(EVENTS, select=f"""SELECT dataset, old_fingerprint, new_fingerprint FROM (SELECT event_type AS dataset,

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import hash32, local_table
+from ..functions import cut_lineage, hash32, local_table
 
 BUCKET_BITS = 16
 MAX_CLASSES = 100_000
@@ -123,3 +123,18 @@ def stratified_sample(df: DataFrame, label: str, key: str, max_rows: int, seed:
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Rows in a seeded random order (a distributed range sort by hash)."""
     return df.orderBy(hash32(F.col(key), seed), F.col(key))
+
+
+def with_position(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """Number the rows of an ordered table from 0 in the order they stand in.
+
+    The table is stored first, so that rows and the counts of their partitions come from one sort.
+    """
+    at = F.col("_at")
+    rows = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id()))  # partition number in the upper bits
+    sizes = rows.groupBy(F.shiftright(at, 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))
+    numbered = rows.withColumn("_part", F.shiftright(at, 33)).join(F.broadcast(starts), "_part")
+    return numbered.withColumn(name, F.col("_before") + at.bitwiseAND(F.lit((1 << 33) - 1))).select(*ordered.columns, name)

@@ -137,3 +137,16 @@ def test_class_weights(spark):
     df = spark.createDataFrame([(0,)] * 3 + [(1,)], "y int")
     assert {r["y"]: r["weight"] for r in target.class_weights(df, "y").collect()} == {0: pytest.approx(4 / 6), 1: 2.0}
     assert target.with_class_weight(df, "y").agg(F.sum("weight")).head()[0] == pytest.approx(4.0)
+
+
+def test_positions_follow_the_shuffled_order(spark):
+    df = spark.createDataFrame([(f"k{i}",) for i in range(500)], "row_key string")
+    found = []
+    for n in (1, 7):
+        ordered = split.shuffled(df.repartition(n), "row_key", 3)
+        rows = split.with_position(ordered).collect()
+        assert sorted(r["position"] for r in rows) == list(range(500))
+        found.append([r["row_key"] for r in sorted(rows, key=lambda r: r["position"])])
+        assert found[-1] == [r["row_key"] for r in ordered.collect()]
+    assert found[0] == found[1] != sorted(found[0])
+    assert split.with_position(split.shuffled(df.limit(0), "row_key")).count() == 0
