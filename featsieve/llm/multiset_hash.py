@@ -98,7 +98,8 @@ def _cut(rows: DataFrame, low: int | None, bucket_docs: int) -> tuple[DataFrame,
     the text hash, and one that holds copies of a row by row number, so neither an outlier nor a shared id fills a task.
     """
     keyed = rows.withColumn("_key", F.coalesce("doc_id", F.lit(0 if low is None else low))).withColumn("_tie", F.xxhash64("text"))
-    keyed = keyed.withColumn("_spread", F.monotonically_increasing_id()).withColumn("_cell", F.lit(0))
+    # the first cell is no constant to the planner, or the joins by cell would be nested loops
+    keyed = keyed.withColumn("_spread", F.monotonically_increasing_id()).withColumn("_cell", F.least(F.col("_spread"), F.lit(0)).cast("int"))
     facts = [F.count(F.lit(1)).alias("n"), F.min(F.struct("_key", "_tie")).alias("first"), F.max("_key").alias("high"), F.min("_tie").alias("low_tie"), F.max("_tie").alias("high_tie")]
     used, dealt, size = 1, set(), 0
     while True:
