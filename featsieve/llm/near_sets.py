@@ -3,8 +3,8 @@
 1. A bucket is all ids with one band hash. Its centre is the member whose buckets are largest in sum (the least edited
    copy of a group); every member is verified against the centre, so a group of n copies costs n checks, not n * n.
 2. Buckets that still hold several components are searched whole, in square blocks of bounded size: short signatures
-   rule out pairs far below the threshold, the others are compared exactly inside the task, and only links that join two
-   components leave it. No link between two members of a bucket is lost but by the chance that the signature estimate
+   rule out pairs far below the threshold, the others are compared exactly inside the task, and only pairs of components
+   with a link leave it. No link between two members of a bucket is lost but by the chance that the signature estimate
    is four standard deviations low.
 """
 
@@ -80,21 +80,37 @@ def grouped_lists(doc: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of every id on a link (a, b); the label is the smallest id of its component.
 
-    Each round takes the least label among neighbours, then follows labels of labels; rounds are stored, so a lost
-    executor never sets the iteration back.
+    Each round every id points to the first of itself and its neighbours by a scrambled order (so a chain in the order of ids
+    is no long way), pointers are followed, and the links are carried to what their ends point at. Links within one
+    such id and repeated ones vanish, so a round has a fraction of the links of the one before. Rounds
+    are stored, so a lost executor never sets the iteration back.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = stored(both, "edges")
-    labels = stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
+    # xxhash64 of one long gives each long once, so the scrambled ids stand for the ids
+    ends = stored(links.select("a", "b").distinct(), "ends")
+    edges = ends.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    rounds: list[DataFrame] = []
     while True:
-        least = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(least, F.col("id") == F.col("a")).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        far = labels.select(F.col("id").alias("of"), F.col("label").alias("further"))
-        step = step.join(far, F.col("label") == F.col("of"), "left").select("id", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
-        step = stored(step, "labels")
-        labels = step.select("id", "label")
-        if not step.filter("old <> label").limit(1).count():
-            return labels
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("to"))
+        rounds.append(stored(_followed(step, step, "to"), "pointers"))
+        to = [rounds[-1].select(F.col("id").alias(c), F.col("to").alias(f"_{c}")) for c in "ab"]
+        carried = edges.join(to[0], "a").join(to[1], "b").filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+        edges = stored(carried.distinct(), "edges")
+        if not edges.limit(1).count():
+            break
+    roots = rounds.pop()
+    while rounds:
+        roots = _followed(rounds.pop(), roots, "to")
+    ids = ends.select("a").union(ends.select("b")).distinct().select(F.col("a").alias("own"), F.xxhash64("a").alias("id"))
+    named = stored(ids.join(roots, "id").select(F.col("own").alias("id"), "to"), "roots")
+    least = named.groupBy("to").agg(F.min("id").alias("label"))
+    return stored(named.join(least, "to").select("id", "label"), "labels")
+
+
+def _followed(first: DataFrame, then: DataFrame, column: str) -> DataFrame:
+    """(id, ``column``) of ``first``, carried on by ``then`` where that goes on."""
+    on = then.select(F.col("id").alias("of"), F.col(column).alias("further"))
+    return first.join(on, F.col(column) == F.col("of"), "left").select("id", F.coalesce("further", column).alias(column))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -138,7 +154,7 @@ def _jaccard(items: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 
 def _joining_links(threshold: float):
-    """Links between members of different labels in each block, as many as it takes to join them.
+    """Pairs of labels with similar members in each block, as many as it takes to join them.
 
     Signatures rule out pairs far below the threshold, the others are compared exactly, in the task. A pair is looked at in
     the first band both share, so it is compared once whatever the number of shared buckets.
@@ -146,12 +162,17 @@ def _joining_links(threshold: float):
 
     def search(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
-        for _, cell in rows.groupby(["band", "bucket", "low", "high"], sort=False):
-            ids, labels, chunk = cell["id"].to_numpy(), cell["label"].to_numpy().copy(), cell["chunk"].to_numpy()
-            sig = np.stack([np.frombuffer(s, "<u2") for s in cell["sig"]])
-            bands = np.stack(cell["bands"].to_numpy())
-            items = [np.sort(x) for x in cell["items"]]
-            band, low, high = (int(cell[c].iloc[0]) for c in ("band", "low", "high"))
+        rows = rows.sort_values(["band", "bucket", "low", "high"], ignore_index=True)
+        every = [rows[c].to_numpy() for c in ("band", "bucket", "low", "high")]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in every], axis=0)) + 1
+        all_ids, all_labels, all_chunks, all_items = (rows[c].to_numpy() for c in ("id", "label", "chunk", "items"))
+        all_sig = np.frombuffer(b"".join(rows["sig"]), "<u2").reshape(len(rows), -1)
+        all_bands = np.stack(rows["bands"].to_numpy())
+        for first, stop in zip([0, *new.tolist()], [*new.tolist(), len(rows)]):
+            ids, labels, chunk = all_ids[first:stop], all_labels[first:stop].copy(), all_chunks[first:stop]
+            sig, bands = all_sig[first:stop], all_bands[first:stop]
+            items = [np.sort(x) for x in all_items[first:stop]]
+            band, low, high = (int(every[i][first]) for i in (0, 2, 3))
             left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
             for i in left:
                 others = right[(labels[right] != labels[i]) & ((ids[right] > ids[i]) if low == high else (ids[right] != ids[i]))]
@@ -163,7 +184,7 @@ def _joining_links(threshold: float):
                     continue
                 near = others[np.round(_jaccard(items[i], [items[j] for j in others]), 10) >= threshold]
                 for label in np.unique(labels[near]):
-                    found.append((int(ids[i]), int(ids[near[labels[near] == label][0]])))
+                    found.append((int(labels[i]), int(label)))
                     labels[labels == label] = labels[i]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
@@ -204,4 +225,9 @@ def similar_classes(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     key = F.when(F.col("n") > block, cell_key).otherwise(F.pmod(cell_key, F.lit(max(1, -(-weight_of // SHARD_ITEMS)))))
     cells = cells.select(key.alias("shard"), "band", "bucket", "low", "high", "chunk", "id", "label").join(signed, "id")
     more = stored(cells.groupBy("shard").applyInPandas(_joining_links(threshold), "a long, b long"), "links")
-    return components(links.union(more)) if more.limit(1).count() else labels
+    if not more.limit(1).count():
+        return labels
+    # only labels are joined; an id without one stands for itself
+    joined = components(more)
+    alone = joined.join(labels, "id", "left_anti").select("id", F.col("id").alias("label"))
+    return stored(_followed(labels.union(alone), joined, "label"), "labels")

@@ -32,8 +32,8 @@ ROWS = 2
 BITS_PER_ID, LEAST_FILTER_BITS, MOST_FILTER_BITS = 64, 1 << 16, 1 << 30
 
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
-_CLOSING = [ord(c) for c in "\"')]\u2019\u201d\u00bb"]
-_FULL_STOPS = [0x3002, 0xFF01, 0xFF0E, 0xFF1F, 0x0964]  # sentence ends without white space after them
+_STOPS, _CLOSING = ".!?", "\"')]\u2019\u201d\u00bb"
+_FULL_STOPS = "\u3002\uff01\uff0e\uff1f\u0964"  # sentence ends without white space after them
 #: Thai, Lao, Myanmar, Khmer, kana, Han: each letter is a word.
 _UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
@@ -54,8 +54,8 @@ def _least_places(priority: np.ndarray, group: np.ndarray) -> np.ndarray:
         same = group[k:] == group[:-k]
         chosen[k:] &= ~(same & (priority[:-k] <= priority[k:])) | (priority[k:] == 0)
         chosen[:-k] &= ~(same & (priority[k:] < priority[:-k]))
-    last = np.flatnonzero(np.append(group[1:] != group[:-1], True)) if len(group) else np.zeros(0, np.int64)
-    stops = np.unique(np.concatenate([np.flatnonzero(chosen), last]))
+    last = np.append(group[1:] != group[:-1], True) if len(group) else np.zeros(0, bool)
+    stops = np.flatnonzero(chosen | last)
     starts = np.concatenate([[0], stops[:-1] + 1]) if len(stops) else stops
     for i in np.flatnonzero(stops - starts >= WIDEST).tolist():
         at, stop = int(starts[i]), int(stops[i])
@@ -72,18 +72,25 @@ def _least_places(priority: np.ndarray, group: np.ndarray) -> np.ndarray:
     return chosen
 
 
-def _characters(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lower-case code points, word characters, those that are words alone, white space)."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    known, number = np.unique(code, return_inverse=True) if not text.isascii() else (np.arange(128), code)
+def _characters(text: str) -> tuple[np.ndarray, ...]:
+    """(lower-case code points, word characters, those that are words alone, white space, stops, closing marks, full stops)."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.intp)
+    # tables by code point, filled for those that occur: nothing is sorted
+    seen = np.zeros(int(code.max(initial=0)) + 1, bool)
+    seen[code] = True
+    known = np.flatnonzero(seen)
     chars = [chr(c) for c in known.tolist()]
-    lower = np.asarray([ord(c.lower()[0]) for c in chars], np.uint64)
+    lower, kinds = np.zeros(len(seen), np.uint64), np.zeros(len(seen), np.uint8)
+    lower[known] = [ord(c.lower()[0]) for c in chars]
     word = np.asarray([c.isalnum() or c == "_" for c in chars], bool)
     alone = np.zeros(len(chars), bool)
     for low, high in _UNSPACED:
         alone |= (known >= low) & (known <= high)
-    space = np.asarray([c.isspace() for c in chars], bool)
-    return lower[number], word[number], (alone & word)[number], space[number]
+    flags = [word, alone & word, [c.isspace() for c in chars], *[[c in marks for c in chars] for marks in (_STOPS, _CLOSING, _FULL_STOPS)]]
+    for i, flag in enumerate(flags):
+        kinds[known] |= np.asarray(flag, np.uint8) << i
+    kind = kinds[code]
+    return lower[code], *[(kind & (1 << i)).astype(bool) for i in range(len(flags))]
 
 
 def _words(code: np.ndarray, word: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +123,7 @@ def _words(code: np.ndarray, word: np.ndarray, alone: np.ndarray) -> tuple[np.nd
 def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, (start, end) in code points, first word, words) of the paragraphs, and the hashes of all words."""
     base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
-    code, word, alone, space = _characters("\n".join(texts))
+    code, word, alone, space, stops, closing, full_stops = _characters("\n".join(texts))
     start, stop, hashed = _words(code, word, alone)
     n = len(start)
     if not n:
@@ -125,7 +132,7 @@ def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     # place i lies between word i and word i + 1, in the characters low to high
     low, high = stop, np.append(start[1:], len(code))
     final = np.append(text[1:] != text[:-1], True)
-    ends = np.isin(code, [ord(c) for c in ".!?"]) & np.append(space[1:] | np.isin(code[1:], _CLOSING), True) | np.isin(code, _FULL_STOPS)
+    ends = stops & np.append(space[1:] | closing[1:], True) | full_stops
 
     def within(flags: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(flags)])

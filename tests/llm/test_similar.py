@@ -113,6 +113,66 @@ def test_components_of_long_chains(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 105: 100}
 
 
+def rows_stored(monkeypatch):
+    """(name, rows) of what near_sets stores from now on."""
+    kept, plain = [], near_sets.stored
+
+    def counted(df, name):
+        out = plain(df, name)
+        kept.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(near_sets, "stored", counted)
+    return kept
+
+
+def test_rounds_of_components_take_only_links_left_to_join(spark, monkeypatch):
+    """Chains up and down, a star, a clique, random links: later rounds carry few links, whatever the order of ids."""
+    rng = np.random.default_rng(41)
+    links = [(i, i + 1) for i in range(1500)] + [(-i, -i - 1) for i in range(2000, 3500)] + [(10**6, 10**5 + i) for i in range(500)]
+    links += [(2 * 10**6 + i, 2 * 10**6 + j) for i in range(30) for j in range(30)] + [(-(2**63), 2**63 - 1), (7777777, 7777777)]
+    links += [tuple(x) for x in (3 * 10**6 + rng.integers(0, 900, (600, 2))).tolist()]
+    label = {i: i for link in links for i in link}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in links:
+        low, high = sorted((root(a), root(b)))
+        label[high] = low
+    kept = rows_stored(monkeypatch)
+    got = {r.id: r.label for r in near_sets.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: root(i) for i in label}
+    edges = [n for name, n in kept if name == "edges"]
+    assert sum(edges) < len(links) and all(2 * b < a for a, b in zip([len(links), *edges], edges))
+
+
+def test_open_buckets_join_labels_not_links(spark, monkeypatch):
+    """Members that no centre reaches: the second pass sees only pairs of classes, and classes are those of all pairs."""
+    sets = {i: frozenset(range(3 * i, 3 * i + 60)) for i in range(40)}  # neighbours have 57 of 63 in common, the next ones 54 of 66
+    sets |= {100 + i: frozenset(range(1000 + 200 * i, 1060 + 200 * i)) for i in range(5)}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    want = {i: label for i, label in classes_of(sorted(sets), alike).items() if i < 100}
+    seen, plain = [], near_sets.components
+
+    def recorded(links):
+        out = plain(links)
+        seen.append(([tuple(x) for x in links.collect()], {r.id: r.label for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(near_sets, "components", recorded)
+    banded = spark.createDataFrame([(i, [5, 6]) for i in sets], "id long, bands array<long>")
+    items = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id long, items array<long>")
+    for block in (512, 4):
+        seen.clear()
+        got = {r.id: r.label for r in near_sets.similar_classes(banded, lambda ids: items.join(ids, "id", "left_semi"), 0.8, block=block).collect()}
+        assert got == want and len(set(want.values())) == 1
+        (_, first), (second, _) = seen
+        assert second and all(first.get(i, i) == i for link in second for i in link)
+
+
 # --- operator 2
 
 @pytest.fixture(scope="module")
@@ -192,6 +252,17 @@ def test_paragraphs_cover_the_text_and_do_not_depend_on_what_stands_before():
     assert len(own & moved) >= len(own) - 2
 
 
+def test_kinds_of_characters_are_those_of_each_character():
+    rng = np.random.default_rng(2)
+    some = "abcXYZ09_ \n\t\x00-.!?\"')]\u2019\u201d\u00bb\u3002\uff01\u0964\u6f22\u0e17\u30a2\u00e9\u0130\u00df\ud800\U0001f600\U0010ffff"
+    for text in ["".join(rng.choice(list(some), 500)), "plain words. and more?", "\n", some, ""]:
+        lower, word, alone, space, stops, closing, full_stops = banding._characters(text)
+        assert lower.tolist() == [ord(c.lower()[0]) for c in text] and lower.dtype == np.uint64
+        assert word.tolist() == [c.isalnum() or c == "_" for c in text] and space.tolist() == [c.isspace() for c in text]
+        assert alone.tolist() == [c in "\u6f22\u0e17\u30a2" for c in text] and stops.tolist() == [c in ".!?" for c in text]
+        assert closing.tolist() == [c in "\"')]\u2019\u201d\u00bb" for c in text] and full_stops.tolist() == [c in "\u3002\uff01\uff0e\uff1f\u0964" for c in text]
+
+
 def test_repeats_are_found_and_clean_documents_left(spark):
     rng = np.random.default_rng(9)
     sentence = lambda n=12: " ".join(f"v{rng.integers(20000)}" for _ in range(n)) + "."
