@@ -21,6 +21,8 @@ from .common import drop_worker_cache, sliced, text_or_empty
 from .tokens import default_tokenizer, worker_encoder
 
 SHARD_BYTES = 8_000_000
+# late in a pipeline the JVM holds its whole heap, so two workers must do with little: near 250 MB each
+SLICE_BYTES, MEMO_UNITS = 1_000_000, 400_000
 COPIES = 64  # equal rows that may share a shard by their hash
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -72,8 +74,8 @@ def pack_documents(
     schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(shipped.value)
-        for batch in sliced(batches, "text", 4_000_000, caching=True):
+        encoder = worker_encoder(shipped.value, MEMO_UNITS)
+        for batch in sliced(batches, "text", SLICE_BYTES, caching=True):
             ids, counts = encoder.encode(batch.column(1))
             # every text's ids with the end id behind them, and the places where pieces begin
             sizes = counts + 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,13 @@ def _flat(texts: pa.Array | Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
+def _shifted(x: np.ndarray, first: int) -> np.ndarray:
+    """``x`` moved on by one place, of the same type."""
+    out = np.empty_like(x)
+    out[:1], out[1:] = first, x[:-1]
+    return out
+
+
 def unit_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Places where units begin; no piece of the byte-level pre-tokenizer crosses one.
 
@@ -48,15 +56,15 @@ def unit_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     kind = _CLASS[data]
     odd = kind == _OTHER
-    lead, high = data == 0xC3, (data >= 0x80) & (data < 0xC0)
-    after_lead = np.concatenate([[False], lead[:-1]])
-    odd |= (high & ~after_lead) | (after_lead & ((data == 0x97) | (data == 0xB7)))
+    after_lead = _shifted(data == 0xC3, False)
+    odd |= ((data >= 0x80) & (data < 0xC0) & ~after_lead) | (after_lead & ((data == 0x97) | (data == 0xB7)))
     filled = at[:-1] < at[1:]
     first = at[:-1][filled]
-    whole = np.add.reduceat(odd, first) > 0 if len(first) else np.zeros(0, bool)
+    whole = np.logical_or.reduceat(odd, first) if len(first) else np.zeros(0, bool)
+    del odd, after_lead
 
     space = kind == _SPACE
-    before = np.concatenate([[255], kind[:-1]])
+    before = _shifted(kind, 255)
     was_space = before == _SPACE
     was_space[first] = False
     next_space = np.concatenate([space[1:], [True]])
@@ -65,7 +73,7 @@ def unit_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     ends_text[last] = True
     cut = space & ~was_space
     cut |= space & was_space & ~next_space & ~ends_text
-    cut |= ~space & was_space & np.concatenate([[False], data[:-1] != 32])
+    cut |= ~space & was_space & _shifted(data != 32, False)
     cut |= ~space & ~was_space & (kind != before) & ((before == _LETTER) | (before == _DIGIT) | (kind == _DIGIT))
     if whole.any():
         spans = np.zeros(n + 1, np.int8)
@@ -95,25 +103,27 @@ class Encoder:
 
     def _forget_rare(self) -> None:
         """Keep the more used half of the memo; what was seen once goes."""
-        old, pool, first, size, uses = self.memo, self.pool, self.first, self.size, self.uses
-        units, rows = list(old), np.fromiter(old.values(), np.int64, len(old))
-        self.reset()
-        best = np.argsort(-uses[rows], kind="stable")[: self.memo_units // 2]
-        for k in best[uses[rows[best]] > 1].tolist():
-            i = rows[k]
-            self._add(units[k], pool[first[i] : first[i] + size[i]])
-
-    def _add(self, unit: bytes, ids: object) -> int:
-        n, row = len(ids), len(self.memo)
-        while self.used + n > len(self.pool):
+        n = len(self.memo)  # rows are numbered in the memo's order
+        best = np.argsort(-self.uses[:n], kind="stable")[: self.memo_units // 2]
+        kept = np.zeros(n, bool)
+        kept[best[self.uses[best] > 1]] = True
+        units, size = list(compress(self.memo, kept.tolist())), self.size[:n][kept]
+        ids = self.pool[: self.used][np.repeat(kept, self.size[:n])]  # the pool is in the order of the rows
+        self.reset()  # the old memo goes before the new one is built
+        self._add(units, size, ids)
+
+    def _add(self, units: list[bytes], size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Remember new units, how many ids each has, and all their ids in order; returns their rows."""
+        row, n = len(self.memo), len(self.memo) + len(units)
+        while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        if row == len(self.first):
+        while n > len(self.first):
             self.first, self.size, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.uses))
-        self.pool[self.used : self.used + n] = ids
-        self.memo[unit] = row
-        self.first[row], self.size[row] = self.used, n
-        self.used += n
-        return row
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.first[row:n], self.size[row:n] = self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
+        self.memo.update(zip(units, range(row, n)))
+        return np.arange(row, n)
 
     def _library(self, units: list[bytes]) -> list[list[int]]:
         out = []
@@ -130,21 +140,31 @@ class Encoder:
         starts = unit_starts(data, at) if self.splittable else np.unique(at[:-1][at[:-1] < at[1:]])
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
-        bounds = np.concatenate([starts, [len(data)]]).astype(np.int64)
-        buffers = [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]
-        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
-        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        # 32-bit places where they suffice: one for each unit and id, they are most of a batch's memory
+        small = len(data) < 2**31
+        bounds = np.empty(len(starts) + 1, np.int32 if small else np.int64)
+        bounds[:-1], bounds[-1] = starts, len(data)
+        edges = np.searchsorted(starts, at)
+        del starts
+        kind = (pa.BinaryArray, pa.binary()) if small else (pa.LargeBinaryArray, pa.large_binary())
+        coded = kind[0].from_buffers(kind[1], len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        distinct, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        del coded, bounds
 
         rows = np.fromiter(map(self.memo.get, distinct, (-1,) * len(distinct)), np.int64, len(distinct))
         new = np.flatnonzero(rows < 0)
         long_ids: list[list[int]] = []
         if len(new):
-            for k, ids in zip(new.tolist(), self._library([distinct[k] for k in new.tolist()])):
-                if len(distinct[k]) <= LONGEST:
-                    rows[k] = self._add(distinct[k], ids)
-                else:
-                    rows[k] = -1 - len(long_ids)
-                    long_ids.append(ids)
+            units = [distinct[k] for k in new.tolist()]
+            coded_units = self._library(units)
+            size = np.fromiter(map(len, coded_units), np.int64, len(units))
+            short = np.fromiter(map(len, units), np.int64, len(units)) <= LONGEST
+            kept = compress(coded_units, short.tolist())
+            flat = np.fromiter(chain.from_iterable(kept), np.uint32, int(size[short].sum()))
+            rows[new[short]] = self._add(list(compress(units, short.tolist())), size[short], flat)
+            long_ids = list(compress(coded_units, (~short).tolist()))
+            rows[new[~short]] = -1 - np.arange(len(long_ids))
+            del units, coded_units
         known = rows >= 0
         self.uses[rows[known]] += np.bincount(which, minlength=len(distinct))[known]
         pool, first, size = self.pool[: self.used], np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
@@ -155,13 +175,15 @@ class Encoder:
             first[~known], size[~known] = (len(pool) + np.cumsum(own) - own)[at_own], own[at_own]
             pool = np.concatenate([pool, *[np.asarray(x, np.uint32) for x in long_ids]])
 
-        sizes, firsts = size[which], first[which]
-        done = np.cumsum(sizes)
-        ids = pool[np.repeat(firsts - (done - sizes), sizes) + np.arange(int(done[-1]))]
-        before = np.concatenate([[0], done])
+        total = int(size @ np.bincount(which, minlength=len(size)))
+        place = np.int32 if max(total, len(pool)) < 2**31 else np.int64
+        sizes = size.astype(place)[which]
+        before = np.zeros(len(sizes) + 1, place)
+        np.cumsum(sizes, out=before[1:])
+        source = np.repeat(first.astype(place)[which] - before[:-1], sizes)
+        source += np.arange(total, dtype=place)
         # a text's ids end where the last unit that begins before its end ends
-        edges = before[np.searchsorted(starts, at)]
-        return ids, np.diff(edges)
+        return pool[source], np.diff(before[edges].astype(np.int64))
 
 
 def worker_encoder(definition: str, memo_units: int | None = None) -> Encoder:

@@ -1,5 +1,6 @@
 """Operators 3 and 10 against the tokenizers library and exact round trips."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -38,6 +39,31 @@ def test_memo_reset_keeps_ids(monkeypatch):
         assert own.encode([text])[0].tolist() == plain(text)
 
 
+def test_encoder_memory_is_bounded():
+    size, own = 1_000_000, tokens.Encoder(open(FILE, encoding="utf-8").read(), 60_000)
+    blocks = [" ".join(f"word{i % 5000} x{k} {i * 7919 % 99991:05x}" for i in range(size // 16))[:size] for k in range(3)]
+    tracemalloc.start()
+    try:
+        tokens.unit_starts(np.frombuffer(blocks[0].encode(), np.uint8), np.array([0, size]))
+        assert tracemalloc.get_traced_memory()[1] < 18 * size  # was 22: one array had eight bytes a place
+        for block in blocks:
+            tracemalloc.reset_peak()
+            own.encode([block])
+            assert tracemalloc.get_traced_memory()[1] < 20 * size  # was 26
+    finally:
+        tracemalloc.stop()
+
+
+def test_forgetting_keeps_the_most_used():
+    own = tokens.Encoder(open(FILE, encoding="utf-8").read(), 6)
+    own.encode(["often often often twice twice once"])
+    own.encode([" a b c d e f g"])
+    own._forget_rare()
+    assert set(own.memo) == {b" often", b" twice"}
+    for text in ("often twice once", " often g twice a once" + "z" * 100, " twice often"):
+        assert own.encode([text])[0].tolist() == plain(text)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=1500))
 def test_codes_round_trip_and_random_access(values):
