@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import bounded_rows
-from .common import drop_worker_cache, sliced, text_or_empty
+from .common import drop_worker_cache, give_back_memory, sliced, text_or_empty
 from .tokens import default_tokenizer, worker_encoder
 
 SHARD_BYTES = 8_000_000
@@ -100,7 +100,10 @@ def pack_documents(
         ids = part["ids"].combine_chunks()
         out = [part["doc_id"].take(piece), pa.array(part["start"].to_numpy()[piece] + first), pa.array(length), part["doc_tokens"].take(piece), pa.array((key[0].as_py() << 32) + sequence), pa.array(offset),
                pa.array([ids[p].as_py()[4 * a : 4 * (a + n)] for p, a, n in zip(piece.tolist(), first.tolist(), length.tolist())], pa.binary())]
-        return pa.table(out, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+        table = pa.table(out, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+        del part, ids, out
+        give_back_memory()  # else idle workers keep what the stage freed
+        return table
 
     cut = rows.mapInArrow(pieces, "doc_id long, place long, start long, doc_tokens long, ids binary")
     shard = F.pmod(F.xxhash64("place", "start"), F.lit(shards))

@@ -3,12 +3,13 @@
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipe
-from featsieve.llm import credential_links as links, crf_language as crf, dart_minhash as darts, poisson_mix as mix
+from featsieve.llm import credential_links as links, crf_language as crf, dart_minhash as darts, packing, poisson_mix as mix
 
 
 def test_stages_follow_each_other(spark, data):
@@ -76,3 +77,23 @@ def test_columns_of_any_name_pass_every_stage(spark, odd):
         assert all(list(r)[5:] == list(range(len(names))) for r in docs.collect()), name
     mixed = mix.mix_sources(odd.select("doc_id", "text", "source", *[F.lit(i).alias(c) for i, c in enumerate(names)]))
     assert mixed.columns == ["doc_id", "text", "source", *names, "rate", "copy_no", "shuffle_key"] and mixed.count() >= 0
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_texts_reach_python_in_small_batches(spark, odd, k):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    texts = spark.range(0, 900, 1, 1).select(F.repeat(F.lit("0123456789"), 1000).alias("text"))
+    spark.conf.unset(pipe.BATCHES)
+    try:
+        pipe.STAGES[k][1](spark, odd, None)
+        got = texts.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r.rows for r in got) == 900 and max(r.bytes for r in got) < 2_500_000
+        spark.conf.set(pipe.BATCHES, "3000")  # the session's own limit stays
+        pieces = pipe.STAGES[4][1](spark, odd, None).collect()
+        assert spark.conf.get(pipe.BATCHES) == "3000"
+    finally:
+        spark.conf.unset(pipe.BATCHES)
+    assert sorted(map(str, pieces)) == sorted(map(str, packing.packing_rows(odd).collect()))
