@@ -70,9 +70,12 @@ def _context(spark: SparkSession, d: str) -> suite.FitContext:
 
 def _document_context(spark: SparkSession, d: str) -> suite.FitContext:
     """All labelled documents, encoded and scaled: the table for rankers that grow hundreds of trees."""
-    rows = documents(spark, d).select("doc_id", F.col("quality").alias("y"), *DOCUMENT_FEATURES)
+    rows = documents(spark, d).select("doc_id", F.col("quality").alias("y"), *DOCUMENT_FEATURES).persist()  # the texts are read once
     model = prep.fit(rows, "y", ["doc_id"])
-    return suite.FitContext(model.transform(rows, ["doc_id"]).persist(), "label", "doc_id", list(model.features), SEED)
+    scaled = model.transform(rows, ["doc_id"]).persist()
+    scaled.count()
+    rows.unpersist()
+    return suite.FitContext(scaled, "label", "doc_id", list(model.features), SEED)
 
 
 def _model_ranker(method: str, context=_context):

@@ -2,7 +2,8 @@
 
 A node with more than ``LOCAL_ROWS`` rows is split by a pass over the blocks: tasks sum class counts by (tree, node,
 feature, bin), the sums meet by node, and only the chosen splits leave the executors. Rows of smaller nodes meet by
-(tree, node), and the task that has them grows the rest of the tree. Counts are whole numbers and all draws are functions
+(tree, node), and the task that has them grows the rest of the tree. Where all rows fit a task, ``whole_importances`` sends
+blocks of rows to tasks that grow many whole trees each. Counts are whole numbers and all draws are functions
 of (seed, tree, row key or node), so the trees do not depend on the partitioning nor on where growing goes local.
 """
 
@@ -14,12 +15,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .binned import Blocks, _mix, block_rows, bootstrap_counts, code_columns, number_columns, salted
 
 LOCAL_ROWS = 50_000
+WHOLE_ROWS = 2_000_000  # rows that tasks grow whole trees on, about 250 MB in a worker with 10 columns
+TASKS_PER_CORE = 12
 HISTOGRAM_CELLS = 4_000_000  # counts a task holds at once
+PLACE_ROWS = 100_000  # rows times tried features from which a level counts one feature after the other
 VOTES = 1 << 30  # a tree's class shares are whole numbers of this size, so sums do not depend on their order
 MODEL_BYTES = 512_000_000
 
@@ -100,19 +104,73 @@ def gini_splits(counts: np.ndarray, class_weight: np.ndarray) -> tuple[np.ndarra
     return best // gain.shape[2], best % gain.shape[2], flat[np.arange(len(flat)), best]
 
 
-def _level_splits(codes, y, weight, node, tried, bins, class_weight):
-    """Best splits of all nodes of a level, in runs of nodes whose counts fit."""
+def _run_splits(flat: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, node: np.ndarray, tried: np.ndarray, bins: int, class_weight: np.ndarray):
+    """Best splits of the nodes of a run: what ``gini_splits`` finds, from the cells that hold rows alone, and their counts on the left.
+
+    An empty cell's split is that of the filled cell before it, so none is missed and ties go to the same bin. ``flat`` holds
+    codes times the classes; rows whose node is the number of nodes are not counted.
+    """
+    (nodes, m), k = tried.shape, len(class_weight)
+    base, size, places = node * (bins * k) + y, nodes * bins * k, np.vstack([tried, tried[:1]]).T.copy()
+    if m * len(node) < PLACE_ROWS:
+        at = base + flat[first + places[:, node]] + np.arange(m)[:, None] * (size + bins * k)
+        counts = np.bincount(at.ravel(), weights=np.tile(weight, m), minlength=m * (size + bins * k)).reshape(m, -1)[:, :size].reshape(-1, k)
+    else:
+        counts = np.concatenate([np.bincount(base + flat[first + f[node]], weights=weight, minlength=size)[:size] for f in places]).reshape(-1, k)
+    filled = np.flatnonzero(_row_sums(counts))
+    starts = filled.searchsorted(np.arange(m * nodes) * bins)  # [place, node]; a node has rows, so each of its places has cells
+    ends = np.append(starts[1:], len(filled)) - 1
+    sizes = ends - starts + 1
+    left = counts[filled].cumsum(axis=0)
+    before = left[ends]
+    whole = before[:nodes].copy()
+    whole[1:] -= before[: nodes - 1]
+    left[sizes[0] :] -= before[:-1].repeat(sizes[1:], axis=0)
+    of = np.tile(np.arange(nodes), m).repeat(sizes)
+
+    def purity(c: np.ndarray) -> np.ndarray:
+        w = c * class_weight
+        return _row_sums(w * w) / np.maximum(_row_sums(w), 1e-300)
+
+    gain = purity(left) + purity(whole[of] - left) - purity(whole)[of]
+    gain[ends] = -np.inf  # nothing is right of a place's last cell
+    each = np.maximum.reduceat(gain, starts).reshape(m, nodes)
+    which = each.argmax(axis=0)
+    best = each[which, np.arange(nodes)]
+    segment = which * nodes + np.arange(nodes)
+    hits = np.flatnonzero(gain == best[of])
+    cell = hits[hits.searchsorted(starts[segment])]  # a place's first cell with its best gain
+    return which, filled[cell] % bins, best, left[cell]
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    """``x.sum(axis=1)``, which is slow for a few columns; fewer than eight are summed in order there, too."""
+    if x.shape[1] > 7:
+        return x.sum(axis=1)
+    out = x[:, 0].copy()
+    for c in range(1, x.shape[1]):
+        out += x[:, c]
+    return out
+
+
+def _level_splits(flat, first, y, weight, node, tried, bins, class_weight):
+    """(feature, bin, gain, counts on the left) of the best splits of a level, in runs of nodes whose counts fit.
+
+    Rows begin at ``first`` in ``flat``; those whose node is the number of nodes take no part.
+    """
     nodes, m = tried.shape
     width = max(1, HISTOGRAM_CELLS // max(1, m * bins * len(class_weight)))
+    if nodes <= width:
+        which, *rest = _run_splits(flat, first, y, weight, node, tried, bins, class_weight)
+        return tried[np.arange(nodes), which], *rest
     order = np.argsort(node, kind="stable")
-    edges = np.searchsorted(node[order], np.arange(0, nodes + width, width))
+    edges = np.searchsorted(node[order], np.minimum(np.arange(0, nodes + width, width), nodes))
     parts = []
     for i, (a, b) in enumerate(zip(edges, edges[1:])):
-        rows, first = order[a:b], i * width
-        own = tried[first : first + width]
-        parts.append(gini_splits(histogram(codes[rows], y[rows], weight[rows], node[rows] - first, own, bins, len(class_weight)), class_weight))
-    which, at, gain = (np.concatenate(x) for x in zip(*parts))
-    return tried[np.arange(nodes), which], at, gain
+        rows, begin = order[a:b], i * width
+        parts.append(_run_splits(flat, first[rows], y[rows], weight[rows], node[rows] - begin, tried[begin : begin + width], bins, class_weight))
+    which, *rest = (np.concatenate(x) for x in zip(*parts))
+    return tried[np.arange(nodes), which], *rest
 
 
 def grow(codes: np.ndarray, y: np.ndarray, weight: np.ndarray, bins: int, class_weight: np.ndarray, spec: TreeSpec, path: int = 1, depth: int | None = None) -> tuple[Tree, np.ndarray, np.ndarray]:
@@ -120,37 +178,55 @@ def grow(codes: np.ndarray, y: np.ndarray, weight: np.ndarray, bins: int, class_
     k, depth = len(class_weight), spec.depth if depth is None else depth
     feature, bin_, left, shares = [], [], [], []
     gains, at = np.zeros(codes.shape[1]), np.zeros(len(codes), np.int64)
-    rows, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+    p, flat = codes.shape[1], codes.ravel().astype(np.uint16 if bins * k < 1 << 16 else np.int64) * k
+    first, node = np.arange(len(codes)) * p, np.zeros(len(codes), np.int64)
+    yr, wr = y.astype(np.int64), weight.astype(float)
     paths, counts, made = np.asarray([path], np.uint64), np.bincount(y, weights=weight, minlength=k)[None], 1
+    begin = 0  # number of the level's first node
+
+    def close(still: np.ndarray, names: np.ndarray) -> None:
+        """Rows whose node is not in ``still`` stay where they are; they are taken out once they are many."""
+        nonlocal first, node, yr, wr
+        place = np.full(len(names) + 1, len(still))
+        place[still] = np.arange(len(still))
+        done = np.ones(len(names) + 1, bool)
+        done[still] = done[-1] = False  # the last are those closed before
+        if done.any():
+            out = np.flatnonzero(done[node])
+            at[first[out] // p] = names[node[out]]
+        node = place[node]
+        gone = np.count_nonzero(node == len(still))
+        if 8 * gone > len(node):
+            inside = np.flatnonzero(node < len(still))
+            first, node, yr, wr = first[inside], node[inside], yr[inside], wr[inside]
+
     for level in range(depth + 1):
         n = len(counts)
         w = counts * class_weight
         shares.append(w / np.maximum(w.sum(1, keepdims=True), 1e-300))
         f, b, l = np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
         open_ = np.flatnonzero(((counts > 0).sum(1) > 1) & (level < depth))
+        names = begin + np.arange(n)
+        begin = made
+        if len(open_) < n:
+            close(open_, names)
         if len(open_):
-            place = np.full(n, -1)
-            place[open_] = np.arange(len(open_))
-            inside = place[node] >= 0
-            rows, node = rows[inside], place[node[inside]]
-            c, yr, wr = codes[rows], y[rows], weight[rows]
-            fs, bs, gs = _level_splits(c, yr, wr, node, picked(paths[open_], spec.features, spec.pick, spec.salt), bins, class_weight)
+            fs, bs, gs, lefts = _level_splits(flat, first, yr, wr, node, picked(paths[open_], spec.features, spec.pick, spec.salt), bins, class_weight)
             none = np.flatnonzero(np.isneginf(gs))
             if len(none) and spec.pick and spec.pick < len(spec.features):  # no tried feature varies here: try all
-                again = np.full(len(open_), -1)
+                again = np.full(len(open_) + 1, -1)
                 again[none] = np.arange(len(none))
-                r = again[node] >= 0
-                fs[none], bs[none], gs[none] = _level_splits(c[r], yr[r], wr[r], again[node[r]], np.tile(np.asarray(spec.features), (len(none), 1)), bins, class_weight)
+                r = np.flatnonzero(again[node] >= 0)
+                fs[none], bs[none], gs[none], lefts[none] = _level_splits(flat, first[r], yr[r], wr[r], again[node[r]], np.tile(np.asarray(spec.features), (len(none), 1)), bins, class_weight)
             split = np.flatnonzero(~np.isneginf(gs))
             np.add.at(gains, fs[split], np.maximum(gs[split], 0.0))
             f[open_[split]], b[open_[split]], l[open_[split]] = fs[split], bs[split], made + 2 * np.arange(len(split))
-            place = np.full(len(open_), -1)
-            place[split] = np.arange(len(split))
-            inside = place[node] >= 0
-            rows, node, c, yr, wr = rows[inside], node[inside], c[inside], yr[inside], wr[inside]
-            node = 2 * place[node] + (c[np.arange(len(c)), fs[node]] > bs[node])
-            at[rows] = made + node
-            counts = np.bincount(node * k + yr, weights=wr, minlength=2 * len(split) * k).reshape(-1, k)
+            if len(split) < len(open_):
+                close(split, names[open_])
+            cut_at = np.append(bs[split] * k, 0).astype(flat.dtype)
+            side = flat[first + np.append(fs[split], 0)[node]] > cut_at[node]
+            node = 2 * node + (side & (node < len(split)))
+            counts = np.stack([lefts[split], counts[open_[split]] - lefts[split]], axis=1).reshape(-1, k)
             paths = child_paths(paths[open_[split]])
         else:
             split = open_
@@ -332,6 +408,49 @@ def importances(grown: DataFrame, tops: dict[int, Top], specs: Sequence[TreeSpec
     return {m: np.mean(each, axis=0) for m, each in out.items()}
 
 
+def _slots(spark: SparkSession, n: int) -> list[int]:
+    """Numbers that ``repartition(n, number)`` puts into a partition each, so that no two groups of much work share one."""
+    place = F.pmod(F.hash("slot"), F.lit(n))
+    tried = spark.range(64 * n).select(F.col("id").cast("int").alias("slot")).groupBy(place.alias("place")).agg(F.min("slot").alias("slot")).collect()
+    first = {r["place"]: r["slot"] for r in tried}
+    return [first.get(i, 64 * n + i) for i in range(n)]
+
+
+def whole_importances(data: DataFrame, specs: Sequence[TreeSpec], class_weight: np.ndarray, p: int, bins: int) -> dict[int, np.ndarray]:
+    """Per model the mean over trees of the gains, each tree's scaled to sum 1, as ``importances`` has it.
+
+    ``data``: blocks (model, n, codes, y, id) of ``WHOLE_ROWS`` rows a model at most. A model's blocks go to each of the tasks
+    that share its trees, so what moves is a few copies of the blocks and not the drawn rows of every tree.
+    """
+    by_model: dict[int, list[TreeSpec]] = {}
+    for s in specs:
+        by_model.setdefault(s.model, []).append(s)
+    wanted = TASKS_PER_CORE * data.sparkSession.sparkContext.defaultParallelism
+    lots = max(1, min(-(-wanted // len(by_model)), max(map(len, by_model.values()))))
+
+    slots = _slots(data.sparkSession, lots * len(by_model))
+    shares = dict(zip(slots, ((m, lot) for m in by_model for lot in range(lots))))
+    slots_of = F.create_map(*[F.lit(x) for i, m in enumerate(by_model) for x in (m, slots[i * lots : (i + 1) * lots])])
+
+    def grown(key: tuple, part: pa.Table) -> pa.Table:
+        model, lot = shares[key[0].as_py()]
+        codes = np.concatenate([np.frombuffer(c.as_py(), np.uint8) for c in part["codes"]]).reshape(-1, p)
+        y, ids = (np.concatenate([np.frombuffer(v.as_py(), t) for v in part[c]]) for c, t in (("y", np.int32), ("id", np.uint64)))
+        del part
+        out = []
+        for s in by_model[model][lot::lots]:
+            weight = _weights(s, ids, np.ones(len(ids), np.int64))
+            own = np.flatnonzero(weight > 0)
+            _tree, gains, _leaf = grow(codes[own], y[own], weight[own], bins, class_weight, s)
+            out.append((s.tree, gains.tobytes()))
+        return pa.table({"tree": pa.array([t for t, _ in out], pa.int64()), "gains": pa.array([g for _, g in out], pa.binary())})
+
+    dealt = data.withColumn("slot", F.explode(slots_of[F.col("model")])).repartition(len(slots), "slot").groupBy("slot")
+    found = {r["tree"]: np.frombuffer(r["gains"]) for r in dealt.applyInArrow(grown, "tree long, gains binary").collect()}  # a row per tree
+    each = {m: [found.get(s.tree, np.zeros(p)) for s in own] for m, own in by_model.items()}
+    return {m: np.mean([g / g.sum() if g.sum() > 0 else g for g in own], axis=0) for m, own in each.items()}
+
+
 def confusions(grown: DataFrame, classes: int) -> DataFrame:
     """model, y_true, y_pred, n: each held row's class with the most votes (ties: the lower class)."""
     width = classes + 2

@@ -3,7 +3,8 @@
 Rows are ranked once by the hash of their keys (a range partition, and the counts of the partitions before). A keyed
 bijection of the ranks, a Feistel network that walks until it is inside the table, then says where each value of a
 column goes: one shuffle moves all columns of a round. No block or group is formed, and the result is a function of the
-keys and the seed.
+keys and the seed. ``shadow_blocks`` does this for many rounds at once with bin codes instead of values, packed by the
+place they go to.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import cut_lineage, hash32, spread_broadcast
-from .binned import salted
+from .binned import BLOCK_ROWS, code_columns, salted
 
 FEISTEL_ROUNDS = 6
 IN_PARTITION = (1 << 33) - 1  # the lower bits of monotonically_increasing_id
@@ -64,6 +65,57 @@ def with_shadows(ranked: DataFrame, n: int, columns: int, round_: int, seed: int
     return ranked.join(shadows, "rank").drop("rank")
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of four blocks' rows where a partition has as many: the work per batch is worth it."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(h.num_rows for h in held) >= 4 * BLOCK_ROWS:
+            yield pa.concat_batches(held)
+            held = []
+    if sum(h.num_rows for h in held):
+        yield pa.concat_batches(held)
+
+
+def shadow_blocks(ranked: DataFrame, n: int, edges: Sequence[np.ndarray], rounds: Sequence[int], seed: int) -> DataFrame:
+    """Blocks (model: the round; n, codes, y, id) of the rows ``with_shadows`` makes in ``rounds``, as bin codes of f0.. and s0.."""
+    p = len(edges)
+    sent = pa.schema([("model", pa.int32()), ("chunk", pa.int32()), ("column", pa.int32()), ("at", pa.binary()), ("codes", pa.binary()), ("y", pa.binary()), ("id", pa.binary())])
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _joined(batches):
+            y, ids, ranks = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            codes = code_columns([b.column(3 + j).to_numpy(zero_copy_only=False) for j in range(p)], edges)
+            for round_ in rounds:
+                rows = []
+                for j in range(-1, p):  # the rows themselves, then each column's values where they go
+                    to = ranks if j < 0 else permuted(ranks, n, seed, round_, j)
+                    order = np.argsort(to, kind="stable")
+                    chunk, at = to[order] // BLOCK_ROWS, (to[order] % BLOCK_ROWS).astype(np.uint16)
+                    ends = np.append(np.flatnonzero(np.diff(chunk)) + 1, len(chunk))
+                    for first, end in zip([0, *ends[:-1]], ends):
+                        own = order[first:end]
+                        base = (codes[own].tobytes(), y[own].astype(np.int32).tobytes(), ids[own].astype(np.int64).tobytes()) if j < 0 else (codes[own, j].tobytes(), None, None)
+                        rows.append((round_, int(chunk[first]), j, at[first:end].tobytes(), *base))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), sent)], schema=sent)
+
+    def assemble(key: tuple, part: pa.Table) -> pa.Table:
+        size = min(BLOCK_ROWS, n - key[1].as_py() * BLOCK_ROWS)
+        codes, y, ids = np.empty((size, 2 * p), np.uint8), np.empty(size, np.int32), np.empty(size, np.int64)
+        for r in part.to_pylist():
+            at = np.frombuffer(r["at"], np.uint16)
+            if r["column"] < 0:
+                codes[at, :p], y[at], ids[at] = np.frombuffer(r["codes"], np.uint8).reshape(-1, p), np.frombuffer(r["y"], np.int32), np.frombuffer(r["id"], np.int64)
+            else:
+                codes[at, p + r["column"]] = np.frombuffer(r["codes"], np.uint8)
+        return pa.table({"model": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([size], pa.int32()), "codes": [codes.tobytes()], "y": [y.tobytes()], "id": [ids.tobytes()]})
+
+    spread = max(ranked.sparkSession.sparkContext.defaultParallelism, n // (4 * BLOCK_ROWS))
+    plain = ranked.repartition(spread, "rank").select(F.col("label").cast("int"), F.xxhash64(F.col("key").cast("string")).alias("id"), "rank", *[f"f{j}" for j in range(p)])
+    moved = plain.mapInArrow(move, "model int, chunk int, column int, at binary, codes binary, y binary, id binary")
+    return moved.groupBy("model", "chunk").applyInArrow(assemble, "model int, n int, codes binary, y binary, id binary")
+
+
 def shadow_report(df: DataFrame, label: str, key: str, features: Sequence[str], seed: int = 42, round_: int = 0) -> DataFrame:
     """Per feature: rows, distinct values and sum of its shadow, values whose count differs from the feature's, and whether most rows moved."""
     ranked, n = ranked_rows(df, label, key, features, seed)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from featsieve.operators import binned, boosting, forest
+from featsieve.operators import binned, boosting, forest, shadows, trees
 
 
 @pytest.fixture(scope="module")
@@ -136,6 +136,54 @@ def test_neither_partitions_nor_passes_change_a_forest(table):
     assert sum(n for m, t, p, n in one[1] if t == p) > 0.5 * 80
 
 
+@pytest.mark.parametrize("k,nodes,rows,place_rows", [(2, 1, 400, 10**9), (3, 40, 300, 10**9), (3, 40, 300, 0), (9, 7, 500, 0)])
+def test_filled_cells_give_the_splits_of_all_cells(monkeypatch, k, nodes, rows, place_rows):
+    monkeypatch.setattr(forest, "PLACE_ROWS", place_rows)
+    rng = np.random.default_rng(k)
+    codes, node = rng.integers(0, 64, (rows, 6)).astype(np.uint8), np.concatenate([np.arange(nodes), rng.integers(0, nodes, rows - nodes)])
+    codes[:, 2] = 7  # never varies
+    y, weight, cw = rng.integers(0, k, rows), rng.integers(1, 4, rows).astype(float), rng.random(k) + 0.5
+    tried = np.stack([np.sort(rng.permutation(6)[:3]) for _ in range(nodes)])
+    want = forest.gini_splits(forest.histogram(codes, y, weight, node, tried, 64, k), cw)
+    for cells in (forest.HISTOGRAM_CELLS, 3 * 64 * k * 5):  # all nodes at once, five a run
+        monkeypatch.setattr(forest, "HISTOGRAM_CELLS", cells)
+        f, b, gain, left = forest._level_splits(codes.ravel().astype(int) * k, np.arange(rows) * 6, y, weight, node, tried, 64, cw)
+        can = want[2] > -np.inf
+        assert (gain == want[2]).all() and (f == tried[np.arange(nodes), want[0]])[can].all() and (b == want[1])[can].all()
+        assert all((left[i] == np.bincount(y[own], weight[own], k)).all() for i in np.flatnonzero(can) for own in [(node == i) & (codes[:, f[i]] <= b[i])])
+
+
+def test_shadow_rounds_share_a_pass(spark, table, monkeypatch):
+    df, names = table
+    df = df.withColumn("y", F.col("y") % 2)
+    monkeypatch.setattr(shadows, "BLOCK_ROWS", 50)
+    ranked, n = shadows.ranked_rows(df, "y", "key", names, 3)
+    edges = binned.fit_edges(df, "key", names, n)
+    packed = shadows.shadow_blocks(ranked, n, edges, range(2), 3).collect()
+    columns = [f"{c}{i}" for c in "fs" for i in range(5)]
+    for r in range(2):
+        blocks = binned.to_blocks(shadows.with_shadows(ranked, n, 5, r, 3), "label", "key", columns, 2, edges=edges * 2)
+        codes, y, ids, *_ = collected(blocks, 10)
+        own = [b for b in packed if b["model"] == r]
+        found = [np.concatenate([np.frombuffer(b[c], t) for b in own]) for c, t in (("codes", np.uint8), ("y", np.int32), ("id", np.uint64))]
+        order = np.argsort(found[2])
+        assert len(own) == 5 and (found[0].reshape(-1, 10)[order] == codes).all() and (found[1][order] == y).all() and (found[2][order] == ids).all()
+        blocks.release()
+
+    def scores(rounds):
+        spark.sparkContext.setJobGroup(name := f"shadows {rounds} {forest.WHOLE_ROWS}", name)
+        got = sorted(tuple(r) for r in trees.shadow_scores(df, "y", "key", names, rounds, 5, 6).collect())
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return got, jobs
+
+    (whole, jobs), (_, few) = scores(4), scores(1)
+    assert jobs <= few + 1
+    monkeypatch.setattr(forest, "WHOLE_ROWS", 0)
+    for (i, a), (j, b) in zip(whole, scores(4)[0]):
+        assert i == j and a == pytest.approx(b, abs=1e-12)
+
+
 def test_empty_training_sets_give_leaves(table):
     df, names = table
     blocks = binned.to_blocks(df, "y", "key", names, 3, F.lit(0), F.lit(1))
