@@ -53,10 +53,12 @@ def embeddings(spark: SparkSession, d: str) -> DataFrame:
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """Unbalanced binary target ``quality`` on features of the whole texts."""
     text = F.col("text")
-    return load(spark, d, "documents").join(load(spark, d, "labels"), "doc_id").select(
-        "doc_id", "quality", "toxic", "lang", "source", F.col("n_chars").cast("double").alias("n_chars"),
-        F.size(F.split(text, " ")).cast("double").alias("words"),
-        F.length(F.regexp_replace(text, "[^0-9]", "")).cast("double").alias("digits"))
+    spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    # numbers are joined, not texts; runs of other characters go at once
+    numbers = load(spark, d, "documents").select(
+        "doc_id", "lang", "source", F.col("n_chars").cast("double").alias("n_chars"), (spaces + 1).cast("double").alias("words"),
+        F.length(F.regexp_replace(text, "[^0-9]+", "")).cast("double").alias("digits"))
+    return numbers.join(load(spark, d, "labels"), "doc_id").select("doc_id", "quality", "toxic", "lang", "source", "n_chars", "words", "digits")
 
 
 def coded(name: str, *labels: str) -> Column:

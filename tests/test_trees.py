@@ -262,6 +262,25 @@ def test_boosting_against_recursion(table, monkeypatch, classes, balanced, way):
     assert all((a.feature == b.feature).all() and (a.bin == b.bin).all() and (a.value == b.value).all() for x, z in zip(found[0].trees, found[1].trees) for a, b in zip(x, z))
 
 
+@pytest.mark.parametrize("classes,settings", [(2, {"rows": 1.0, "columns": 1.0, "l2": 0.0, "min_hessian": 1e-3, "min_rows": 20, "balanced": True}), (3, {"rows": 0.7, "rate": 0.3})])
+def test_a_task_boosts_many_rows_as_passes_do(spark, monkeypatch, classes, settings):
+    df = spark.range(60_000).select(F.col("id").alias("key"), *[(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(m)) + F.lit(0.0)).alias(c) for c, m in (("a", 200), ("b", 7), ("c", 50))])
+    df = df.withColumn("y", F.when(F.col("a") * F.col("b") > 600, 0).when(F.col("c") > F.col("a"), classes - 1).otherwise(1))
+    blocks = binned.to_blocks(df, "y", "key", ["a", "b", "c"], classes)
+    s, found = boosting.Settings(rounds=3, depth=4, **settings), []
+    for name in ("task", "passes"):
+        spark.sparkContext.setJobGroup(f"boost {classes} {name}", name)
+        model = boosting.boost(blocks, s, np.asarray([3.0, 0.7, 1.0])[:classes])
+        found.append((model, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boost {classes} {name}"))))
+        monkeypatch.setattr(boosting, "LOCAL_ROWS", 0)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    blocks.release()
+    (one, jobs), (many, passes) = found
+    assert jobs < 4 and passes >= 3 * 5
+    assert (one.splits == many.splits).all() and (one.gain == many.gain).all() and one.splits.sum() > 9
+    assert all((x.feature == z.feature).all() and (x.bin == z.bin).all() and (x.value == z.value).all() for a, b in zip(one.trees, many.trees) for x, z in zip(a, b))
+
+
 def test_scores_are_made_anew_where_a_worker_has_none():
     model = boosting.Boosted(2, 1, 1)
     codes = np.asarray([[0], [3]], np.uint8)
