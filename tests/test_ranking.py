@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from featsieve.operators import filters, mrmr, mutual_info, relief, suite
-from featsieve.operators.batch_logistic import BatchLogistic, Problem, weighted_f1
+from featsieve.operators import batch_logistic
+from featsieve.operators.batch_logistic import BatchLogistic, Problem, packed, weighted_f1
 from featsieve.operators.linear import logistic_input
 
 
@@ -135,6 +136,40 @@ def test_batched_newton_reaches_the_optimum(table):
     assert weighted_f1(np.diag([3, 4, 5])) == 1.0
 
 
+@pytest.mark.parametrize("classes", [2, 3])
+def test_subsets_that_share_products_are_fitted_as_each_alone(table, monkeypatch, classes):
+    df, _x, _y, names = table
+    df = df.withColumn("y", F.least("y", F.lit(classes - 1)))
+    data = logistic_input(df, "y", names, F.lit(1) + F.when(F.col("a") > 0, 2).otherwise(0))
+    problems = [Problem(f, r) for r in (0, 1) for f in ((0, 2), (1,), (0, 1, 2, 3), (3,), (2, 3))]
+    shared = batch_logistic._shared_sums
+    monkeypatch.setattr(batch_logistic, "PRODUCT_CELLS", 8 * 70 * 30)  # several chunks a batch
+    blocks = BatchLogistic(packed(data, 4).persist(), classes, 4)
+    w = blocks.fit(problems)
+    x = np.random.default_rng(0).normal(size=(300, 4))
+    member, y = np.arange(300) % 4, np.arange(300) % classes
+    todo, weights = [(q.features, q.rows, v) for q, v in zip(problems, w)], blocks._weights
+    heads = 1 if classes == 2 else classes
+    got = shared(todo, heads, 1.0, weights, x, y, member)
+    monkeypatch.setattr(batch_logistic, "SHARED_HEADS", 10**9)
+    alone = BatchLogistic(data, classes, 4)
+    for a, b in zip(w, alone.fit(problems)):
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-9)
+    assert (blocks.confusion(problems, w) == alone.confusion(problems, w)).all() and blocks.confusion(problems, w).sum() > 0
+    assert all((alone._weights[b] == weights[b]).all() for b in (0, 1))
+    want = []
+    for f, r, v in todo:
+        own = (member >> r) & 1 == 1
+        xs = np.column_stack([x[own][:, f], np.ones(own.sum())])
+        for h in range(heads):
+            t = y[own] == (1 if heads == 1 else h)
+            s = weights[r][y[own]] if heads == 1 else np.where(t, weights[r][h], 1.0)
+            p = 1 / (1 + np.exp(-(xs @ v[h])))
+            want += [xs.T @ (s * (p - t)), (xs.T @ (xs * (s * p * (1 - p))[:, None])).ravel()]
+    assert np.allclose(got, np.concatenate(want))
+    blocks.data.unpersist()
+
+
 ALL = ["pearson", "RELIEFF", "lasso_c0.1", "elasticnet", "rf", "gbt", "lightgbm", "rfe", "rfecv", "boruta", "ga", "pso", "mi_rfe", "chi2_boruta", "nope"]
 FAST = {"rf": {"trees": 5}, "gbt": {"rounds": 2, "depth": 2}, "boruta": {"rounds": 1, "trees": 5}, "ga": {"population": 6, "generations": 2}, "pso": {"particles": 6, "iterations": 2}}
 
